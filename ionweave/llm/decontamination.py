@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ionweave.llm.common import ALNUM, Words, chunks, code_points, text_buffers, words_of
 
 SAMPLE, SHARD_BYTES, BLOCK_WINDOWS = 16, 6 << 20, 1_000_000
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
 
 
 class WaveletMatrix:
@@ -200,7 +200,9 @@ def hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[str]]]:
     return covered, found
 
 
-def _search(docs: DataFrame, phrases: Phrases, with_items: bool) -> DataFrame:
+def _search(docs: DataFrame, phrases: Phrases, with_items: bool, carried: str = "doc_id") -> DataFrame:
+    """``carried``: a column that stands beside each row's result."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -226,9 +228,10 @@ def _search(docs: DataFrame, phrases: Phrases, with_items: bool) -> DataFrame:
                     pa.array([",".join(x) for x in lists] if with_items else [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]), pa.array(n_hit > 0),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+                yield pa.RecordBatch.from_arrays(cols, names=[carried, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, OUT)
+    rows = docs.select(F.col(carried), F.col("text").cast("string"))
+    return rows.mapInArrow(scan, f"{carried} {rows.schema[0].dataType.simpleString()}, {OUT}")
 
 
 def item_blocks(benchmark: DataFrame, window: int, most: int = BLOCK_WINDOWS) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -254,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     blocks = item_blocks(benchmark, window, block_windows)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return _search(docs, phrases_of(first, window), False)
+        return _search(docs.select(F.col("doc_id").cast("long"), "text"), phrases_of(first, window), False)
     from itertools import chain
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -290,4 +293,13 @@ def _merged(rows: DataFrame) -> DataFrame:
                 kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
                 yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return rows.select("doc_id", "text", "spans", "items").mapInArrow(merge, OUT)
+    return rows.select("doc_id", "text", "spans", "items").mapInArrow(merge, f"doc_id long, {OUT}")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no phrase of the benchmark. No shuffle: each block of the
+    benchmark is one pass that lets the rows it doesn't hit through."""
+    for block in item_blocks(benchmark, window, block_windows):
+        whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+        docs = _search(whole, phrases_of(block, window), True, "row").where("not contaminated").select("row.*")
+    return docs

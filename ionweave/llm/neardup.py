@@ -244,3 +244,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = rooted.select("node", "root").join(classes, "root").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", "n_links")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but those whose class has a row of a lesser doc_id."""
+    others = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(others, docs.doc_id.cast("long") == others.doc_id, "left_anti")

@@ -63,9 +63,9 @@ def _tagged(spans: Column, kind: int, strong: bool) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(strong).alias("strong")))
 
 
-def parts(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base spans and weak parts of each row. ``row`` tells rows apart once this is a written table."""
-    df = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def parts(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """row, the column ``carried``, base spans and weak parts of each row. ``row`` tells rows apart once this is a written table."""
+    df = docs.select(F.col(carried), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "identifier": IDENTIFIER, "secret": SECRET, "endpoint": ENDPOINT}
     for name, pattern in patterns.items():
         df = df.withColumn(f"m_{name}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
@@ -77,7 +77,7 @@ def parts(docs: DataFrame) -> DataFrame:
     of_size = lambda lo, hi: F.filter("sized", lambda s: (s["n"] >= lo) & (s["n"] < hi))
     base = F.array_sort(F.concat(_tagged(of_size(LEAST_ASSIGN, 1 << 30), 0, True), _tagged(F.col("access"), 1, True), _tagged(F.col("hex"), 2, True)))
     weak = F.array_sort(F.concat(_tagged(F.col("identifier"), 3, False), _tagged(of_size(LEAST_WEAK, LEAST_ASSIGN), 4, False), _tagged(F.col("secret"), 4, False), _tagged(F.col("endpoint"), 5, False)))
-    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), weak.alias("weak"))
+    return df.select(F.monotonically_increasing_id().alias("row"), carried, base.alias("base"), weak.alias("weak"))
 
 
 def _is_identifier(kind: Column) -> Column:
@@ -122,10 +122,36 @@ def _joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, base counts and digest, all spans and how many were added, of each row of ``docs`` (doc_id, text)."""
-    found = materialize(parts(docs), "secrets")
+    found = materialize(parts(docs.select(F.col("doc_id").cast("long"), "text")), "secrets")
     out = found.join(linked(found, reach), "row", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:long,kind:int,end:long,strong:boolean>>")))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(
         "doc_id", *(n(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
+
+
+def _masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each of the sorted spans, or several that overlap, as one mark."""
+    done = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(spans, done, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+
+
+def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
+    """The rows of ``docs`` with all secrets in ``text`` masked and ``n_chars``, where there is one, counted again.
+
+    Only rows with weak parts, which others may complete, are joined; the rest is masked where it is read.
+    """
+    found = materialize(parts(docs.select(F.struct(*docs.columns).alias("doc"), "text"), "doc"), "secrets")
+    none = F.array().cast("array<struct<start:long,kind:int,end:long,strong:boolean>>")
+    alone = found.where(F.size("weak") == 0).select("doc", "base")
+    more = found.where(F.size("weak") > 0).join(linked(found, reach), "row", "left").select("doc", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("base"))
+    text = F.when(F.size("base") > 0, _masked(F.col("doc.text"), F.col("base"), mark)).otherwise(F.col("doc.text"))
+    out = alone.unionByName(more).withColumn("masked", text)
+    value = {"text": F.col("masked"), "n_chars": F.when(F.size("base") > 0, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*((value[c] if c in value else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
