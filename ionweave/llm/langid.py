@@ -194,7 +194,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return predict(base, train(base, per_language)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.4, per_language: int = PER_LANGUAGE) -> DataFrame:
+def accepted(docs: DataFrame, least_score: float = 0.3, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known with at least that score."""
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))
     return predict(rows, train(docs, per_language), ("row",)).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

@@ -28,7 +28,7 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 #: Rate: the least distance of its fences from the median (absolute, relative to it), and whether there is a lower fence.
-RATES = {"symbol_rate": (0.02, 0.0, False), "dup_line_rate": (0.04, 0.0, False), "repeat_rate": (0.05, 0.0, False), "word_length": (0.5, 0.1, True)}
+RATES = {"symbol_rate": (0.02, 0.0, False), "dup_line_rate": (0.0625, 0.0, False), "repeat_rate": (0.05, 0.0, False), "word_length": (0.5, 0.1, True)}
 SPREADS = 8.0
 
 
