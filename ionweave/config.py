@@ -1,0 +1,139 @@
+"""Search parameters, validated once on the driver."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field, fields, replace
+
+#: Physical constants.
+PROTON, C13_GAP, WATER_H, WATER_O = 1.00727646688, 1.00335483, 1.007825035, 15.9949146
+
+
+@dataclass(frozen=True)
+class Mod:
+    """A variable modification. ``residues``: letters, with n and c for the peptide's ends; ``binary`` groups are all or nothing."""
+
+    mass: float
+    residues: str
+    max_per_peptide: int = 3
+    binary: int = 0
+    required: bool = False
+    neutral_loss: float = 0.0
+
+
+@dataclass(frozen=True)
+class Config:
+    tolerance: float = 3.0
+    tolerance_unit: str = "amu"  # amu, mmu or ppm
+    tolerance_on_mz: bool = False
+    isotope_error: int = 0
+    mass_offsets: tuple[float, ...] = (0.0,)
+    digest_mass: tuple[float, float] = (600.0, 5000.0)
+    length: tuple[int, int] = (5, 50)
+    cut_after: str = "KR"
+    no_cut_before: str = "P"
+    cut_before: str = ""
+    enzyme: bool = True
+    termini: int = 2  # 2 full, 1 semi, 8 N only, 9 C only
+    missed_cleavages: int = 2
+    clip_met: bool = False
+    equal_il: bool = True
+    static_mods: dict[str, float] = field(default_factory=dict)
+    variable_mods: tuple[Mod, ...] = ()
+    max_mods: int = 5
+    bin_width: float = 1.0005
+    bin_offset: float = 0.4
+    flanking: bool = True
+    use_nl_ions: bool = False
+    ion_series: str = "by"
+    max_fragment_charge: int = 3
+    precursor_charge: tuple[int, int] = (2, 6)
+    min_peaks: int = 10
+    min_intensity: float = 0.0
+    min_intensity_share: float = 0.0
+    clear_range: tuple[float, float] = (0.0, 0.0)
+    remove_precursor: int = 0
+    remove_tolerance: float = 1.5
+    decoys: int = 0  # 0 none, 1 concatenated, 2 separate
+    decoy_prefix: str = "DECOY_"
+    num_results: int = 100
+    num_output: int = 5
+    max_proteins: int = 20
+    index_peaks: int = 150
+    index_min_ions: int = 3
+    index_candidates: int = 100
+
+    def __post_init__(self):
+        if self.tolerance_unit not in ("amu", "mmu", "ppm"):
+            raise ValueError(f"tolerance_unit: {self.tolerance_unit}")
+        if not 0 <= self.isotope_error <= 7:
+            raise ValueError("isotope_error is 0 to 7")
+        for name in ("digest_mass", "length", "precursor_charge"):
+            lo, hi = getattr(self, name)
+            if lo > hi:
+                raise ValueError(f"{name}: {lo} > {hi}")
+        if self.bin_width <= 0:
+            raise ValueError("bin_width must be positive")
+
+    def narrowed(self, stored: dict) -> Config:
+        """With an index's stored settings: masses, mods and enzyme from the index, ranges only narrower."""
+        known = {f.name for f in fields(self)}
+        out = {k: v for k, v in stored.items() if k in known and k in ("static_mods", "cut_after", "no_cut_before", "cut_before", "enzyme", "decoys", "equal_il")}
+        for name in ("digest_mass", "length"):
+            if name in stored:
+                out[name] = (max(getattr(self, name)[0], stored[name][0]), min(getattr(self, name)[1], stored[name][1]))
+        if "variable_mods" in stored:
+            out["variable_mods"] = tuple(Mod(**m) for m in stored["variable_mods"])
+        return replace(self, **out)
+
+
+#: Which isotope steps each isotope error setting allows, and the size of a step.
+ISOTOPES = {0: (0,), 1: (0, 1), 2: (0, 1, 2), 3: (0, 1, 2, 3), 4: (-1, 0, 1, 2, 3), 5: (-1, 0, 1), 6: (-3, -2, -1, 0, 1, 2, 3), 7: (-2, -1, 0, 1, 2)}
+
+
+def isotope_step(setting: int) -> float:
+    return 4.0070995 if setting == 7 else C13_GAP
+
+
+def read_params(text: str) -> dict[str, str]:
+    """``name = value # comment`` lines of a parameter file; the last setting of a name wins, the enzyme table is left out."""
+    out: dict[str, str] = {}
+    for line in text.splitlines():
+        line = line.split("#", 1)[0].strip()
+        if line.startswith("["):
+            break
+        if "=" in line:
+            name, value = line.split("=", 1)
+            out[name.strip()] = value.strip()
+    return out
+
+
+def config_from_params(params: dict[str, str]) -> Config:
+    """The settings of a parameter file that have a field here."""
+    pair = lambda v, t: tuple(t(x) for x in v.split())[:2]
+    out: dict = {}
+    units = {"0": "amu", "1": "mmu", "2": "ppm"}
+    plain = {
+        "peptide_mass_tolerance": ("tolerance", float), "isotope_error": ("isotope_error", int), "allowed_missed_cleavage": ("missed_cleavages", int), "num_results": ("num_results", int),
+        "num_output_lines": ("num_output", int), "fragment_bin_tol": ("bin_width", float), "fragment_bin_offset": ("bin_offset", float), "max_fragment_charge": ("max_fragment_charge", int),
+        "minimum_peaks": ("min_peaks", int), "minimum_intensity": ("min_intensity", float), "decoy_search": ("decoys", int), "decoy_prefix": ("decoy_prefix", str), "num_enzyme_termini": ("termini", int),
+        "max_variable_mods_in_peptide": ("max_mods", int), "remove_precursor_peak": ("remove_precursor", int), "remove_precursor_tolerance": ("remove_tolerance", float), "max_duplicate_proteins": ("max_proteins", int),
+    }
+    for name, value in params.items():
+        if name in plain:
+            out[plain[name][0]] = plain[name][1](value)
+        elif name == "peptide_mass_units":
+            out["tolerance_unit"] = units[value]
+        elif name in ("digest_mass_range", "clear_mz_range"):
+            out["digest_mass" if name[0] == "d" else "clear_range"] = pair(value, float)
+        elif name in ("peptide_length_range", "precursor_charge"):
+            out["length" if "length" in name else name] = pair(value, int)
+        elif name in ("clip_nterm_methionine", "equal_I_and_L", "use_NL_ions"):
+            out[{"c": "clip_met", "e": "equal_il", "u": "use_nl_ions"}[name[0]]] = value == "1"
+        elif name.startswith("add_") and len(name) > 5 and name[5] == "_" and float(value):
+            out.setdefault("static_mods", {})[name[4]] = float(value)
+        elif name.startswith("variable_mod"):
+            part = value.split()
+            if float(part[0].split(",")[0]):
+                mod = Mod(float(part[0]), part[1].replace("X", ""), int(part[3].split(",")[-1]), int(part[2]), len(part) > 6 and part[6] == "1", float(part[7].split(",")[0]) if len(part) > 7 else 0.0)
+                out["variable_mods"] = (*out.get("variable_mods", ()), mod)
+    return Config(**out)

@@ -1,8 +1,490 @@
-"""The registered queries over the test tables and their SQL."""
+"""The registered queries over the test tables and their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The test tables hold no spectra or proteins: adapters read them as such (documents as protein sequences, events as
+peaks, orders as precursors and matches, part as candidates, embeddings as unit vectors), and every query runs the
+operators that searches use over all their rows. Results are rounded to a stated scale.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ionweave.config import C13_GAP, PROTON, Config, Mod
+from ionweave.functions import chemistry as chem
+from ionweave.operators import joins, peptides, scoring, spectra
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+CFG = Config()
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+class T:
+    """The adapters, over one folder of tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    @property
+    def proteins(self) -> DataFrame:
+        seq = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), LOWER, UPPER), "[^A-Z]", "")
+        return self.read("documents").select(F.col("doc_id").alias("prot_id"), seq.alias("seq"), "source")
+
+    @property
+    def peaks(self) -> DataFrame:
+        return self.read("events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("peak_id"), (F.col("value") * 4).alias("mz"), (F.col("event_id") % 1000 + 1).cast("double").alias("inten"))
+
+    @property
+    def precursors(self) -> DataFrame:
+        return self.read("orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_totalprice") / 100).alias("exp_mass"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("charge"))
+
+    @property
+    def candidates(self) -> DataFrame:
+        return self.read("part").select(F.col("p_partkey").alias("var_id"), F.col("p_retailprice").alias("mass"))
+
+    @property
+    def psms(self) -> DataFrame:
+        return self.read("orders").select(F.col("o_orderkey").alias("psm_id"), F.col("o_custkey").alias("qid"), F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").alias("is_decoy"))
+
+    @property
+    def bins(self) -> DataFrame:
+        return spectra.binned(self.peaks.withColumn("exp_mass", F.lit(5000.0)), CFG)
+
+    @property
+    def short_peptides(self) -> DataFrame:
+        """Tryptic peptides of all sequences, de-duplicated."""
+        return peptides.unique_peptides(peptides.digest(self.proteins, Config(missed_cleavages=0, length=(6, 30))), CFG)
+
+    @property
+    def vectors(self) -> DataFrame:
+        df = self.read("embeddings").select("vec_id", F.posexplode("embedding").alias("bin", "x"))
+        from pyspark.sql import Window
+
+        norm = F.sqrt(F.sum(F.col("x").cast("double") * F.col("x").cast("double")).over(Window.partitionBy("vec_id")))
+        return df.select(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("rt"), "bin", (F.col("x").cast("double") / norm).alias("v"))
+
+
+# The same adapters in SQL.
+PROT = f"(SELECT doc_id AS prot_id, regexp_replace(translate(coalesce(text, ''), '{LOWER}', '{UPPER}'), '[^A-Z]', '', 'g') AS seq FROM documents)"
+PEAKS = "(SELECT user_id AS qid, event_id AS peak_id, value * 4 AS mz, CAST(event_id % 1000 + 1 AS DOUBLE) AS inten FROM events)"
+PREC = "(SELECT o_orderkey AS qid, o_totalprice / 100 AS exp_mass, CAST(o_orderkey % 3 + 1 AS INT) AS charge FROM orders)"
+PSMS = "(SELECT o_orderkey AS psm_id, o_custkey AS qid, o_totalprice AS score, o_orderstatus = 'F' AS is_decoy FROM orders)"
+d = lambda x: f"{x!r}::DOUBLE"
+BIN = lambda m: f"CAST(trunc({m} * {d(1 / CFG.bin_width)} + {d(1 - CFG.bin_offset)}) AS INT)"
+BINS = f"(SELECT qid, bin, y, max(bin) OVER (PARTITION BY qid) AS hi_bin FROM (SELECT qid, {BIN('mz')} AS bin, max(sqrt(inten)) AS y FROM {PEAKS} WHERE inten > 0 AND mz < 5050 GROUP BY ALL))"
+TEN = f"""(SELECT qid, bin, y * 50 / win_top AS y FROM (SELECT *, max(y) OVER (PARTITION BY qid) AS top, max(y) OVER (PARTITION BY qid, win) AS win_top
+  FROM (SELECT *, CAST(trunc(bin / (trunc(hi_bin / 10) + 1)) AS INT) AS win FROM {BINS})) WHERE y > {d(0.05)} * top AND win < 10)"""
+MASSES = "(VALUES " + ", ".join(f"('{k}', {d(v)})" for k, v in chem.MASS.items()) + ") AS masses(aa, m)"
+#: Sites after K or R but before P, and both ends: pieces of a tryptic digest by rewriting with a mark.
+PIECES = f"""(SELECT prot_id, p AS peptide, k - 1 AS nth FROM (SELECT prot_id, unnest(pieces) AS p, generate_subscripts(pieces, 1) AS k
+  FROM (SELECT prot_id, string_split(replace(replace(replace(replace(seq, 'K', 'K|'), 'R', 'R|'), 'K|P', 'KP'), 'R|P', 'RP'), '|') AS pieces FROM {PROT})) WHERE p <> '')"""
+UNIQUE = f"""(SELECT replace(peptide, 'L', 'I') AS canon, arg_min(peptide, (prot_id, nth)) AS peptide, count(DISTINCT prot_id) AS n_prot, min(prot_id) AS first_prot
+  FROM {PIECES} WHERE length(peptide) BETWEEN 6 AND 30 GROUP BY 1)"""
+MASS_OF = lambda p: " + ".join(f"(length({p}) - length(replace({p}, '{k}', ''))) * {d(v)}" for k, v in sorted(chem.MASS.items())) + f" + {d(chem.WATER + PROTON)}"
+
+
+@query(f"SELECT qid, count(*) AS n, round(sum(inten), 2) AS total FROM (SELECT qid, CASE WHEN mz BETWEEN 200 AND 400 THEN 0 ELSE inten END AS inten FROM {PEAKS}) GROUP BY qid HAVING count(*) FILTER (WHERE inten > 0) >= 10")
+def clear_range_minpeaks(spark, sf):
+    return spectra.with_enough_peaks(spectra.clear_range(T(spark, sf).peaks, 200.0, 400.0), 10).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("inten"), 2).alias("total"))
+
+
+@query("""SELECT o_orderkey AS qid, unnest(CASE WHEN o_custkey % 4 > 0 THEN [CAST(o_custkey % 4 AS INT)] WHEN o_totalprice = 0 OR (o_orderkey % 100) / 100.0::DOUBLE > 0.95 THEN [1] ELSE [2, 3] END) AS charge FROM orders""")
+def charge_expand(spark, sf):
+    df = T(spark, sf).read("orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % 4).cast("int").alias("file_charge"), ((F.col("o_orderkey") % 100) / 100.0).alias("below_share"), F.col("o_totalprice").alias("total_inten"))
+    return spectra.expand_charges(df, 0, 2, 6).select("qid", "charge")
+
+
+@query(f"SELECT qid, charge, CAST(CASE WHEN charge = 1 THEN 1 ELSE least(charge - 1, 3) END AS INT) AS max_frag_charge FROM {PREC} WHERE exp_mass BETWEEN 600 AND 5000 AND charge BETWEEN 2 AND 6")
+def precursor_gate(spark, sf):
+    return spectra.gated(T(spark, sf).precursors, CFG).select("qid", "charge", "max_frag_charge")
+
+
+_PPM = Config(tolerance=20.0, tolerance_unit="ppm", isotope_error=3)
+
+
+@query(f"""SELECT qid, round(exp_mass - tol, 4) AS tol_low, round(exp_mass + tol, 4) AS tol_high, round(least(greatest(exp_mass - tol - 3 * {d(C13_GAP)}, 600), 5000), 4) AS lo, round(least(greatest(exp_mass + tol, 600), 5000), 4) AS hi
+FROM (SELECT *, (exp_mass + (charge - 1) * {d(PROTON)}) / charge * 20 * 1e-6::DOUBLE * charge AS tol FROM {PREC})""")
+def tolerance_window(spark, sf):
+    return spectra.tolerance_windows(T(spark, sf).precursors, _PPM).select("qid", *(F.round(c, 4).alias(c) for c in ("tol_low", "tol_high", "lo", "hi")))
+
+
+@query(f"SELECT qid, peak_id FROM (SELECT *, max(inten) OVER (PARTITION BY qid) AS top FROM {PEAKS}) WHERE inten >= greatest(20, top * {d(0.05)})")
+def intensity_cutoff(spark, sf):
+    return spectra.above_cutoff(T(spark, sf).peaks, 20.0, 0.05).select("qid", "peak_id")
+
+
+@query(f"SELECT qid, peak_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY inten DESC, mz, peak_id) AS k FROM {PEAKS} WHERE mz > 200 AND mz < 2000) WHERE k <= 20")
+def topn_peaks(spark, sf):
+    return spectra.most_intense(T(spark, sf).peaks, 20, 200.0, 2000.0).select("qid", "peak_id")
+
+
+@query(f"SELECT qid, bin, round(y, 5) AS y, hi_bin FROM {BINS}")
+def peak_bin_max(spark, sf):
+    return T(spark, sf).bins.select("qid", "bin", F.round("y", 5).alias("y"), "hi_bin")
+
+
+@query(f"""SELECT p.qid, count(*) AS n FROM {PEAKS} p JOIN (SELECT c_custkey AS qid, c_acctbal + 1500 AS exp_mass, CAST(c_custkey % 3 + 1 AS INT) AS charge FROM customer) q USING (qid)
+WHERE NOT list_bool_or(list_transform(range(1, charge + 1), lambda k: abs(mz - (exp_mass + (k - 1) * {d(PROTON)}) / k) <= 1.5)) GROUP BY p.qid""")
+def precursor_removal(spark, sf):
+    t = T(spark, sf)
+    q = t.read("customer").select(F.col("c_custkey").alias("qid"), (F.col("c_acctbal") + 1500).alias("exp_mass"), (F.col("c_custkey") % 3 + 1).cast("int").alias("charge"))
+    return spectra.without_precursor(t.peaks.join(q, "qid"), 2, 1.5).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT qid, bin, round(y, 5) AS y FROM {TEN}")
+def ten_window_norm(spark, sf):
+    return spectra.ten_window_normalised(T(spark, sf).bins).select("qid", "bin", F.round("y", 5).alias("y"))
+
+
+_FX = f"(SELECT qid, bin + k AS bin, sum(CASE WHEN k = 0 THEN y ELSE -y / 150 END) AS fx FROM {TEN}, (SELECT unnest(range(-75, 76)) AS k) WHERE bin + k >= 0 GROUP BY ALL)"
+_FLANK = f"(SELECT qid, bin + s AS bin, sum(fx * w) AS fx FROM {_FX}, (VALUES (0, 1.0::DOUBLE), (1, 0.5::DOUBLE), (-1, 0.5::DOUBLE)) AS m(s, w) WHERE bin + s >= 0 GROUP BY ALL)"
+
+
+@query(f"SELECT qid, bin, round(fx, 4) AS fx FROM {_FLANK}")
+def xcorr_transform(spark, sf):
+    return spectra.xcorr_array(spectra.ten_window_normalised(T(spark, sf).bins), CFG)[0].select("qid", "bin", F.round("fx", 4).alias("fx"))
+
+
+@query(f"SELECT qid, bin, round(sp, 4) AS sp, CAST(trunc(sp * 10 * 0.005::DOUBLE + 0.5::DOUBLE) AS INT) AS hist_floor FROM (SELECT qid, bin, 100 * y / max(y) OVER (PARTITION BY qid) AS sp FROM {BINS})")
+def sp_array(spark, sf):
+    return spectra.sp_array(T(spark, sf).bins).select("qid", "bin", F.round("sp", 4).alias("sp"), spectra.histogram_floor(F.col("sp")).alias("hist_floor"))
+
+
+@query(f"SELECT id, bin, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS v FROM (SELECT qid AS id, CAST(trunc(mz / 1.25::DOUBLE) AS INT) AS bin, max(sqrt(inten)) AS v FROM {PEAKS} WHERE mz BETWEEN 100 AND 1900 GROUP BY ALL)")
+def ms1_unit_vector(spark, sf):
+    return spectra.ms1_unit_vectors(T(spark, sf).peaks.withColumnRenamed("qid", "id"), 100.0, 1900.0, 1.25).select("id", "bin", F.round("v", 6).alias("v"))
+
+
+@query("SELECT o_orderkey AS qid, format('{:03d}_{}', CAST(trunc(k / 2) AS INT), CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END) AS tag FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders)")
+def mango_tags(spark, sf):
+    df = T(spark, sf).read("orders").select(F.col("o_orderkey").alias("qid"), F.col("o_custkey").alias("scan"))
+    return spectra.mango_tags(df, ["qid"]).select("qid", "tag")
+
+
+_DNA = "translate(seq, 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC')"
+
+
+@query(f"""WITH s AS (SELECT prot_id, {_DNA} AS dna FROM {PROT}), f AS (SELECT prot_id, frame, CASE WHEN frame <= 3 THEN dna ELSE reverse(translate(dna, 'ACGT', 'TGCA')) END AS strand, (frame - 1) % 3 AS o FROM s, (SELECT unnest(range(1, 7)) AS frame)),
+c AS (SELECT prot_id, frame, list_transform(range(0, (length(strand) - o) // 3), lambda k: substring(strand, k * 3 + 1 + o, 3)) AS l FROM f WHERE length(strand) - o >= 3)
+SELECT prot_id, CAST(frame AS INT) AS frame, md5(array_to_string(list_transform(l, lambda x: MAP {{{', '.join(f"'{k}': '{v}'" for k, v in chem.CODONS.items())}}}[x]), '')) AS protein FROM c""")
+def translate_frames(spark, sf):
+    df = T(spark, sf).proteins.select("prot_id", F.translate("seq", "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC").alias("dna"))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("frame"), chem.translated(F.col("dna"), k).alias("aa")) for k in range(1, 7)))).alias("f")
+    return df.select("prot_id", rows).where("f.aa <> ''").select("prot_id", "f.frame", F.md5("f.aa").alias("protein"))
+
+
+@query(f"""SELECT prot_id, count(*) AS n, count(DISTINCT p) AS n_distinct, min(p) AS first FROM (
+  SELECT prot_id, substring(seq, CAST(s AS INT), CAST(n AS INT)) AS p FROM {PROT}, (SELECT unnest(range(8, 10)) AS n), LATERAL (SELECT unnest(range(1, length(seq) - n + 2)) AS s)) GROUP BY prot_id""")
+def digest_noenzyme(spark, sf):
+    df = peptides.digest(T(spark, sf).proteins, Config(enzyme=False, length=(8, 9)))
+    return df.groupBy("prot_id").agg(F.count("*").alias("n"), F.countDistinct("peptide").alias("n_distinct"), F.min("peptide").alias("first"))
+
+
+@query(f"""WITH f AS (SELECT prot_id, peptide, nth FROM {PIECES}), p AS (SELECT a.prot_id, 0 AS missed, a.peptide FROM f a UNION ALL SELECT a.prot_id, 1, a.peptide || b.peptide FROM f a JOIN f b ON a.prot_id = b.prot_id AND b.nth = a.nth + 1)
+SELECT prot_id, CAST(missed AS INT) AS missed, count(*) AS n, min(peptide) AS first, max(peptide) AS last FROM p WHERE length(peptide) BETWEEN 5 AND 50 GROUP BY ALL""")
+def digest_tryptic(spark, sf):
+    df = peptides.digest(T(spark, sf).proteins, Config(missed_cleavages=1, length=(5, 50)))
+    return df.groupBy("prot_id", "missed").agg(F.count("*").alias("n"), F.min("peptide").alias("first"), F.max("peptide").alias("last"))
+
+
+@query(f"SELECT prot_id, substring(peptide, 2) AS peptide FROM {PIECES} WHERE nth = 0 AND peptide LIKE 'M%' AND length(peptide) BETWEEN 6 AND 51")
+def clip_met(spark, sf):
+    return peptides.with_clipped(T(spark, sf).proteins, Config(missed_cleavages=0, length=(5, 50), clip_met=True)).where("clipped").select("prot_id", "peptide")
+
+
+@query(f"SELECT canon, reverse(substring(peptide, 1, length(peptide) - 1)) || right(peptide, 1) AS decoy FROM {UNIQUE}")
+def decoy_reverse(spark, sf):
+    return peptides.with_decoys(T(spark, sf).short_peptides).where("is_decoy").select("canon", F.col("peptide").alias("decoy"))
+
+
+@query(f"SELECT canon, round({MASS_OF('peptide')}, 4) AS mass FROM {UNIQUE}")
+def peptide_mass(spark, sf):
+    return T(spark, sf).short_peptides.select("canon", F.round("mass", 4).alias("mass"))
+
+
+@query(f"SELECT canon, peptide, n_prot, first_prot FROM {UNIQUE}")
+def il_canon_dedup(spark, sf):
+    return T(spark, sf).short_peptides.select("canon", "peptide", F.size("prot_ids").cast("long").alias("n_prot"), F.get("prot_ids", F.lit(0)).alias("first_prot"))
+
+
+@query(f"""SELECT canon, string_agg(source, ',' ORDER BY prot_id) AS names FROM (SELECT canon, prot_id, row_number() OVER (PARTITION BY canon ORDER BY prot_id) AS k
+  FROM (SELECT DISTINCT replace(peptide, 'L', 'I') AS canon, prot_id FROM {PIECES} WHERE length(peptide) BETWEEN 6 AND 30)) JOIN documents ON doc_id = prot_id WHERE k <= 3 GROUP BY canon""")
+def protein_list(spark, sf):
+    t = T(spark, sf)
+    return joins.with_proteins(t.short_peptides.withColumnRenamed("canon", "psm_id"), t.proteins.withColumnRenamed("source", "name"), 3).withColumnRenamed("psm_id", "canon")
+
+
+_IONS = f"""(WITH u AS (SELECT canon, peptide, length(peptide) AS n FROM {UNIQUE}),
+r AS (SELECT canon, n, k, m FROM (SELECT canon, n, unnest(string_split(peptide, '')) AS aa, generate_subscripts(string_split(peptide, ''), 1) AS k FROM u) JOIN {MASSES} USING (aa)),
+p AS (SELECT canon, n, k AS pos, sum(m) OVER (PARTITION BY canon ORDER BY k) AS pre, sum(m) OVER (PARTITION BY canon) AS total FROM r),
+i AS (SELECT canon, 'b' AS series, 0 AS o, pos, pre + {d(PROTON)} AS mh FROM p WHERE pos < n UNION ALL SELECT canon, 'y', 1, n - pos, total - pre + {d(chem.WATER)} + {d(PROTON)} FROM p WHERE pos < n)
+SELECT canon, charge, o, series, pos, (mh + (charge - 1) * {d(PROTON)}) / charge AS mz FROM i, (VALUES (1), (2)) AS z(charge))"""
+
+
+@query(f"SELECT canon, charge, series, count(*) AS n, round(sum(mz), 2) AS total, round(max(mz), 3) AS top FROM {_IONS} GROUP BY ALL")
+def fragment_ions(spark, sf):
+    ions = peptides.fragment_ions(T(spark, sf).short_peptides, CFG, "canon", 2)
+    return ions.groupBy("canon", "charge", "series").agg(F.count("*").alias("n"), F.round(F.sum("mz"), 2).alias("total"), F.round(F.max("mz"), 3).alias("top"))
+
+
+@query(f"SELECT canon, count(DISTINCT {BIN('mz')}) AS n_bins, count(*) AS n_ions FROM {_IONS} GROUP BY canon")
+def ion_bin_dedup(spark, sf):
+    ions = peptides.fragment_ions(T(spark, sf).short_peptides, CFG, "canon", 2)
+    return peptides.first_of_bin(ions.withColumn("all", F.lit(1)), "canon").groupBy("canon").agg(F.count("*").alias("n_bins")).join(ions.groupBy("canon").agg(F.count("*").alias("n_ions")), "canon")
+
+
+_MODS = (Mod(15.9949, "M", 2), Mod(79.966331, "STY", 2))
+
+
+@query(f"SELECT regexp_replace(peptide, '[^MSTY]', '', 'g') AS mod_seq, count(*) AS n FROM {UNIQUE} GROUP BY 1")
+def mod_seq_classes(spark, sf):
+    return T(spark, sf).short_peptides.groupBy(peptides.modifiable(F.col("peptide"), _MODS).alias("mod_seq")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH u AS (SELECT canon, len(regexp_extract_all(peptide, 'M')) AS m, len(regexp_extract_all(peptide, '[STY]')) AS s, {MASS_OF('peptide')} AS mass FROM {UNIQUE})
+SELECT canon, 1 + m + s + (m + s) * (m + s - 1) // 2 AS n, round(mass + CASE WHEN s >= 2 THEN 2 * {d(79.966331)} WHEN s = 1 AND m >= 1 THEN {d(79.966331)} + {d(15.9949)} WHEN s = 1 THEN {d(79.966331)} WHEN m >= 1 THEN least(m, 2) * {d(15.9949)} ELSE 0 END, 4) AS heaviest FROM u""")
+def mod_permute_k2(spark, sf):
+    df = peptides.modified(T(spark, sf).short_peptides, Config(variable_mods=_MODS, max_mods=2, digest_mass=(0.0, 1e9)))
+    return df.groupBy("canon").agg(F.count("*").alias("n"), F.round(F.max("mass"), 4).alias("heaviest"))
+
+
+_WIN = f"(SELECT qid, exp_mass, exp_mass - 3 AS lo, exp_mass + 3 AS hi FROM {PREC})"
+
+
+@query(f"SELECT qid, count(*) AS n, min(p_partkey) AS first FROM {_WIN} JOIN part ON p_retailprice BETWEEN lo AND hi GROUP BY qid")
+def mass_range_join(spark, sf):
+    t = T(spark, sf)
+    q = t.precursors.withColumns({"lo": F.col("exp_mass") - 3, "hi": F.col("exp_mass") + 3})
+    return joins.range_join(q, t.candidates, "lo", "hi", "mass", 6.0).groupBy("qid").agg(F.count("*").alias("n"), F.min("var_id").alias("first"))
+
+
+@query(f"SELECT qid, count(*) AS n FROM {PREC} JOIN part ON p_retailprice BETWEEN exp_mass - 4 AND exp_mass + 4 WHERE abs(p_retailprice - exp_mass) <= 0.05::DOUBLE OR abs(p_retailprice + {d(C13_GAP)} - exp_mass) <= 0.05::DOUBLE OR abs(p_retailprice + 2 * {d(C13_GAP)} - exp_mass) <= 0.05::DOUBLE GROUP BY qid")
+def isotope_join(spark, sf):
+    t = T(spark, sf)
+    q = t.precursors.withColumns({"lo": F.col("exp_mass") - 4, "hi": F.col("exp_mass") + 4})
+    match = spectra.isotope_match(F.col("exp_mass"), F.lit(0.05), F.col("mass"), Config(isotope_error=2))
+    return joins.range_join(q, t.candidates, "lo", "hi", "mass", 8.0, match).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey AS var_id FROM part WHERE floor(p_retailprice / 0.5::DOUBLE) IN (SELECT unnest(range(CAST(floor((exp_mass - 0.01::DOUBLE) / 0.5::DOUBLE) AS BIGINT), CAST(floor((exp_mass + 0.01::DOUBLE) / 0.5::DOUBLE) AS BIGINT) + 1)) FROM {PREC})")
+def semi_join_precursor(spark, sf):
+    t = T(spark, sf)
+    return joins.precursor_semi_join(t.candidates, t.precursors.withColumns({"lo": F.col("exp_mass") - 0.01, "hi": F.col("exp_mass") + 0.01}), 0.5).select("var_id")
+
+
+_QB = f"(SELECT qid, bin, 1000.0::DOUBLE AS lo, 1800.0::DOUBLE AS hi FROM {BINS})"
+
+
+@query(f"""SELECT qid, var_id, n_shared FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n_shared DESC, var_id) AS k FROM (
+  SELECT qid, l_partkey AS var_id, count(*) AS n_shared FROM {_QB} q JOIN (SELECT DISTINCT l_partkey, CAST(l_suppkey * 13 + l_linenumber AS INT) AS bin FROM lineitem) i USING (bin) JOIN part ON p_partkey = l_partkey
+  WHERE p_retailprice BETWEEN lo AND hi GROUP BY ALL) WHERE n_shared >= 2) WHERE k <= 10""")
+def inverted_index_count(spark, sf):
+    t = T(spark, sf)
+    index = t.read("lineitem").select(F.col("l_partkey").alias("var_id"), (F.col("l_suppkey") * 13 + F.col("l_linenumber")).cast("int").alias("bin")).distinct().join(t.candidates, "var_id")
+    return joins.inverted_index_counts(t.bins.select("qid", "bin", F.lit(1000.0).alias("lo"), F.lit(1800.0).alias("hi")), index, 2, 10)
+
+
+_XC = f"""(SELECT qid, cand_id, round(sum(fx) * 0.005::DOUBLE, 3) AS xcorr, max(o_orderkey % 26) AS r FROM {_FX} JOIN (SELECT DISTINCT o_custkey AS qid, o_orderkey AS cand_id, CAST(l_suppkey * 7 + l_linenumber * 31 AS INT) AS bin
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey) USING (qid, bin) JOIN orders ON o_orderkey = cand_id GROUP BY qid, cand_id)"""
+
+
+def _scored(spark, sf) -> DataFrame:
+    t = T(spark, sf)
+    fx = spectra.scattered(spectra.ten_window_normalised(t.bins))
+    pairs = t.read("orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("cand_id"))
+    bins = t.read("lineitem").select(F.col("l_orderkey").alias("cand_id"), (F.col("l_suppkey") * 7 + F.col("l_linenumber") * 31).cast("int").alias("bin")).distinct()
+    return scoring.dot_products(pairs, bins, fx)
+
+
+@query(f"SELECT o_custkey AS qid, o_orderkey AS cand_id, round(coalesce(xcorr, 0), 3) AS xcorr FROM orders LEFT JOIN {_XC} x ON x.cand_id = o_orderkey")
+def xcorr_dot(spark, sf):
+    return _scored(spark, sf)
+
+
+@query(f"""SELECT qid, hbin, count(*) AS n FROM (SELECT qid, CAST(CASE WHEN r < 8 AND raw < 3 THEN 3 ELSE raw END AS INT) AS hbin FROM (
+  SELECT o_custkey AS qid, o_orderkey % 26 AS r, least(greatest(trunc(coalesce(xcorr, 0) * 10 + 0.5::DOUBLE), 0), 151) AS raw FROM orders LEFT JOIN {_XC} x ON x.cand_id = o_orderkey)) GROUP BY ALL""")
+def xcorr_histogram(spark, sf):
+    df = _scored(spark, sf).withColumn("first_residue", F.char(F.col("cand_id") % 26 + 65)).withColumn("floor_bin", F.lit(3))
+    return scoring.histogram(df)
+
+
+@query(f"SELECT qid, psm_id, is_decoy FROM (SELECT *, row_number() OVER (PARTITION BY qid, is_decoy ORDER BY score DESC, psm_id) AS k FROM {PSMS}) WHERE k <= 5")
+def topk_per_query(spark, sf):
+    return scoring.top_k(T(spark, sf).psms, 5, [F.desc("score"), "psm_id"], ["qid", "is_decoy"]).select("qid", "psm_id", "is_decoy")
+
+
+@query("""SELECT l_suppkey AS qid, l_returnflag AS canon, l_linenumber AS sites, arg_min(l_linestatus || l_orderkey, (l_linestatus = 'F', l_orderkey)) AS peptide, round(max(l_extendedprice), 2) AS xcorr, bool_and(l_linestatus = 'F') AS is_decoy, count(DISTINCT l_orderkey) AS n_prot FROM lineitem GROUP BY ALL""")
+def dup_merge(spark, sf):
+    df = T(spark, sf).read("lineitem").select(F.col("l_suppkey").alias("qid"), F.col("l_returnflag").alias("canon"), F.col("l_linenumber").alias("sites"), F.concat("l_linestatus", F.col("l_orderkey").cast("string")).alias("peptide"), F.col("l_extendedprice").alias("xcorr"), (F.col("l_linestatus") == "F").alias("is_decoy"), F.col("l_orderkey").alias("prot_id"))
+    return scoring.merged_duplicates(df).select("qid", "canon", "sites", "peptide", F.round("xcorr", 2).alias("xcorr"), "is_decoy", F.size("prot_ids").cast("long").alias("n_prot"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS psm_id, l_linenumber AS pos, max(CASE WHEN l_returnflag = 'N' THEN 0.0::DOUBLE ELSE l_quantity END) AS sp FROM lineitem GROUP BY ALL),
+h AS (SELECT *, CASE WHEN sp > 0 AND coalesce(lag(sp) OVER (PARTITION BY psm_id ORDER BY pos), 0) > 0 THEN 1 ELSE 0 END AS row FROM m)
+SELECT psm_id, round(sum(sp) * count(*) FILTER (WHERE sp > 0) * (1 + 0.075::DOUBLE * sum(row)) / count(*), 2) AS sp_score, count(*) FILTER (WHERE sp > 0) AS matched, count(*) AS total_ions FROM h GROUP BY psm_id""")
+def sp_consecutive(spark, sf):
+    df = T(spark, sf).read("lineitem").select(F.col("l_orderkey").alias("psm_id"), F.lit("b").alias("series"), F.lit(1).alias("charge"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "N", 0.0).otherwise(F.col("l_quantity")).alias("sp"))
+    return scoring.sp_scores(df.groupBy("psm_id", "series", "charge", "pos").agg(F.max("sp").alias("sp")))
+
+
+@query(f"SELECT psm_id, CAST(dense_rank() OVER (PARTITION BY qid ORDER BY floor(score / 1000) DESC) AS INT) AS rank_xcorr FROM {PSMS}")
+def dense_rank_scores(spark, sf):
+    return scoring.dense_ranks(T(spark, sf).psms.withColumn("s", F.floor(F.col("score") / 1000)), "s", "rank_xcorr").select("psm_id", "rank_xcorr")
+
+
+_TOP = "(SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth, o_orderpriority AS peptide, o_totalprice AS xcorr FROM orders)"
+
+
+def _ranked(spark, sf) -> DataFrame:
+    df = T(spark, sf).read("orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey"), F.col("o_orderpriority").alias("peptide"), F.col("o_totalprice").alias("xcorr"))
+    return scoring.top_k(df, 6, [F.desc("xcorr"), "o_orderkey"], ["qid"]).drop("o_orderkey")
+
+
+@query(f"""WITH t AS (SELECT * FROM {_TOP} WHERE nth <= 6), p AS (SELECT a.qid, a.nth, a.xcorr, min(b.nth) AS other FROM t a LEFT JOIN t b ON a.qid = b.qid AND b.nth > a.nth AND
+  len(list_filter(range(1, least(length(a.peptide), length(b.peptide)) + 1), lambda i: translate(a.peptide, 'IQ', 'LK')[i] = translate(b.peptide, 'IQ', 'LK')[i]))::DOUBLE / least(length(a.peptide), length(b.peptide)) < 0.75 GROUP BY ALL)
+SELECT p.qid, p.nth, round(coalesce(1 - b.xcorr / p.xcorr, 0), 4) AS delta_cn FROM p LEFT JOIN t b ON b.qid = p.qid AND b.nth = p.other""")
+def delta_cn(spark, sf):
+    return scoring.delta_cn(_ranked(spark, sf)).select("qid", "nth", "delta_cn")
+
+
+@query(f"SELECT qid, nth, round(1 - last_value(xcorr) OVER (PARTITION BY qid ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / xcorr, 4) AS last_delta_cn FROM {_TOP} WHERE nth <= 6")
+def last_delta_cn(spark, sf):
+    return scoring.last_delta_cn(_ranked(spark, sf)).select("qid", "nth", "last_delta_cn")
+
+
+_HIST = "(SELECT o_custkey AS qid, CAST(trunc(o_totalprice / 5000) AS INT) AS hbin, count(*) AS n FROM orders GROUP BY ALL)"
+
+
+def _hist(spark, sf) -> DataFrame:
+    return T(spark, sf).read("orders").groupBy(F.col("o_custkey").alias("qid"), (F.col("o_totalprice") / 5000).cast("int").alias("hbin")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT qid, hbin, n, CAST(sum(n) OVER (PARTITION BY qid ORDER BY hbin DESC) AS BIGINT) AS cum, round(log10(sum(n) OVER (PARTITION BY qid ORDER BY hbin DESC)), 6) AS log_cum FROM {_HIST}")
+def survival_cumulative(spark, sf):
+    return scoring.survival(_hist(spark, sf))
+
+
+@query("SELECT o_orderkey AS psm_id, round(CASE WHEN o_custkey % 7 = 0 THEN 999 ELSE least(pow(10, -0.3::DOUBLE * (o_totalprice / 100000) * 10 * 0.5::DOUBLE + 3), 999) END, 4) AS expect FROM orders")
+def evalue_projection(spark, sf):
+    slope = F.when(F.col("o_custkey") % 7 == 0, F.lit(0.1)).otherwise(F.lit(-0.15))
+    return T(spark, sf).read("orders").select(F.col("o_orderkey").alias("psm_id"), F.round(scoring.evalue(F.col("o_totalprice") / 100000, slope, F.lit(3.0)), 4).alias("expect"))
+
+
+@query()
+def evalue_fit(spark, sf):
+    return scoring.fitted(_hist(spark, sf)).select("qid", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+_Q = f"""(WITH o AS (SELECT *, row_number() OVER (ORDER BY score DESC, psm_id) AS k FROM {PSMS}),
+f AS (SELECT *, CASE WHEN sum((NOT is_decoy)::INT) OVER w > 0 THEN sum(is_decoy::INT) OVER w / (sum((NOT is_decoy)::INT) OVER w)::DOUBLE ELSE 1 END AS fdr FROM o WINDOW w AS (ORDER BY k))
+SELECT psm_id, is_decoy, min(fdr) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM f)"""
+
+
+def _q(spark, sf) -> DataFrame:
+    return scoring.q_values(T(spark, sf).psms, [("score", True), ("psm_id", False)])
+
+
+@query(f"SELECT psm_id, is_decoy, round(q, 6) AS q FROM {_Q}")
+def qvalue_tda(spark, sf):
+    return _q(spark, sf).select("psm_id", "is_decoy", F.round("q", 6).alias("q"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE NOT is_decoy AND q <= 0.4::DOUBLE) AS q_0_4, count(*) FILTER (WHERE NOT is_decoy AND q <= 0.5::DOUBLE) AS q_0_5 FROM {_Q}")
+def qvalue_counts(spark, sf):
+    return scoring.passing(_q(spark, sf), [0.4, 0.5])
+
+
+@query(f"SELECT o_orderkey AS psm_id FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT psm_id FROM {_Q} WHERE NOT is_decoy AND q <= 0.49::DOUBLE)")
+def qvalue_diff(spark, sf):
+    t = T(spark, sf)
+    return t.psms.where("not is_decoy").select("psm_id").join(_q(spark, sf).where("not is_decoy and q <= 0.49").select("psm_id"), "psm_id", "left_anti")
+
+
+@query("""WITH v AS (SELECT vec_id, k, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)),
+dots AS (SELECT q.vec_id AS qid, l.vec_id AS lib_id, round(sum(q.v * l.v), 5) AS dot FROM v q JOIN v l ON q.k = l.k AND q.vec_id % 2 = 1 AND l.vec_id % 2 = 0 AND abs(q.vec_id - l.vec_id) <= 20 GROUP BY ALL)
+SELECT qid, arg_max(lib_id, (dot, -lib_id)) AS lib_id, max(dot) AS dot FROM dots GROUP BY qid""")
+def ms1_cosine_top1(spark, sf):
+    v = T(spark, sf).vectors
+    return scoring.cosine_top1(v.where("id % 2 = 1"), v.where("id % 2 = 0"), 20.0)
+
+
+@query("""WITH p AS (SELECT event_type AS g, epoch(ts) - 1704067200 AS x, value AS y FROM events), a AS (SELECT g, regr_slope(y, x) AS s, regr_intercept(y, x) AS b FROM p GROUP BY g),
+r AS (SELECT p.*, s, b, abs(y - s * x - b) AS r FROM p JOIN a USING (g)), k AS (SELECT r.* FROM r JOIN (SELECT g, 2 * stddev_samp(r) AS m FROM r GROUP BY g) USING (g) WHERE r <= m)
+SELECT g, round(regr_slope(y, x) * 1e6, 4) AS slope, round(regr_intercept(y, x), 4) AS intercept, count(*) AS n FROM k GROUP BY g""")
+def rt_robust_ols(spark, sf):
+    p = T(spark, sf).read("events").select(F.col("event_type").alias("g"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200.0).alias("x"), F.col("value").alias("y"))
+    return scoring.robust_lines(p, "g").select("g", F.round(F.col("slope") * 1e6, 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+@query()
+def rt_history_alignment(spark, sf):
+    p = T(spark, sf).read("events").select(F.col("user_id").alias("run"), F.col("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("query_rt"), F.col("value").alias("ref_rt"))
+    return scoring.retention_alignment(p, "run").select("event_id", F.round("predicted", 3).alias("predicted"))
+
+
+@query(f"""SELECT qid, count(*) AS n, min(s_suppkey) AS first FROM {PREC} q JOIN (SELECT DISTINCT s_suppkey, unnest(range(CAST(floor((s_acctbal - 1) / 2) AS BIGINT), CAST(floor((s_acctbal + 1) / 2) AS BIGINT) + 1)) AS b FROM supplier) ON b = floor(exp_mass / 2) GROUP BY qid""")
+def speclib_bin_join(spark, sf):
+    t = T(spark, sf)
+    lib = t.read("supplier").select(F.col("s_suppkey").alias("lib_id"), F.col("s_acctbal").alias("mass"))
+    return joins.library_bins(lib, t.precursors, 1.0, 2.0).groupBy("qid").agg(F.count("*").alias("n"), F.min("lib_id").alias("first"))
+
+
+@query(f"""SELECT canon, CAST(2 AS INT) AS ntt_closed, CAST((right(peptide, 1) IN ('K', 'R'))::INT AS INT) AS ntt_open, CAST(len(regexp_extract_all(replace(replace(left(peptide, -1), 'KP', ''), 'RP', ''), '[KR]')) - (regexp_matches(left(peptide, -1), '[KR]$') AND right(peptide, 1) = 'P')::INT AS INT) AS nmc FROM {UNIQUE}""")
+def ntt_nmc(spark, sf):
+    df = T(spark, sf).short_peptides
+    return df.select("canon", scoring.tolerable_termini(F.col("peptide"), F.lit("-"), F.lit("-")).alias("ntt_closed"), scoring.tolerable_termini(F.col("peptide"), F.lit("A"), F.lit("A")).alias("ntt_open"), scoring.missed_cleavages(F.col("peptide")).alias("nmc"))
+
+
+@query(f"SELECT canon, replace(peptide, 'M', 'M[15.9949]') AS modified, coalesce(nullif(array_to_string(list_transform(list_filter(range(1, length(peptide) + 1), lambda i: peptide[i] = 'M'), lambda i: i || '_V_15.994900'), ','), ''), '-') AS mods FROM {UNIQUE}")
+def mod_string(spark, sf):
+    at = F.filter(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.substring("peptide", i, F.lit(1)) == "M")
+    df = T(spark, sf).short_peptides.withColumn("at", at).withColumn("by", F.transform("at", lambda _: F.lit(15.9949)))
+    return df.select("canon", chem.modified_string(F.col("peptide"), F.col("at"), F.col("by")).alias("modified"), chem.modification_list(F.col("at"), F.col("by")).alias("mods"))
+
+
+@query("""SELECT o_orderkey AS psm_id, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS label, round(CASE WHEN o_orderkey % 5 = 0 THEN -20 ELSE ln(o_orderkey % 5) END, 6) AS ln_rsp, round(ln(o_totalprice), 6) AS ln_expect, CAST((o_orderkey % 3 = 0)::INT AS INT) AS charge1, CAST((o_orderkey % 3 = 1)::INT AS INT) AS charge2, CAST((o_orderkey % 3 = 2)::INT AS INT) AS charge3 FROM orders""")
+def pin_features(spark, sf):
+    from ionweave.sources import writers
+
+    df = T(spark, sf).read("orders").select(F.col("o_orderkey").alias("psm_id"), (F.col("o_orderstatus") == "F").alias("is_decoy"), (F.col("o_orderkey") % 5).alias("rank_sp"), F.col("o_totalprice").alias("expect"), (F.col("o_orderkey") % 3 + 1).alias("charge"))
+    return df.select("psm_id", writers.label(F.col("is_decoy")).alias("label"), F.round(chem.log_or(F.col("rank_sp")), 6).alias("ln_rsp"), F.round(chem.log_or(F.col("expect")), 6).alias("ln_expect"), *writers.one_hot_charge(F.col("charge"), 1, 3))
+
+
+@query("""SELECT qid AS scan, nth AS num, printf('%.6f', xcorr / 100) AS exp_neutral_mass, printf('%.4f', xcorr / 100) AS xcorr, peptide AS plain_peptide FROM (SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth, o_orderpriority AS peptide, o_totalprice AS xcorr FROM orders) WHERE nth <= 5""")
+def txt_projection(spark, sf):
+    from ionweave.sources import writers
+
+    df = _ranked(spark, sf).where("nth <= 5").withColumn("x", F.col("xcorr") / 100)
+    return df.select(F.col("qid").alias("scan"), F.col("nth").alias("num"), writers.fixed(F.col("x"), 6).alias("exp_neutral_mass"), writers.fixed(F.col("x"), 4).alias("xcorr"), F.col("peptide").alias("plain_peptide"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole search: documents as proteins, events as peaks, the best peptide of each user's spectrum."""
+    from ionweave.plans.search import search
+
+    t = T(spark, sf_dir)
+    peaks = t.peaks.groupBy("qid").agg(F.collect_list(F.struct("mz", F.col("inten").cast("float").alias("inten"))).alias("peaks"))
+    scans = peaks.select(
+        F.lit("events").alias("file"), F.col("qid").cast("int").alias("scan"), F.lit(2).alias("ms_level"), F.lit(0.0).cast("float").alias("rt_sec"), F.lit(None).cast("string").alias("activation"), F.lit(None).cast("string").alias("native_id"),
+        (F.lit(500.0) + F.col("qid") % 200).alias("precursor_mz"), F.array(F.struct(F.lit(2).alias("z"), ((F.lit(500.0) + F.col("qid") % 200) * 2 - PROTON).alias("mh"))).alias("zstates"), "peaks",
+    )
+    prot = t.proteins.select("prot_id", F.concat(F.lit("doc"), F.col("prot_id")).alias("name"), "seq")
+    return search(scans, prot, Config(length=(6, 20), tolerance=3.0))
+
+
+@query()
+def search_top_match(spark, sf):
+    return flagship(spark, sf)
