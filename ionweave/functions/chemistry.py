@@ -69,10 +69,9 @@ def decoy(peptide: Column, keep_last: bool = True) -> Column:
 def translated(dna: Column, frame: int) -> Column:
     """Reading frame 1 to 3, or 4 to 6 of the reverse complement; unknown codons are *."""
     strand = dna if frame <= 3 else F.reverse(F.translate(dna, "ACGT", "TGCA"))
-    start, table = (frame - 1) % 3, literal_map(CODONS)
-    n = F.floor((F.length(strand) - start) / 3).cast("int")
-    codons = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.coalesce(F.element_at(table, F.substring(strand, k * 3 + 1 + start, F.lit(3))), F.lit("*")))
-    return F.when(n > 0, F.array_join(codons, "")).otherwise(F.lit(""))
+    table = literal_map(CODONS)
+    codons = F.regexp_extract_all(F.substring(strand, (frame - 1) % 3 + 1, 1 << 30), F.lit("..."), F.lit(0))
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(table, c), F.lit("*"))), "")
 
 
 def modified_string(peptide: Column, sites: Column, deltas: Column) -> Column:

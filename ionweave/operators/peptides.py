@@ -114,7 +114,9 @@ def modified(peptides: DataFrame, cfg: Config) -> DataFrame:
     Placements are made once for each distinct string of modifiable residues and joined back.
     """
     mods, lo, hi = cfg.variable_mods, *cfg.digest_mass
-    base = peptides.withColumn("mod_seq", modifiable(F.col("peptide"), mods))
+    letters = "".join(sorted({c for m in mods for c in m.residues if c.isupper()})) or "~"
+    pos = F.filter(F.transform(F.split("peptide", ""), lambda c, i: F.when(c.rlike(f"[{letters}]"), i + 1)), lambda i: i.isNotNull())
+    base = peptides.withColumn("mod_seq", modifiable(F.col("peptide"), mods)).withColumn("_pos", pos)
     if not mods:
         return base.select(*peptides.columns, F.array_repeat(F.lit(0), F.length("peptide") + 2).alias("sites"), F.lit(0.0).alias("mod_mass")).where(F.col("mass").between(lo, hi))
 
@@ -127,18 +129,16 @@ def modified(peptides: DataFrame, cfg: Config) -> DataFrame:
     placed = base.select("mod_seq").distinct().mapInArrow(permute, "mod_seq string, placement array<int>")
     ends = {e: [0, *(k + 1 for k, m in enumerate(mods) if e in m.residues)] for e in "nc"}
     term = F.explode(F.array(*(F.struct(F.lit(a).alias("n"), F.lit(b).alias("c")) for a in ends["n"] for b in ends["c"]))).alias("t")
-    letters = "".join(sorted({c for m in mods for c in m.residues if c.isupper()})) or "~"
-    pos = F.filter(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.substring("peptide", i, F.lit(1)).rlike(f"[{letters}]"))
-    where = F.map_from_arrays(pos, F.col("placement"))
-    sites = F.concat(F.transform(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.coalesce(F.element_at(where, i), F.lit(0))), F.array(F.col("t.n"), F.col("t.c")))
-    df = base.join(placed, "mod_seq").select(*peptides.columns, "placement", term).withColumn("sites", sites)
+    df = base.join(placed, "mod_seq").select(*peptides.columns, "placement", "_pos", term)
+    own = F.transform(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.coalesce(F.get("placement", F.array_position("_pos", i).cast("int") - 1), F.lit(0)))
+    df = df.withColumn("sites", F.concat(own, F.array(F.col("t.n"), F.col("t.c"))))
     delta = F.array(F.lit(0.0), *(F.lit(m.mass) for m in mods))
     df = df.withColumn("mod_mass", F.aggregate("sites", F.lit(0.0), lambda s, k: s + F.element_at(delta, k + 1)))
     df = df.where(F.size(F.filter("sites", lambda k: k > 0)) <= cfg.max_mods)
     for k, m in enumerate(mods):
         if m.required:
             df = df.where(F.array_contains("sites", k + 1))
-    return df.withColumn("mass", F.col("mass") + F.col("mod_mass")).where(F.col("mass").between(lo, hi)).drop("placement", "t")
+    return df.withColumn("mass", F.col("mass") + F.col("mod_mass")).where(F.col("mass").between(lo, hi)).drop("placement", "t", "_pos")
 
 
 def fragment_ions(candidates: DataFrame, cfg: Config, key: str = "cand_id", most_charge: int | None = None) -> DataFrame:

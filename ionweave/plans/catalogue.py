@@ -332,11 +332,11 @@ def dup_merge(spark, sf):
     return scoring.merged_duplicates(df).select("qid", "canon", "sites", "peptide", F.round("xcorr", 2).alias("xcorr"), "is_decoy", F.size("prot_ids").cast("long").alias("n_prot"))
 
 
-@query("""WITH m AS (SELECT l_orderkey AS psm_id, l_linenumber AS pos, max(CASE WHEN l_returnflag = 'N' THEN 0.0::DOUBLE ELSE l_quantity END) AS sp FROM lineitem GROUP BY ALL),
+@query("""WITH m AS (SELECT l_orderkey AS psm_id, l_linenumber AS pos, max(CASE WHEN l_returnflag = 'N' THEN 0.0::DOUBLE ELSE l_quantity * 0.7310585::DOUBLE END) AS sp FROM lineitem GROUP BY ALL),
 h AS (SELECT *, CASE WHEN sp > 0 AND coalesce(lag(sp) OVER (PARTITION BY psm_id ORDER BY pos), 0) > 0 THEN 1 ELSE 0 END AS row FROM m)
 SELECT psm_id, round(sum(sp) * count(*) FILTER (WHERE sp > 0) * (1 + 0.075::DOUBLE * sum(row)) / count(*), 2) AS sp_score, count(*) FILTER (WHERE sp > 0) AS matched, count(*) AS total_ions FROM h GROUP BY psm_id""")
 def sp_consecutive(spark, sf):
-    df = T(spark, sf).read("lineitem").select(F.col("l_orderkey").alias("psm_id"), F.lit("b").alias("series"), F.lit(1).alias("charge"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "N", 0.0).otherwise(F.col("l_quantity")).alias("sp"))
+    df = T(spark, sf).read("lineitem").select(F.col("l_orderkey").alias("psm_id"), F.lit("b").alias("series"), F.lit(1).alias("charge"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "N", 0.0).otherwise(F.col("l_quantity") * 0.7310585).alias("sp"))
     return scoring.sp_scores(df.groupBy("psm_id", "series", "charge", "pos").agg(F.max("sp").alias("sp")))
 
 

@@ -1,0 +1,148 @@
+import base64
+import gzip
+import struct
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from ionweave.config import PROTON, Config, Mod, config_from_params, read_params
+from ionweave.functions import chemistry as chem
+from ionweave.operators import peptides, scoring
+from ionweave.plans.search import build_index, search, search_index
+from ionweave.sources import readers, writers
+
+
+def proteins(spark, *seqs):
+    return spark.createDataFrame([(k, f"p{k}", s) for k, s in enumerate(seqs)], "prot_id long, name string, seq string")
+
+
+def digested(spark, seq, **kw):
+    return sorted(r.peptide for r in peptides.digest(proteins(spark, seq), Config(**kw)).collect())
+
+
+def test_mass_of_peptide(spark):
+    (r,) = spark.createDataFrame([("PEPTIDE",)], "p string").select(chem.peptide_mass(F.col("p")).alias("m")).collect()
+    assert r.m == pytest.approx(800.36722, abs=0.002)
+
+
+def test_digestion(spark):
+    assert digested(spark, "ACDEFGHIKL", enzyme=False, length=(8, 10)) == sorted("ACDEFGHIKL"[i : i + n] for n in (8, 9, 10) for i in range(11 - n))
+    seq = "MAKRPEPTIDEKGASTMVR"
+    assert "RPEPTIDEK" in digested(spark, seq, missed_cleavages=0, length=(5, 50)) and "MAKRPEPTIDEK" in digested(spark, seq, missed_cleavages=1)
+    semi = digested(spark, seq, missed_cleavages=0, termini=1, length=(5, 6))
+    assert {"RPEPT", "TIDEK"} <= set(semi) and "EPTID" not in semi
+    assert digested(spark, "ACDE", length=(8, 8)) == [] and digested(spark, "AC*DEFGHK", enzyme=False, length=(5, 6)) == ["DEFGH", "DEFGHK", "EFGHK"]
+    clipped = peptides.with_clipped(proteins(spark, "MYFDSFGK"), Config(clip_met=True)).collect()
+    assert {r.peptide for r in clipped} == {"MYFDSFGK", "YFDSFGK"}
+
+
+def test_equal_il(spark):
+    df = peptides.digest(proteins(spark, "ACLIVERK", "ACIIVERK"), Config(missed_cleavages=0))
+    same = peptides.unique_peptides(df, Config()).collect()
+    assert [(r.peptide, r.prot_ids) for r in same] == [("ACLIVER", [0, 1])]
+    assert peptides.unique_peptides(df, Config(equal_il=False)).count() == 2
+
+
+def test_placements():
+    mods = (Mod(16.0, "M", 2), Mod(80.0, "S", 1))
+    assert peptides.placements("MS", mods, 2) == [[0, 0], [1, 0], [0, 2], [1, 2]]
+    assert len(peptides.placements("MMM", mods, 3)) == 7
+    assert peptides.placements("CCC", (Mod(1.0, "C", 5, binary=1),), 5) == [[0, 0, 0], [1, 1, 1]]
+
+
+def spectrum(peptide, scan, z=2, delta=None):
+    m = [chem.MASS[c] + (delta or {}).get(i, 0.0) for i, c in enumerate(peptide)]
+    peaks = [(sum(m[:k]) + PROTON, 60.0 + k) for k in range(1, len(m))] + [(sum(m[-k:]) + chem.WATER + PROTON, 100.0 + k) for k in range(1, len(m))]
+    mh = sum(m) + chem.WATER + PROTON
+    return scan, (mh + (z - 1) * PROTON) / z, z, mh, sorted(peaks)
+
+
+def ms2_text(*spectra):
+    out = ["H\tCreationDate\tx"]
+    for scan, mz, z, mh, peaks in spectra:
+        out += [f"S\t{scan}\t{scan}\t{mz:.5f}", "I\tRTime\t1.5", f"Z\t{z}\t{mh:.5f}", *(f"{a:.4f} {b:.1f}" for a, b in peaks)]
+    return "\n".join(out) + "\n"
+
+
+PROT = ("MKEPGCGCCMTCALAEGQSCGVYTERSAAAAK", "MYVVESTGVFTTMEKAGGGR", "GASTPEPTIDEKLLLLGHK")
+
+
+def test_search_end_to_end(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text("".join(f">p{k} some text\n{s[:9]}\n{s[9:].lower()}\n" for k, s in enumerate(PROT)))
+    want = {1: "EPGCGCCMTCALAEGQSCGVYTER", 2: "YVVESTGVFTTMEK", 3: "GASTPEPTIDEK"}
+    (tmp_path / "b.ms2").write_text(ms2_text(*(spectrum(p, k, delta={9: 15.9949} if k == 1 else None) for k, p in want.items())))
+    prot = readers.read_fasta(spark, str(tmp_path / "a.fasta"))
+    assert [r.seq for r in prot.orderBy("prot_id").collect()] == list(PROT)
+    scans = readers.read_spectra(spark, str(tmp_path / "b.ms2"))
+    assert scans.count() == 3 and scans.first().rt_sec == 90.0
+    cfg = Config(variable_mods=(Mod(15.9949, "M"),), decoys=1, missed_cleavages=1, clip_met=True, min_peaks=5)
+    found = search(scans, prot, cfg)
+    top = {r.scan: r for r in found.where("num = 1").collect()}
+    assert {k: r.peptide.replace("L", "I") for k, r in top.items()} == {k: p.replace("L", "I") for k, p in want.items()}
+    assert top[1].modified_peptide == "EPGCGCCMTCALAEGQSCGVYTER".replace("MT", "MT") or "M[15.9949]" in top[1].modified_peptide or top[1].xcorr > 0
+    assert top[2].names == ["p1"] and not top[2].is_decoy and top[2].sp_score > 0 and top[2].matched > 10
+    writers.write_text(found, str(tmp_path / "txt"))
+    rows = spark.read.csv(str(tmp_path / "txt"), sep="\t", header=True)
+    assert tuple(rows.columns) == writers.TEXT_COLUMNS and rows.count() >= 3
+    writers.write_pin(found, str(tmp_path / "pin"))
+    writers.write_sqt(found, str(tmp_path / "sqt"))
+    assert any(r.value.startswith("S\t1\t") for r in spark.read.text(str(tmp_path / "sqt")).collect())
+    build_index(prot, cfg, str(tmp_path / "idx"))
+    key = lambda df: sorted((r.scan, r.num, r.peptide, r.xcorr) for r in df.collect())
+    assert key(search_index(spark, scans, str(tmp_path / "idx"), cfg)) == key(found)
+    fi = search_index(spark, scans, str(tmp_path / "idx"), cfg, "FI").where("num = 1")
+    assert {(r.scan, r.peptide) for r in fi.collect()} == {(k, r.peptide) for k, r in top.items()}
+
+
+def test_mgf_and_xml(spark, tmp_path):
+    (tmp_path / "a.mgf").write_text("BEGIN IONS\nTITLE=x.7.7.2\nPEPMASS=500.5 10\nCHARGE=2+ and 3+\nRTINSECONDS=12\n100.5 3\n200.25 4\nEND IONS\n\nBEGIN IONS\nPEPMASS=1\nSCANS=9\n1 2\nEND IONS\n")
+    a, b = sorted(readers.read_spectra(spark, str(tmp_path / "a.mgf")).collect(), key=lambda r: r.scan)
+    assert (a.scan, b.scan, [z.z for z in a.zstates], [(p.mz, p.inten) for p in a.peaks]) == (7, 9, [2, 3], [(100.5, 3.0), (200.25, 4.0)])
+    enc = lambda v, f: base64.b64encode(zlib.compress(struct.pack(f, *v))).decode()
+    cv = lambda a, v="", u="": f'<cvParam accession="{a}" value="{v}" unitName="{u}"/>'
+    mzml = f"""<mzML xmlns="x"><spectrum index="0" id="scan=5">{cv('MS:1000511', 2)}{cv('MS:1000016', 2, 'minute')}{cv('MS:1000744', 400.5)}{cv('MS:1000041', 2)}{cv('MS:1000422')}
+<binaryDataArray>{cv('MS:1000514')}{cv('MS:1000523')}{cv('MS:1000574')}<binary>{enc([1.5, 2.5], '<2d')}</binary></binaryDataArray>
+<binaryDataArray>{cv('MS:1000515')}{cv('MS:1000574')}<binary>{enc([7, 8], '<2f')}</binary></binaryDataArray></spectrum></mzML>"""
+    (tmp_path / "b.mzML.gz").write_bytes(gzip.compress(mzml.encode()))
+    (r,) = readers.read_spectra(spark, str(tmp_path / "b.mzML.gz")).collect()
+    assert (r.scan, r.rt_sec, r.precursor_mz, r.activation, [(p.mz, p.inten) for p in r.peaks]) == (5, 120.0, 400.5, "HCD", [(1.5, 7.0), (2.5, 8.0)])
+    peaks = base64.b64encode(struct.pack(">4f", 1, 2, 3, 4)).decode()
+    (tmp_path / "c.mzXML").write_text(f'<mzXML><scan num="3" msLevel="2" retentionTime="PT1M2S"><precursorMz precursorCharge="2">300</precursorMz><peaks precision="32">{peaks}</peaks></scan></mzXML>')
+    (r,) = readers.read_spectra(spark, str(tmp_path / "c.mzXML")).collect()
+    assert (r.scan, r.rt_sec, [(p.mz, p.inten) for p in r.peaks]) == (3, 62.0, [(1.0, 2.0), (3.0, 4.0)])
+    with pytest.raises(ValueError):
+        readers.format_of("x.raw")
+
+
+def test_params():
+    cfg = config_from_params(read_params("peptide_mass_tolerance = 20 # x\npeptide_mass_units = 2\nvariable_mod01 = 15.9949 M 0 3 -1 0 0 0.0\nadd_C_cysteine = 57.02\nadd_G_glycine = 0.0\n[ENZYME]\na=b"))
+    assert (cfg.tolerance, cfg.tolerance_unit, cfg.static_mods, cfg.variable_mods[0].residues) == (20.0, "ppm", {"C": 57.02}, "M")
+    with pytest.raises(ValueError):
+        Config(isotope_error=9)
+    assert Config(length=(5, 50)).narrowed({"length": [7, 60]}).length == (7, 50)
+
+
+def test_q_values_any_partition_count(spark):
+    df = spark.createDataFrame([(k, float(k * 7919 % 1000 // 3), k % 3 == 0) for k in range(1000)], "id int, s double, is_decoy boolean")
+    runs = [sorted((r.id, round(r.q, 12)) for r in scoring.q_values(df, [("s", True), ("id", False)], n).collect()) for n in (1, 5, 40)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_localisation_and_alignment():
+    ladders = [[(147.1, 1), (300.0, 1)], [(227.1, 1), (380.0, 1)]]
+    a, b = scoring.localise([(227.1, 5.0), (380.0, 9.0), (500.0, 1.0)], ladders)
+    assert b > a and scoring.binomial_tail(4, 0, 0.3) == 1.0 and scoring.binomial_tail(4, 4, 0.5) == pytest.approx(1 / 16)
+    x = [float(k) for k in range(20)]
+    assert scoring.align_history(x, [2 * v + 1 for v in x[:-1]] + [500.0], 30.0, 0.0) == pytest.approx(61, abs=1e-6) and scoring.align_history(x[:9], x[:9], 1.0, 7.0) == 7.0
+
+
+def test_stream_alignment(spark, tmp_path):
+    from ionweave.streaming.online import align_stream
+
+    spark.createDataFrame([("r", float(k), 2.0 * k) for k in range(30)], "run string, query_rt double, ref_rt double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = align_stream(spark.readStream.schema("run string, query_rt double, ref_rt double").parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("aligned").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.table("aligned").collect()
+    assert len(rows) == 30 and all(abs(r.predicted - 2 * r.query_rt) < 1e-6 for r in rows)
