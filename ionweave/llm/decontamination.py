@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ionweave.llm.common import ALNUM, Words, chunks, code_points, text_buffers, words_of
 
-SAMPLE, SHARD_BYTES, BLOCK_WINDOWS = 16, 6 << 20, 1_000_000
+SAMPLE, SHARD_BYTES, BLOCK_WINDOWS = 16, 2 << 20, 1_000_000
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
 
 
@@ -195,8 +195,8 @@ def hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[str]]]:
     np.add.at(edge, begin + phrases.lengths[which], -1)
     covered = np.cumsum(edge[:-1]) > 0
     doc = np.searchsorted(words.docs, begin, side="right") - 1
-    for d, w in {*zip(doc.tolist(), which.tolist())}:
-        found[d].update(phrases.items[w])
+    for pair in np.unique(doc * len(count) + which).tolist():
+        found[pair // len(count)].update(phrases.items[pair % len(count)])
     return covered, found
 
 

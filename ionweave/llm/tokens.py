@@ -11,6 +11,7 @@ compares both libraries on its first pieces and keeps to ``tokenizers`` if they
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
@@ -21,7 +22,7 @@ from ionweave.llm.common import chunks, hash_spans, text_buffers
 #: Fixed value: the pre-tokenisation pattern of the byte-level BPE vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker keeps; about 40 bytes each.
-CACHE, PROBE, CHUNK = 1_500_000, 200, 4 << 20
+CACHE, PROBE, CHUNK = 800_000, 200, 2 << 20
 _ASCII = np.arange(256) < 128
 SPACE = np.zeros(256, bool)
 SPACE[[*range(9, 14), *range(28, 33)]] = True
@@ -62,8 +63,8 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self._load = functools.partial(Tokenizer.from_file, path)
+        self.exact = None
         letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -82,6 +83,9 @@ class Encoder:
         self.pool = np.zeros(0, np.uint32)
 
     def exactly(self, texts: list[str]) -> list[list[int]]:
+        if self.exact is None:
+            self.exact = self._load()
+            self.exact.encode_special_tokens = True
         return [e.ids for e in self.exact.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -94,6 +98,8 @@ class Encoder:
                 self.same = False
                 return self.exactly(texts)
             self.probed += n
+            if self.probed >= PROBE:
+                self.exact = None  # some 100 MB that a worker needs no more
         return out
 
     def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
@@ -120,7 +126,7 @@ class Encoder:
         self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
 
     def encode(self, column: pa.Array):
-        """(ids, offsets, first document, end) for runs of documents; a null has none. Memory follows a run of 4 MB."""
+        """(ids, offsets, first document, end) for runs of documents; a null has none. Memory follows a run of CHUNK bytes."""
         data, offsets = text_buffers(column)
         for i, j in chunks(offsets, CHUNK):
             yield *self._run(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), i, j
