@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ionweave.config import PROTON, Config, Mod
 from ionweave.functions.chemistry import WATER, bin_of, canonical, decoy, peptide_mass, residue_masses
 
+#: Starts of peptides in one block of a sequence.
+BLOCK = 1024
+
 
 def cut_pattern(cfg: Config) -> str:
     """Matches the empty place of a cut: after and before the enzyme's residues, and around *."""
@@ -29,28 +32,31 @@ def digest(proteins: DataFrame, cfg: Config) -> DataFrame:
     lo, hi = cfg.length
     n = F.length("seq")
     if not cfg.enzyme:
-        spans = proteins.where(n >= lo).select("prot_id", "seq", F.explode(F.sequence(F.lit(0), n - lo)).alias("start"))
-        spans = spans.select("prot_id", "seq", "start", F.explode(F.sequence(F.lit(lo), F.least(F.lit(hi), n - F.col("start")))).alias("len")).withColumn("end", F.col("start") + F.col("len"))
-        spans = spans.withColumn("missed", F.lit(0)).drop("len")
+        # A substring takes time up to its place, so long sequences are first cut into overlapping blocks, with their flanks.
+        cut = F.substring(F.concat(F.lit("-"), F.col("seq"), F.lit("-")), F.col("block") + 1, F.lit(BLOCK + hi + 1))
+        blocks = proteins.where(n >= lo).select("prot_id", "seq", n.alias("n"), F.explode(F.sequence(F.lit(0), n - lo, F.lit(BLOCK))).alias("block")).select("prot_id", "n", "block", cut.alias("text"))
+        at = blocks.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK - 1), F.col("n") - lo - F.col("block")))).alias("i")).withColumn("start", F.col("block") + F.col("i"))
+        at = at.select("*", F.explode(F.sequence(F.lit(lo), F.least(F.lit(hi), F.col("n") - F.col("start")))).alias("len"))
+        piece = lambda k, size: F.substring("text", F.col("i") + k, size)
+        out = at.select("prot_id", "start", piece(2, F.col("len")).alias("peptide"), F.lit(0).alias("missed"), piece(1, F.lit(1)).alias("prev_aa"), piece(F.col("len") + 2, F.lit(1)).alias("next_aa"))
+        return out.where(~F.col("peptide").contains("*"))
+    # Ends of fragments are cut sites, with 0 and the protein's end.
+    sites = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.aggregate(F.split("seq", cut_pattern(cfg)), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x)))))))
+    df = proteins.where(n > 0).select("prot_id", "seq", sites.alias("sites"))
+    if cfg.termini == 2:
+        df = df.select("prot_id", "seq", "sites", F.posexplode("sites").alias("i", "start"))
+        df = df.select("prot_id", "seq", "start", F.posexplode(F.slice("sites", F.col("i") + 2, F.lit(cfg.missed_cleavages + 1))).alias("missed", "end"))
+        spans = df.where((F.col("end") - F.col("start")).between(lo, hi))
     else:
-        # Ends of fragments are cut sites, with 0 and the protein's end.
-        sites = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.aggregate(F.split("seq", cut_pattern(cfg)), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x)))))))
-        df = proteins.where(n > 0).select("prot_id", "seq", sites.alias("sites"))
-        if cfg.termini == 2:
-            df = df.select("prot_id", "seq", "sites", F.posexplode("sites").alias("i", "start"))
-            df = df.select("prot_id", "seq", "start", F.posexplode(F.slice("sites", F.col("i") + 2, F.lit(cfg.missed_cleavages + 1))).alias("missed", "end"))
-            spans = df.where((F.col("end") - F.col("start")).between(lo, hi))
-        else:
-
-            starts_cut = cfg.termini in (1, 8)
-            ends_cut = cfg.termini in (1, 9)
-            from_start = F.flatten(F.transform("sites", lambda s: F.transform(F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: s + k <= n), lambda k: F.struct(s.alias("start"), (s + k).alias("end")))))
-            from_end = F.flatten(F.transform("sites", lambda e: F.transform(F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: e - k >= 0), lambda k: F.struct((e - k).alias("start"), e.alias("end")))))
-            pairs = [x for x, on in ((from_start, starts_cut), (from_end, ends_cut)) if on]
-            both = F.array_distinct(F.concat(*pairs))
-            df = df.select("prot_id", "seq", "sites", F.explode(both).alias("p")).select("prot_id", "seq", "sites", "p.*")
-            df = df.withColumn("missed", F.size(F.filter("sites", lambda s: (s > F.col("start")) & (s < F.col("end")))))
-            spans = df.where(F.col("missed") <= cfg.missed_cleavages).drop("sites")
+        starts_cut = cfg.termini in (1, 8)
+        ends_cut = cfg.termini in (1, 9)
+        from_start = F.flatten(F.transform("sites", lambda s: F.transform(F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: s + k <= n), lambda k: F.struct(s.alias("start"), (s + k).alias("end")))))
+        from_end = F.flatten(F.transform("sites", lambda e: F.transform(F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: e - k >= 0), lambda k: F.struct((e - k).alias("start"), e.alias("end")))))
+        pairs = [x for x, on in ((from_start, starts_cut), (from_end, ends_cut)) if on]
+        both = F.array_distinct(F.concat(*pairs))
+        df = df.select("prot_id", "seq", "sites", F.explode(both).alias("p")).select("prot_id", "seq", "sites", "p.*")
+        df = df.withColumn("missed", F.size(F.filter("sites", lambda s: (s > F.col("start")) & (s < F.col("end")))))
+        spans = df.where(F.col("missed") <= cfg.missed_cleavages).drop("sites")
     piece = F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start"))
     flank = lambda at: F.coalesce(F.nullif(F.substring("seq", at, F.lit(1)), F.lit("")), F.lit("-"))
     out = spans.select("prot_id", "start", piece.alias("peptide"), F.col("missed").cast("int").alias("missed"), F.when(F.col("start") == 0, "-").otherwise(flank(F.col("start"))).alias("prev_aa"), flank(F.col("end") + 1).alias("next_aa"))

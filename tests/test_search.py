@@ -146,3 +146,14 @@ def test_stream_alignment(spark, tmp_path):
     q.awaitTermination()
     rows = spark.table("aligned").collect()
     assert len(rows) == 30 and all(abs(r.predicted - 2 * r.query_rt) < 1e-6 for r in rows)
+
+
+def test_digest_without_enzyme_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(peptides, "BLOCK", 4)
+    seqs = [(1, "ABCDEFGH*JKLMNOP"), (2, "ABC"), (3, "AB"), (4, ""), (5, None), (6, "ABCDEFGH")]
+    got = peptides.digest(spark.createDataFrame(seqs, "prot_id long, seq string"), Config(enzyme=False, length=(3, 5)))
+    want = [
+        (p, a, s[a : a + k], 0, s[a - 1] if a else "-", s[a + k : a + k + 1] or "-")
+        for p, s in seqs for k in (3, 4, 5) for a in range(len(s or "") - k + 1) if "*" not in s[a : a + k]
+    ]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
