@@ -161,13 +161,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCNN | None:
     return model
 
 
-def predict(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row of ``docs`` with lang_pred and score. The text may be among them."""
+def predict(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ("doc_id",), within: str | None = None) -> DataFrame:
+    """The columns ``keep`` of each row of ``docs`` with lang_pred and score. ``within``: the one kept struct that has the
+    text as a string; it is then sent to Python once."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
+            data, offsets = text_buffers(batch.column(0).field("text") if within else batch.column(0))
+            kept = batch.columns[0 if within else 1 :]
             for i, j in chunks(offsets):
                 raw, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 name, score = np.full(j - i, "und", dtype=object), np.zeros(j - i)
@@ -182,10 +184,11 @@ def predict(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ("do
                     best = sums.argmax(axis=1)
                     name[some] = np.array(model.classes, dtype=object)[best[some]]
                     score[some] = np.minimum(1.0, sums[some, best[some]] / np.diff(own)[some])
-                cols = [c.slice(i, j - i) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(name.tolist(), pa.string()), pa.array(score)], names=[*batch.schema.names[1:], "lang_pred", "score"])
+                cols = [c.slice(i, j - i) for c in kept]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(name.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    sent = [within] if within else [F.col("text").cast("string").alias("_text"), *keep]
+    return docs.select(*sent).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -196,5 +199,5 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 def accepted(docs: DataFrame, least_score: float = 0.3, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known with at least that score."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return predict(rows, train(docs, per_language), ("row",)).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("row"))
+    return predict(rows, train(docs, per_language), ("row",), "row").where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")
