@@ -6,11 +6,17 @@ from dataclasses import dataclass, field, fields, replace
 
 #: Physical constants.
 PROTON, C13_GAP, WATER_H, WATER_O = 1.00727646688, 1.00335483, 1.007825035, 15.9949146
+#: Offsets of the ion series from b and y.
+ION_SHIFTS = {"a": -27.9949146, "b": 0.0, "c": 17.0265491, "x": 25.9792649, "y": 0.0, "z": -16.0187241}
 
 
 @dataclass(frozen=True)
 class Mod:
-    """A variable modification. ``residues``: letters, with n and c for the peptide's ends; ``binary`` groups are all or nothing."""
+    """A variable modification. ``residues``: letters, with n and c for the peptide's ends; ``binary`` groups are all or nothing.
+
+    ``term_distance`` limits how far from an end a site may lie (-1 anywhere, -2 anywhere but on the last residue);
+    ``which_term`` names the end: 0 protein N, 1 protein C, 2 peptide N, 3 peptide C. Of all ``rare`` mods a peptide has one at most.
+    """
 
     mass: float
     residues: str
@@ -18,6 +24,11 @@ class Mod:
     binary: int = 0
     required: bool = False
     neutral_loss: float = 0.0
+    neutral_loss2: float = 0.0
+    min_per_peptide: int = 0
+    term_distance: int = -1
+    which_term: int = 0
+    rare: bool = False
 
 
 @dataclass(frozen=True)
@@ -38,14 +49,22 @@ class Config:
     clip_met: bool = False
     equal_il: bool = True
     static_mods: dict[str, float] = field(default_factory=dict)
+    static_ends: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)  # peptide N and C, protein N and C
     variable_mods: tuple[Mod, ...] = ()
     max_mods: int = 5
+    mod_filter: tuple[tuple[int, str], ...] = ()  # (number of a mod, part of an accession): other proteins don't take that mod
+    compound_masses: tuple[float, ...] = ()  # masses that one J of a peptide may carry
     bin_width: float = 1.0005
     bin_offset: float = 0.4
     flanking: bool = True
     use_nl_ions: bool = False
     ion_series: str = "by"
     max_fragment_charge: int = 3
+    scale_fragment_loss: bool = False
+    precursor_losses: tuple[float, ...] = ()
+    activation: str = "ALL"
+    override_charge: int = 0
+    correct_mass: bool = False
     precursor_charge: tuple[int, int] = (2, 6)
     min_peaks: int = 10
     min_intensity: float = 0.0
@@ -57,9 +76,13 @@ class Config:
     decoy_prefix: str = "DECOY_"
     num_results: int = 100
     num_output: int = 5
+    explicit_delta_cn: bool = False
+    fill_histogram: int = 3000  # synthetic peptides top up smaller histograms to so many entries
+    localise: bool = False
     max_proteins: int = 20
     index_peaks: int = 150
     index_min_ions: int = 3
+    index_min_reported: int = 3
     index_candidates: int = 100
 
     def __post_init__(self):
@@ -71,16 +94,26 @@ class Config:
             lo, hi = getattr(self, name)
             if lo > hi:
                 raise ValueError(f"{name}: {lo} > {hi}")
+        if len(self.precursor_losses) > 5:
+            raise ValueError("at most 5 precursor losses")
+        if any(m.which_term not in (0, 1, 2, 3) or m.term_distance < -2 for m in self.variable_mods):
+            raise ValueError("which_term is 0 to 3, term_distance -2 or more")
         if self.bin_width <= 0:
             raise ValueError("bin_width must be positive")
 
+    @property
+    def residue_mods(self) -> dict[str, float]:
+        """Masses added to residues; J weighs nothing of its own where compounds sit on it."""
+        return {"J": 0.0} | self.static_mods if self.compound_masses else self.static_mods
+
     def narrowed(self, stored: dict) -> Config:
         """With an index's stored settings: masses, mods and enzyme from the index, ranges only narrower."""
         known = {f.name for f in fields(self)}
-        out = {k: v for k, v in stored.items() if k in known and k in ("static_mods", "cut_after", "no_cut_before", "cut_before", "enzyme", "decoys", "equal_il")}
+        out = {k: v for k, v in stored.items() if k in known and k in ("static_mods", "static_ends", "mod_filter", "compound_masses", "cut_after", "no_cut_before", "cut_before", "enzyme", "decoys", "equal_il")}
         for name in ("digest_mass", "length"):
             if name in stored:
                 out[name] = (max(getattr(self, name)[0], stored[name][0]), min(getattr(self, name)[1], stored[name][1]))
+        out |= {k: tuple(map(tuple, out[k])) if k == "mod_filter" else tuple(out[k]) for k in ("static_ends", "mod_filter", "compound_masses") if k in out}
         if "variable_mods" in stored:
             out["variable_mods"] = tuple(Mod(**m) for m in stored["variable_mods"])
         return replace(self, **out)
@@ -107,6 +140,11 @@ def read_params(text: str) -> dict[str, str]:
     return out
 
 
+#: on/off parameters and masses added to every end, by their names in a parameter file.
+SWITCHES = {"clip_nterm_methionine": "clip_met", "equal_I_and_L": "equal_il", "use_NL_ions": "use_nl_ions", "correct_mass": "correct_mass", "explicit_deltacn": "explicit_delta_cn", "scale_fragmentNL": "scale_fragment_loss"}
+ENDS = ("add_Nterm_peptide", "add_Cterm_peptide", "add_Nterm_protein", "add_Cterm_protein")
+
+
 def config_from_params(params: dict[str, str]) -> Config:
     """The settings of a parameter file that have a field here."""
     pair = lambda v, t: tuple(t(x) for x in v.split())[:2]
@@ -116,7 +154,8 @@ def config_from_params(params: dict[str, str]) -> Config:
         "peptide_mass_tolerance": ("tolerance", float), "isotope_error": ("isotope_error", int), "allowed_missed_cleavage": ("missed_cleavages", int), "num_results": ("num_results", int),
         "num_output_lines": ("num_output", int), "fragment_bin_tol": ("bin_width", float), "fragment_bin_offset": ("bin_offset", float), "max_fragment_charge": ("max_fragment_charge", int),
         "minimum_peaks": ("min_peaks", int), "minimum_intensity": ("min_intensity", float), "decoy_search": ("decoys", int), "decoy_prefix": ("decoy_prefix", str), "num_enzyme_termini": ("termini", int),
-        "max_variable_mods_in_peptide": ("max_mods", int), "remove_precursor_peak": ("remove_precursor", int), "remove_precursor_tolerance": ("remove_tolerance", float), "max_duplicate_proteins": ("max_proteins", int),
+        "max_variable_mods_in_peptide": ("max_mods", int), "remove_precursor_peak": ("remove_precursor", int), "remove_precursor_tolerance": ("remove_tolerance", float), "max_duplicate_proteins": ("max_proteins", int), "activation_method": ("activation", str), "override_charge": ("override_charge", int),
+        "fragindex_min_ions_score": ("index_min_ions", int), "fragindex_min_ions_report": ("index_min_reported", int),
     }
     for name, value in params.items():
         if name in plain:
@@ -127,13 +166,22 @@ def config_from_params(params: dict[str, str]) -> Config:
             out["digest_mass" if name[0] == "d" else "clear_range"] = pair(value, float)
         elif name in ("peptide_length_range", "precursor_charge"):
             out["length" if "length" in name else name] = pair(value, int)
-        elif name in ("clip_nterm_methionine", "equal_I_and_L", "use_NL_ions"):
-            out[{"c": "clip_met", "e": "equal_il", "u": "use_nl_ions"}[name[0]]] = value == "1"
+        elif name in SWITCHES:
+            out[SWITCHES[name]] = value == "1"
+        elif name == "print_ascorepro_score":
+            out["localise"] = value != "0"
+        elif name in ENDS:
+            ends = list(out.get("static_ends", (0.0,) * 4))
+            ends[ENDS.index(name)] = float(value)
+            out["static_ends"] = tuple(ends)
+        elif name == "precursor_NL_ions":
+            out["precursor_losses"] = tuple(float(x) for x in value.split())
         elif name.startswith("add_") and len(name) > 5 and name[5] == "_" and float(value):
             out.setdefault("static_mods", {})[name[4]] = float(value)
         elif name.startswith("variable_mod"):
             part = value.split()
             if float(part[0].split(",")[0]):
-                mod = Mod(float(part[0]), part[1].replace("X", ""), int(part[3].split(",")[-1]), int(part[2]), len(part) > 6 and part[6] == "1", float(part[7].split(",")[0]) if len(part) > 7 else 0.0)
+                counts, loss = part[3].split(","), [*(float(x) for x in part[7].split(",")), 0.0] if len(part) > 7 else [0.0, 0.0]
+                mod = Mod(float(part[0]), part[1].replace("X", ""), int(counts[-1]), int(part[2]), len(part) > 6 and part[6] == "1", loss[0], loss[1], int(counts[0]) if len(counts) > 1 else 0, int(part[4]) if len(part) > 4 else -1, int(part[5]) if len(part) > 5 else 0, len(part) > 6 and part[6] == "-1")
                 out["variable_mods"] = (*out.get("variable_mods", ()), mod)
     return Config(**out)

@@ -31,7 +31,9 @@ def literal_map(d: dict) -> Column:
 
 
 def masses(static: dict[str, float] | None = None) -> dict[str, float]:
-    return {k: v + (static or {}).get(k, 0.0) for k, v in MASS.items()}
+    """Residue masses with static ones added; a letter without a mass takes a static one as its own."""
+    static = static or {}
+    return {k: static[k] if v == UNKNOWN and k in static else v + static.get(k, 0.0) for k, v in MASS.items()}
 
 
 def letters(s: Column) -> Column:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, product
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.config import PROTON, Config, Mod
+from ionweave.config import ION_SHIFTS, PROTON, Config, Mod
 from ionweave.functions.chemistry import WATER, bin_of, canonical, decoy, peptide_mass, residue_masses
+from ionweave.sources.readers import variant_sequences
 
 #: Starts of peptides in one block of a sequence.
 BLOCK = 1024
@@ -73,11 +76,54 @@ def with_clipped(proteins: DataFrame, cfg: Config) -> DataFrame:
     return whole.unionByName(first).dropDuplicates(["prot_id", "start", "peptide"])
 
 
+def with_variants(proteins: DataFrame, cfg: Config) -> DataFrame:
+    """Digest of proteins and of each of their annotated variants, one at a time: of those, peptides that hold the changed
+    stretch or end beside it, where it may have made a cut. Starts are places in the sequence that was digested."""
+    whole = with_clipped(proteins, cfg)
+    if "var_simple" not in proteins.columns:
+        return whole
+    changed = variant_sequences(proteins).withColumn("own", F.struct("prot_id", "at", "until"))
+    near = with_clipped(changed.select(F.col("own").alias("prot_id"), "seq"), cfg)
+    end = F.col("start") + F.length("peptide")
+    near = near.where((F.col("start") <= F.col("prot_id.until")) & (end >= F.col("prot_id.at"))).withColumn("prot_id", F.col("prot_id.prot_id"))
+    return whole.unionByName(near)
+
+
 def unique_peptides(digested: DataFrame, cfg: Config) -> DataFrame:
-    """One row for each peptide, I and L alike where set: text and flanks of the first protein, all proteins' ids."""
-    first = F.min_by(F.struct("peptide", "prev_aa", "next_aa"), F.struct("prot_id", "start"))
+    """One row for each peptide, I and L alike where set: text, flanks and place of the first protein, all proteins' ids."""
+    first = F.min_by(F.struct("peptide", "prev_aa", "next_aa", "start"), F.struct("prot_id", "start"))
     grouped = digested.groupBy(canonical(F.col("peptide"), cfg.equal_il).alias("canon")).agg(first.alias("f"), F.array_sort(F.collect_set("prot_id")).alias("prot_ids"))
-    return grouped.select("canon", F.col("f.peptide").alias("peptide"), F.col("f.prev_aa").alias("prev_aa"), F.col("f.next_aa").alias("next_aa"), peptide_mass(F.col("f.peptide"), cfg.static_mods).alias("mass"), "prot_ids")
+    mass = peptide_mass(F.col("f.peptide"), cfg.residue_mods)
+    if any(cfg.static_ends):
+        mass = mass + sum(end_masses(F.col("f.prev_aa"), F.col("f.next_aa"), cfg), F.lit(0.0))
+    return grouped.select("canon", F.col("f.peptide").alias("peptide"), F.col("f.prev_aa").alias("prev_aa"), F.col("f.next_aa").alias("next_aa"), mass.alias("mass"), "prot_ids", F.col("f.start").alias("start"))
+
+
+def end_masses(prev: Column, nxt: Column, cfg: Config) -> tuple[Column, Column]:
+    """Static masses of a peptide's N and C end; a protein's own ends have more."""
+    n, c, first, last = map(F.lit, cfg.static_ends)
+    return n + F.when(prev == "-", first).otherwise(0.0), c + F.when(nxt == "-", last).otherwise(0.0)
+
+
+def placed_in_proteins(found: DataFrame, proteins: DataFrame, cfg: Config) -> DataFrame:
+    """Adds what limits on mods need of a peptide's first protein: its length, and the mods that it doesn't take."""
+    listed: dict[int, list[str]] = {}
+    for k, accession in cfg.mod_filter:
+        listed.setdefault(k, []).append(accession)
+    if not listed and all(m.term_distance < 0 or m.which_term > 1 for m in cfg.variable_mods):
+        return found
+    blocked = F.filter(F.array(*(F.when(~reduce(or_, (F.col("name").contains(a) for a in names)), F.lit(k)) for k, names in sorted(listed.items()))), lambda k: k.isNotNull())
+    own = proteins.select(F.col("prot_id").alias("_first"), F.length("seq").alias("seq_len"), (blocked if listed else F.array().cast("array<int>")).alias("blocked"))
+    return found.join(own, F.get("prot_ids", F.lit(0)) == F.col("_first")).drop("_first")
+
+
+def annotated(found: DataFrame, digested: DataFrame, proteins: DataFrame, cfg: Config) -> DataFrame:
+    """Adds ``peff``: (pos, mass) of the annotated mods, 1-based in the peptide, of all its places. Proteins have ``peff_masses``."""
+    mods = proteins.select("prot_id", F.explode("peff_masses").alias("p")).select(F.col("prot_id").alias("_prot"), "p.pos", F.col("p.mass").alias("by"))
+    inside = (F.col("prot_id") == F.col("_prot")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.length("peptide"))
+    at = F.struct((F.col("pos") - F.col("start") + 1).cast("int").alias("pos"), F.col("by").alias("mass"))
+    own = digested.join(mods, inside).groupBy(canonical(F.col("peptide"), cfg.equal_il).alias("canon")).agg(F.array_sort(F.collect_set(at)).alias("peff"))
+    return found.join(own, "canon", "left")
 
 
 def with_decoys(peptides: DataFrame, keep_last: bool = True) -> DataFrame:
@@ -100,7 +146,7 @@ def placements(residues: str, mods: tuple[Mod, ...], most: int, cap: int = 10_00
         for where in combinations(free, n):
             for kinds in product(*(options[i][1:] for i in where)):
                 used = [kinds.count(k + 1) for k in range(len(mods))]
-                if any(u > m.max_per_peptide for u, m in zip(used, mods)):
+                if any(u > m.max_per_peptide or 0 < u < m.min_per_peptide for u, m in zip(used, mods)) or sum(u > 0 and m.rare for u, m in zip(used, mods)) > 1:
                     continue
                 groups = {m.binary for m in mods if m.binary}
                 if any(0 < sum(used[k] for k, m in enumerate(mods) if m.binary == g) != sum(any(c in mods[k].residues for k in range(len(mods)) if mods[k].binary == g) for c in residues) for g in groups):
@@ -124,7 +170,8 @@ def modified(peptides: DataFrame, cfg: Config) -> DataFrame:
     pos = F.filter(F.transform(F.split("peptide", ""), lambda c, i: F.when(c.rlike(f"[{letters}]"), i + 1)), lambda i: i.isNotNull())
     base = peptides.withColumn("mod_seq", modifiable(F.col("peptide"), mods)).withColumn("_pos", pos)
     if not mods:
-        return base.select(*peptides.columns, F.array_repeat(F.lit(0), F.length("peptide") + 2).alias("sites"), F.lit(0.0).alias("mod_mass")).where(F.col("mass").between(lo, hi))
+        plain = base.select(*peptides.columns, F.array_repeat(F.lit(0), F.length("peptide") + 2).alias("sites"), F.lit(0.0).alias("mod_mass"))
+        return with_extra(plain, cfg).where(F.col("mass").between(lo, hi))
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,34 +191,104 @@ def modified(peptides: DataFrame, cfg: Config) -> DataFrame:
     for k, m in enumerate(mods):
         if m.required:
             df = df.where(F.array_contains("sites", k + 1))
-    return df.withColumn("mass", F.col("mass") + F.col("mod_mass")).where(F.col("mass").between(lo, hi)).drop("placement", "t", "_pos")
+        if m.term_distance != -1:
+            df = df.where(allowed_places(k + 1, m))
+    if sum(m.rare for m in mods) > 1:  # terminal mods aren't in a placement
+        df = df.where(sum((F.array_contains("sites", k + 1).cast("int") for k, m in enumerate(mods) if m.rare), F.lit(0)) <= 1)
+    if cfg.mod_filter and "blocked" in df.columns:
+        df = df.where(~F.arrays_overlap("sites", "blocked"))
+    df = df.withColumn("mass", F.col("mass") + F.col("mod_mass")).drop("placement", "t", "_pos")
+    return with_extra(df, cfg).where(F.col("mass").between(lo, hi))
+
+
+def allowed_places(k: int, mod: Mod) -> Column:
+    """Whether every site of mod ``k`` lies within its distance of the end that it names."""
+    n, far = F.length("peptide"), mod.term_distance
+    if far == -2:
+        return F.element_at("sites", n) != k
+    # 0-based place in the peptide: the ends stand on the first and the last residue.
+    place = lambda i: F.when(i == n, F.lit(0)).when(i == n + 1, n - 1).otherwise(i)
+    if mod.which_term == 0:
+        near = lambda i: F.col("start") + place(i) <= far
+    elif mod.which_term == 1:
+        near = lambda i: F.col("start") + place(i) + far >= F.col("seq_len") - 1
+    elif mod.which_term == 2:
+        near = lambda i: place(i) <= far
+    else:
+        near = lambda i: n - 1 - place(i) <= far
+    return F.forall(F.transform("sites", lambda s, i: (s != k) | near(i)), lambda ok: ok)
+
+
+def with_extra(df: DataFrame, cfg: Config) -> DataFrame:
+    """For each row also those with one mass more: an annotated mod, or a compound on a J, on a residue that is free.
+    ``extra`` has the added mass of each place; the column is there only if the settings or annotations ask for it."""
+    kind = "array<struct<pos:int,mass:double>>"
+    options = [F.coalesce("peff", F.array().cast(kind))] if "peff" in df.columns else []
+    if cfg.compound_masses:
+        js = F.filter(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.substring("peptide", i, F.lit(1)) == "J")
+        weights = F.array(*map(F.lit, cfg.compound_masses))
+        options.append(F.flatten(F.transform(js, lambda i: F.transform(weights, lambda m: F.struct(i.alias("pos"), m.alias("mass"))))))
+    if not options:
+        return df
+    every = F.concat(F.array(F.struct(F.lit(0).alias("pos"), F.lit(0.0).alias("mass"))).cast(kind), *(o.cast(kind) for o in options))
+    free = F.filter(every, lambda e: F.when(e["pos"] == 0, True).otherwise(F.get("sites", F.greatest(e["pos"], F.lit(1)) - 1) == 0))
+    df = df.withColumn("_e", F.explode(F.array_distinct(free)))
+    extra = F.transform("sites", lambda _, i: F.when(i + 1 == F.col("_e.pos"), F.col("_e.mass")).otherwise(0.0))
+    return df.withColumn("extra", extra).withColumn("mass", F.col("mass") + F.col("_e.mass")).withColumn("mod_mass", F.col("mod_mass") + F.col("_e.mass")).drop("_e", "peff")
 
 
 def fragment_ions(candidates: DataFrame, cfg: Config, key: str = "cand_id", most_charge: int | None = None) -> DataFrame:
-    """(key, charge, series, pos, mz, bin) of every fragment of candidates (key, peptide, sites).
+    """(key, charge, series, pos, loss, mz, bin) of every fragment of candidates (key, peptide, sites).
 
-    Prefix sums come from one ordered pass over the residues; series and charges are exploded after.
+    Prefix sums come from one ordered pass over the residues; series and charges are exploded after. Fragments that hold a
+    mod with a neutral loss come once more for each loss (``loss`` 1 and on; 0: whole).
     """
+    placed = "sites" in candidates.columns
     delta = F.array(F.lit(0.0), *(F.lit(m.mass) for m in cfg.variable_mods))
-    own = F.zip_with(residue_masses(F.col("peptide"), cfg.static_mods), F.slice("sites", F.lit(1), F.length("peptide")), lambda m, k: m + F.element_at(delta, k + 1)) if "sites" in candidates.columns else residue_masses(F.col("peptide"), cfg.static_mods)
-    n_mod = F.element_at(delta, F.element_at("sites", F.length("peptide") + 1) + 1) if "sites" in candidates.columns else F.lit(0.0)
-    c_mod = F.element_at(delta, F.element_at("sites", F.length("peptide") + 2) + 1) if "sites" in candidates.columns else F.lit(0.0)
-    df = candidates.select(key, F.length("peptide").alias("n"), own.alias("m"), n_mod.alias("n_mod"), c_mod.alias("c_mod"))
+    own = residue_masses(F.col("peptide"), cfg.residue_mods)
+    if placed:
+        own = F.zip_with(own, F.slice("sites", F.lit(1), F.length("peptide")), lambda m, k: m + F.element_at(delta, k + 1))
+    if "extra" in candidates.columns:
+        own = F.zip_with(own, F.slice("extra", F.lit(1), F.length("peptide")), lambda m, x: m + x)
+    n_mod = F.element_at(delta, F.element_at("sites", F.length("peptide") + 1) + 1) if placed else F.lit(0.0)
+    c_mod = F.element_at(delta, F.element_at("sites", F.length("peptide") + 2) + 1) if placed else F.lit(0.0)
+    if any(cfg.static_ends):
+        n_end, c_end = end_masses(F.col("prev_aa"), F.col("next_aa"), cfg)
+        n_mod, c_mod = n_mod + n_end, c_mod + c_end
+    losses = [(k + 1, x) for k, m in enumerate(cfg.variable_mods) for x in (m.neutral_loss, m.neutral_loss2) if x] if placed else []
+    df = candidates.select(key, F.length("peptide").alias("n"), own.alias("m"), n_mod.alias("n_mod"), c_mod.alias("c_mod"), *(["sites"] if losses else []))
     prefix = F.aggregate("m", F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
     df = df.withColumn("prefix", prefix).withColumn("total", F.element_at("prefix", -1))
     df = df.select("*", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("pos")).where("n > 1")
     forward = F.element_at("prefix", F.col("pos") + 1) + F.col("n_mod") + PROTON
     backward = F.col("total") - F.element_at("prefix", F.col("n") - F.col("pos") + 1) + F.col("c_mod") + WATER + PROTON
-    #: Offsets of the ion series from b and y.
-    shift = {"a": -27.9949146, "b": 0.0, "c": 17.0265491, "x": 25.9792649, "y": 0.0, "z": -16.0187241}
-    rows = [F.struct(F.lit(i).alias("order"), F.lit(s).alias("series"), ((forward if s in "abc" else backward) + shift[s]).alias("mh")) for i, s in enumerate(cfg.ion_series)]
+    head = F.concat(F.slice("sites", F.lit(1), F.col("pos")), F.slice("sites", F.col("n") + 1, F.lit(1))) if losses else None
+    tail = F.concat(F.slice("sites", F.col("n") - F.col("pos") + 1, F.col("pos")), F.slice("sites", F.col("n") + 2, F.lit(1))) if losses else None
+    rows = []
+    for i, s in enumerate(cfg.ion_series):
+        mh = (forward if s in "abc" else backward) + ION_SHIFTS[s]
+        for nth, (k, x) in enumerate([(0, 0.0), *losses]):
+            if k:
+                held = head if s in "abc" else tail
+                times = F.size(held) - F.size(F.array_remove(held, k))
+                lost = F.when(times > 0, mh - x * (times if cfg.scale_fragment_loss else F.lit(1)))
+            rows.append(F.struct(F.lit(i).alias("order"), F.lit(s).alias("series"), F.lit(nth).alias("loss"), (lost if k else mh).alias("mh")))
     df = df.select(key, "pos", F.explode(F.array(*rows)).alias("ion"))
+    if losses:
+        df = df.where("ion.mh is not null")
     df = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(most_charge or cfg.max_fragment_charge))).alias("charge"))
     mz = (F.col("ion.mh") + (F.col("charge") - 1) * PROTON) / F.col("charge")
-    return df.select(key, "charge", F.col("ion.order").alias("order"), F.col("ion.series").alias("series"), "pos", mz.alias("mz"), bin_of(mz, cfg.bin_width, cfg.bin_offset).alias("bin"))
+    return df.select(key, "charge", F.col("ion.order").alias("order"), F.col("ion.series").alias("series"), "pos", F.col("ion.loss").alias("loss"), mz.alias("mz"), bin_of(mz, cfg.bin_width, cfg.bin_offset).alias("bin"))
 
 
 def first_of_bin(ions: DataFrame, key: str = "cand_id") -> DataFrame:
     """A bin counts once for each candidate: the ion of least charge, then series, then position."""
-    first = F.min(F.struct("charge", "order", "series", "pos", "mz")).alias("i")
+    first = F.min(F.struct("charge", "order", "series", "pos", *(["loss"] if "loss" in ions.columns else []), "mz")).alias("i")
     return ions.groupBy(key, "bin").agg(first).select(key, "bin", "i.charge", "i.order", "i.series", "i.pos", "i.mz")
+
+
+def precursor_loss_bins(pairs: DataFrame, cfg: Config) -> DataFrame:
+    """(qid, cand_id, bin) of the precursor without each of the losses, at its charge and below; pairs have mass and charge."""
+    df = pairs.select("qid", "cand_id", "mass", F.explode(F.sequence(F.lit(1), F.col("charge"))).alias("z"), F.explode(F.array(*map(F.lit, cfg.precursor_losses))).alias("x"))
+    mz = (F.col("mass") - PROTON - F.col("x") + F.col("z") * PROTON) / F.col("z")
+    return df.select("qid", "cand_id", bin_of(mz, cfg.bin_width, cfg.bin_offset).alias("bin")).where("bin > 0").distinct()

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionweave.config import ION_SHIFTS, PROTON, Config
+from ionweave.functions import chemistry as chem
+
 
 def dot_products(pairs: DataFrame, cand_bins: DataFrame, query_bins: DataFrame) -> DataFrame:
     """xcorr of each (qid, cand_id): sum of fx over the candidate's distinct bins, scaled and rounded; no hit scores 0."""
@@ -59,12 +62,12 @@ def similar_share(a: Column, b: Column) -> Column:
     return same / n
 
 
-def delta_cn(ranked: DataFrame) -> DataFrame:
+def delta_cn(ranked: DataFrame, explicit: bool = False) -> DataFrame:
     """ranked: (qid, nth, peptide, xcorr), a few rows a query. Relative distance to the next entry that differs in over a
-    quarter of its residues; 0 if there is none."""
+    quarter of its residues, or with ``explicit`` to the next of all; 0 if there is none."""
     later = Window.partitionBy("qid").orderBy("nth").rowsBetween(1, Window.unboundedFollowing)
     df = ranked.withColumn("later", F.collect_list(F.struct("peptide", "xcorr")).over(later))
-    other = F.get(F.filter("later", lambda o: similar_share(F.col("peptide"), o["peptide"]) < 0.75), F.lit(0))
+    other = F.get("later" if explicit else F.filter("later", lambda o: similar_share(F.col("peptide"), o["peptide"]) < 0.75), F.lit(0))
     gap = F.when(F.col("xcorr") > 0, 1.0 - other["xcorr"] / F.col("xcorr")).otherwise(F.lit(0.0))
     return df.withColumn("delta_cn", F.round(F.coalesce(gap, F.lit(0.0)), 4)).drop("later")
 
@@ -82,49 +85,117 @@ def survival(hist: DataFrame) -> DataFrame:
     return hist.withColumn("cum", F.sum("n").over(w)).withColumn("log_cum", F.round(F.log10("cum"), 6))
 
 
-def fit_survival(counts: np.ndarray) -> tuple[float, float]:
-    """(slope, intercept) of the log survival over bins: from the highest bin with a sparse tail dropped, leftwards from
-    five bins under the end, until the slope is negative."""
-    n = len(counts)
-    filled = np.flatnonzero(counts)
+BINS_OF_HISTOGRAM = 152
+
+
+def tail_end(counts: np.ndarray) -> int:
+    """Last bin of a histogram that a line may use: before the first gap of two bins (or of one before the highest), which
+    parts off outliers; without such a gap a bin under the highest, or the lowest empty one close to it."""
+    filled = np.flatnonzero(counts[: BINS_OF_HISTOGRAM - 1])
     if not len(filled):
-        return 0.0, 0.0
-    last = int(filled[-1])
-    end = last
-    for k in range(int(counts.argmax()), n):  # the tail after the first gap is sparse
-        if counts[k] == 0 and k >= 10:
-            end = k - 1
-            break
-    end = min(end, last)
-    cum = np.cumsum(counts[::-1])[::-1].astype(float)
-    logs = np.where(cum > 0, np.log10(np.maximum(cum, 1e-9)), 0.0)
+        return 0
+    top = int(filled[-1])
+    for i in range(max(10, int(filled[0]) + 1), top):
+        if counts[i] == 0 and (counts[i + 1] == 0 or i + 1 == top):
+            return i - 1
+    if top < 10:
+        return top
+    empty = [i for i in range(top, top - 6, -1) if counts[i] == 0]
+    if not empty:
+        return top - 1
+    return empty[0] if top <= 20 else empty[-1]
+
+
+def fit_survival(counts: np.ndarray) -> tuple[float, float]:
+    """(slope, intercept) of the log survival over bins, up to the tail's end: from five bins under it, fewer the more of
+    them are zero, leftwards until the slope is negative."""
+    end = tail_end(counts)
+    own = counts[: end + 1].astype(float)
+    survivors = np.cumsum(own[::-1])[::-1]
+    logs = np.log10(np.maximum(survivors, 1.0))
     start = max(0, end - 5)
-    while start >= 0:
-        x, y = np.arange(start, end + 1), logs[start : end + 1]
-        if len(x) > 1:
-            slope, intercept = np.polyfit(x, y, 1)
-            if slope < 0:
-                return float(slope), float(intercept)
+    start = max(0, start - int((logs[start:] == 0).sum()))
+    slope = intercept = 0.0
+    while start >= 0 and end > start + 2:
+        x, y = np.arange(start, end + 1), logs[start:]
+        use = survivors[start:] > 0
+        mx, my = (x[use].mean(), y[use].mean()) if use.any() else (0.0, 0.0)
+        up = y > 0
+        spread = ((x[up] - mx) ** 2).sum()
+        slope = float(((x[up] - mx) * (y[up] - my)).sum() / spread) if spread > 0 else 0.0
+        intercept = float(my - slope * mx)
+        if slope < 0:
+            break
         start -= 1
-    return 0.0, 0.0
+    return slope, intercept
 
 
 def fitted(hist: DataFrame) -> DataFrame:
     """(qid, slope, intercept) from (qid, hbin, n): at most 152 rows a query meet in one group."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.bincount(rows["hbin"], rows["n"], 152)
+        counts = np.bincount(rows["hbin"], rows["n"], BINS_OF_HISTOGRAM)
         slope, intercept = fit_survival(counts)
         return pd.DataFrame({"qid": [rows["qid"].iloc[0]], "slope": [slope], "intercept": [intercept]})
 
     return hist.groupBy("qid").applyInPandas(fit, "qid long, slope double, intercept double")
 
 
-def decoy_bins(n: int = 3000, seed: int = 20) -> np.ndarray:
-    """Fragment bins of synthetic peptides made from a seed: what small searches fill their histograms with (qualitative stand-in)."""
+def synthetic_ions(cfg: Config, n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, charge, peptide number) of the fragments of ``n`` peptides drawn from a seed: 8 to 24 residues, the last K or R.
+    A stand-in: such peptides are this library's own, so e-values of small searches are too."""
     rng = np.random.default_rng(seed)
-    masses = np.array([57.02, 71.04, 87.03, 97.05, 99.07, 101.05, 113.08, 114.04, 115.03, 128.06, 129.04, 131.04, 137.06, 147.07, 156.1, 163.06, 186.08])
-    return (np.cumsum(rng.choice(masses, (n, 12)), axis=1) / 1.0005 + 1).astype(int)
+    table = chem.masses(cfg.residue_mods)
+    inner, last = np.array([table[c] for c in "ACDEFGHILMNPQSTVWY"]), np.array([table[c] for c in "KR"])
+    shift = {s: x for s, x in ION_SHIFTS.items() if s in cfg.ion_series}
+    bins, charges, owners = [], [], []
+    for k in range(n):
+        m = np.append(rng.choice(inner, rng.integers(7, 24)), rng.choice(last))
+        ladder = {True: np.cumsum(m)[:-1] + PROTON, False: np.cumsum(m[::-1])[:-1] + chem.WATER + PROTON}
+        for s, x in shift.items():
+            for z in range(1, cfg.max_fragment_charge + 1):
+                mz = (ladder[s in "abc"] + x + (z - 1) * PROTON) / z
+                bins.append((mz / cfg.bin_width + 1.0 - cfg.bin_offset).astype(np.int64))
+                charges.append(np.full(len(mz), z))
+                owners.append(np.full(len(mz), k))
+    return np.concatenate(bins), np.concatenate(charges), np.concatenate(owners)
+
+
+def fitted_with_fill(hist: DataFrame, fx: DataFrame, limits: DataFrame, cfg: Config) -> DataFrame:
+    """``fitted``, after histograms of under ``cfg.fill_histogram`` entries are topped up with scores of synthetic peptides.
+
+    ``fx``: (qid, bin, fx); ``limits``: (qid, max_frag_charge, floor_bin). Only spectra with small histograms are sent, each as
+    its sparse bins; scores are one weighted count over the synthetic fragments, whose number the settings fix.
+    """
+    wanted = cfg.fill_histogram
+    counts = hist.groupBy("qid").agg(F.collect_list(F.struct("hbin", "n")).alias("h"), F.sum("n").alias("total"))
+    small = counts.where(F.col("total") < wanted).select("qid")
+    arrays = fx.join(small, "qid", "left_semi").groupBy("qid").agg(F.collect_list(F.struct("bin", "fx")).alias("fx"))
+    df = counts.join(arrays, "qid", "left").join(limits, "qid", "left").select("qid", "total", F.coalesce("max_frag_charge", F.lit(1)).alias("z"), F.coalesce("floor_bin", F.lit(0)).alias("floor"), "h.hbin", "h.n", "fx.bin", "fx.fx")
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins, charges, owners = synthetic_ions(cfg, wanted)
+        of_charge = {z: (bins[charges <= z], owners[charges <= z]) for z in range(1, cfg.max_fragment_charge + 1)}
+        for df in frames:
+            out = []
+            for total, z, floor, hbin, n, at, weights in zip(df["total"], df["z"], df["floor"], df["hbin"], df["n"], df["bin"], df["fx"]):
+                h = np.bincount(hbin, n, BINS_OF_HISTOGRAM)
+                if total < wanted:
+                    b, own = of_charge[int(z)]
+                    own, b = (own[own < wanted - total], b[own < wanted - total])
+                    score = np.zeros(wanted - int(total))
+                    if at is not None and len(at):
+                        dense = np.zeros(max(int(b.max(initial=0)), int(max(at))) + 1)
+                        dense[at] = weights
+                        score = np.bincount(own, dense[b], wanted - int(total))
+                    k = np.clip((score * 0.05 + 0.5).astype(int), 0, BINS_OF_HISTOGRAM - 1)
+                    even = np.arange(len(k)) % 2 == 0
+                    k[even] = np.maximum(k[even], floor)  # half of what is under the floor is counted there
+                    h += np.bincount(np.minimum(k, BINS_OF_HISTOGRAM - 1), minlength=BINS_OF_HISTOGRAM)
+                out.append(fit_survival(h))
+            yield pd.DataFrame({"qid": df["qid"], "slope": [a for a, _ in out], "intercept": [b for _, b in out]})
+
+    return df.mapInPandas(fit, "qid long, slope double, intercept double")
 
 
 def evalue(xcorr: Column, slope: Column, intercept: Column) -> Column:
@@ -233,27 +304,3 @@ def binomial_tail(n: int, k: int, p: float) -> float:
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
     top = max(logs, default=-math.inf)
     return math.exp(top) * sum(math.exp(x - top) for x in logs) if logs else 0.0
-
-
-def localise(peaks: list[tuple[float, float]], ladders: list[list[tuple[float, int]]], tol: float = 0.5, width: float = 70.0, depth: int = 10) -> list[float]:
-    """Binomial score of each placement's ladder [(m/z, site-determining)] against the peaks: the best over peak depths,
-    of -10 log10 of the chance to match as many ions, with ``d`` peaks kept in each window."""
-    out = []
-    ranked: dict[int, list[float]] = {}
-    for mz, _ in sorted(peaks, key=lambda p: (-p[1], p[0])):
-        ranked.setdefault(int(mz / width), []).append(mz)
-    for ladder in ladders:
-        best = 0.0
-        for d in range(1, depth + 1):
-            kept = sorted(mz for own in ranked.values() for mz in own[:d])
-            free, hit = list(kept), 0
-            for mz, _ in ladder:
-                near = min(free, key=lambda x: abs(x - mz), default=None)
-                if near is not None and abs(near - mz) <= tol:
-                    hit += 1
-                    free.remove(near)
-            p = min(0.99, max(1e-6, d * 2 * tol / width))
-            tail = binomial_tail(len(ladder), hit, p)
-            best = max(best, -10 * math.log10(max(tail, 1e-300)))
-        out.append(best)
-    return out

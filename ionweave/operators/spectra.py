@@ -20,6 +20,17 @@ def with_enough_peaks(peaks: DataFrame, least: int) -> DataFrame:
     return peaks.withColumn("n_peaks", n).where(F.col("n_peaks") >= least).drop("n_peaks")
 
 
+def with_activation(spectra: DataFrame, method: str) -> DataFrame:
+    """Spectra of one activation method (ALL: of any); those of an unknown one stay."""
+    return spectra if method.upper() == "ALL" else spectra.where(F.col("activation").isNull() | (F.upper("activation") == method.upper()))
+
+
+def precursor_mz(mono: Column, selected: Column, lower: Column, correct: bool) -> Column:
+    """m/z to search: the monoisotopic one, else the selected one, which with ``correct`` also replaces a monoisotopic one below the selection window."""
+    chosen = F.when(mono + 0.1 < lower, selected).otherwise(mono) if correct else mono
+    return F.coalesce(F.nullif(chosen, F.lit(0.0)), selected, mono)
+
+
 def guessed_charges(below_share: Column, total: Column) -> Column:
     """Charge states of a spectrum of unknown charge: 1 if nearly all intensity lies below the precursor, else 2 and 3."""
     return F.when((total == 0) | (below_share > 0.95), F.array(F.lit(1))).otherwise(F.array(F.lit(2), F.lit(3)))

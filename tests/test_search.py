@@ -3,12 +3,14 @@ import gzip
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ionweave.config import PROTON, Config, Mod, config_from_params, read_params
 from ionweave.functions import chemistry as chem
 from ionweave.operators import peptides, scoring
+from ionweave.operators.localisation import binomial_tail, localise
 from ionweave.plans.search import build_index, search, search_index
 from ionweave.sources import readers, writers
 
@@ -130,9 +132,13 @@ def test_q_values_any_partition_count(spark):
 
 
 def test_localisation_and_alignment():
-    ladders = [[(147.1, 1), (300.0, 1)], [(227.1, 1), (380.0, 1)]]
-    a, b = scoring.localise([(227.1, 5.0), (380.0, 9.0), (500.0, 1.0)], ladders)
-    assert b > a and scoring.binomial_tail(4, 0, 0.3) == 1.0 and scoring.binomial_tail(4, 4, 0.5) == pytest.approx(1 / 16)
+    assert binomial_tail(4, 0, 0.3) == 1.0 and binomial_tail(4, 4, 0.5) == pytest.approx(1 / 16)
+    _, mz, z, _, peaks = spectrum("ACDEFGSKSLTK", 1, delta={6: 79.966331})
+    m, i = (np.array(x) for x in zip(*peaks))
+    cfg = Config(variable_mods=(Mod(79.966331, "STY"),))
+    score, sites, by_site = localise("ACDEFGSKSLTK", [0] * 8 + [1] + [0] * 3, m, i, mz, z, cfg)
+    assert sites == [0] * 6 + [1] + [0] * 5 and score > 13 and by_site[0][0] == 7 and by_site[0][1] > 0
+    assert localise("ACDEFGSK", [0] * 6 + [1, 0], m, i, mz, z, cfg)[2] == [(7, 5000.0)]
     x = [float(k) for k in range(20)]
     assert scoring.align_history(x, [2 * v + 1 for v in x[:-1]] + [500.0], 30.0, 0.0) == pytest.approx(61, abs=1e-6) and scoring.align_history(x[:9], x[:9], 1.0, 7.0) == 7.0
 
