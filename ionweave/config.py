@@ -168,8 +168,6 @@ def config_from_params(params: dict[str, str]) -> Config:
             out["length" if "length" in name else name] = pair(value, int)
         elif name in SWITCHES:
             out[SWITCHES[name]] = value == "1"
-        elif name == "print_ascorepro_score":
-            out["localise"] = value != "0"
         elif name in ENDS:
             ends = list(out.get("static_ends", (0.0,) * 4))
             ends[ENDS.index(name)] = float(value)

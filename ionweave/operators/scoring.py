@@ -29,6 +29,11 @@ def histogram(scored: DataFrame) -> DataFrame:
     return scored.groupBy("qid", histogram_bin(F.col("xcorr"), F.col("first_residue"), F.col("floor_bin")).alias("hbin")).agg(F.count("*").alias("n"))
 
 
+def match_counts(scored: DataFrame) -> DataFrame:
+    """Targets and decoys that each query was scored against."""
+    return scored.groupBy("qid").agg(F.count_if(~F.col("is_decoy")).alias("n_targets"), F.count_if(F.col("is_decoy")).alias("n_decoys"))
+
+
 def merged_duplicates(scored: DataFrame) -> DataFrame:
     """Equal (canon, sites) of a query become one row: text of the first protein, targets before decoys, all proteins."""
     first = F.min_by("peptide", F.struct("is_decoy", "prot_id"))

@@ -8,6 +8,7 @@ operators that searches use over all their rows. Results are rounded to a stated
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -471,6 +472,146 @@ def txt_projection(spark, sf):
     return df.select(F.col("qid").alias("scan"), F.col("nth").alias("num"), writers.fixed(F.col("x"), 6).alias("exp_neutral_mass"), writers.fixed(F.col("x"), 4).alias("xcorr"), F.col("peptide").alias("plain_peptide"))
 
 
+@query("SELECT o_orderkey AS qid FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderkey % 7 = 0")
+def activation_filter(spark, sf):
+    df = T(spark, sf).read("orders").select(F.col("o_orderkey").alias("qid"), F.when(F.col("o_orderkey") % 7 != 0, F.lower("o_orderpriority")).alias("activation"))
+    return spectra.with_activation(df, "1-Urgent").select("qid")
+
+
+@query("SELECT o_orderkey AS qid, round(CASE WHEN o_custkey % 5 = 0 OR (o_totalprice / 100 + 0.1::DOUBLE < o_totalprice / 100 + (o_orderkey % 3 - 1)) THEN o_totalprice / 100 + 1 ELSE o_totalprice / 100 END, 4) AS mz FROM orders")
+def precursor_choice(spark, sf):
+    mono = F.col("o_totalprice") / 100
+    own = F.when(F.col("o_custkey") % 5 == 0, F.lit(0.0)).otherwise(mono)
+    return T(spark, sf).read("orders").select(F.col("o_orderkey").alias("qid"), F.round(spectra.precursor_mz(own, mono + 1, mono + (F.col("o_orderkey") % 3 - 1), True), 4).alias("mz"))
+
+
+_STATES = "(SELECT o_orderkey AS qid, CAST(o_custkey % 9 AS INT) AS file_charge, (o_orderkey % 100) / 100.0::DOUBLE AS below_share, o_totalprice AS total_inten FROM orders)"
+
+
+@query(f"""SELECT qid, mode, CAST(unnest(CASE WHEN mode = 1 OR (mode = 3 AND file_charge = 0) THEN [2, 3, 4] WHEN file_charge > 0 AND (mode = 3 OR file_charge BETWEEN 2 AND 4) THEN [file_charge]
+  WHEN file_charge > 0 THEN [] WHEN total_inten = 0 OR below_share > 0.95 THEN [1] ELSE [2, 3] END) AS INT) AS charge FROM {_STATES}, (VALUES (1), (2), (3)) AS m(mode)""")
+def charge_override(spark, sf):
+    df = T(spark, sf).read("orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % 9).cast("int").alias("file_charge"), ((F.col("o_orderkey") % 100) / 100.0).alias("below_share"), F.col("o_totalprice").alias("total_inten"))
+    runs = [spectra.expand_charges(df, mode, 2, 4).select("qid", F.lit(mode).alias("mode"), "charge") for mode in (1, 2, 3)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query(f"SELECT qid, round(exp_mass * 20 * 1e-6::DOUBLE + 5, 6) AS ppm, CAST(3 * 8 + 5 AS DOUBLE) AS on_mz FROM {PREC}")
+def mass_cushion(spark, sf):
+    m = F.col("exp_mass")
+    return T(spark, sf).precursors.select("qid", F.round(spectra.mass_cushion(m, _PPM), 6).alias("ppm"), spectra.mass_cushion(m, Config(tolerance_on_mz=True)).alias("on_mz"))
+
+
+_LOSS = lambda m: int(m / CFG.bin_width + 0.5)
+
+
+@query(f"SELECT qid, bin + s AS bin, round(sum(fx * w), 3) AS fx FROM {_FX}, (VALUES (0, 1.0::DOUBLE), ({_LOSS(chem.AMMONIA)}, 0.2::DOUBLE), ({_LOSS(chem.WATER)}, 0.2::DOUBLE)) AS m(s, w) GROUP BY ALL")
+def neutral_loss_array(spark, sf):
+    cfg = Config(flanking=False, use_nl_ions=True)
+    return spectra.xcorr_array(spectra.ten_window_normalised(T(spark, sf).bins), cfg)[1].select("qid", "bin", F.round("fx", 3).alias("fx"))
+
+
+@query(f"SELECT qid, CAST(trunc(max(fx) * 10 * 0.005::DOUBLE + 0.5::DOUBLE) AS INT) AS floor_bin FROM {_FLANK} GROUP BY qid")
+def histogram_floors(spark, sf):
+    fx = spectra.xcorr_array(spectra.ten_window_normalised(T(spark, sf).bins), CFG)[0]
+    return fx.groupBy("qid").agg(spectra.histogram_floor(F.max("fx")).alias("floor_bin"))
+
+
+@query(f"""WITH c AS (SELECT prot_id, 0 AS cut FROM {PROT} WHERE seq <> '' UNION SELECT prot_id, CAST(sum(length(peptide)) OVER (PARTITION BY prot_id ORDER BY nth) AS BIGINT) FROM {PIECES}),
+n AS (SELECT prot_id, length(seq) AS n FROM {PROT}), p AS (
+  SELECT prot_id, cut AS s, cut + k AS e FROM c JOIN n USING (prot_id), (VALUES (6), (7)) AS l(k) WHERE cut + k <= n
+  UNION SELECT prot_id, cut - k, cut FROM c, (VALUES (6), (7)) AS l(k) WHERE cut - k >= 0)
+SELECT prot_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts FROM p GROUP BY prot_id""")
+def digest_semi(spark, sf):
+    df = peptides.digest(T(spark, sf).proteins, Config(termini=1, missed_cleavages=100, length=(6, 7)))
+    return df.groupBy("prot_id").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("starts"))
+
+
+_S = Mod(79.966331, "S", 1, term_distance=2, which_term=2)
+
+
+@query(f"SELECT canon, 1 + len(regexp_extract_all(left(peptide, 3), 'S')) AS near_n, 1 + len(regexp_extract_all(right(peptide, 3), 'S')) AS near_c, 1 + len(regexp_extract_all(left(peptide, -1), 'S')) AS not_last FROM {UNIQUE}")
+def mod_term_distance(spark, sf):
+    found = T(spark, sf).short_peptides
+    count = lambda m, name: peptides.modified(found, Config(variable_mods=(m,), digest_mass=(0.0, 1e9))).groupBy("canon").agg(F.count("*").alias(name))
+    return count(_S, "near_n").join(count(replace(_S, which_term=3), "near_c"), "canon").join(count(replace(_S, term_distance=-2), "not_last"), "canon")
+
+
+@query(f"SELECT canon, 1 + CASE WHEN contains(CAST(first_prot AS VARCHAR), '7') OR contains(CAST(first_prot AS VARCHAR), '11') THEN len(regexp_extract_all(peptide, 'S')) ELSE 0 END AS n FROM {UNIQUE}")
+def mod_protein_filter(spark, sf):
+    t, cfg = T(spark, sf), Config(variable_mods=(Mod(79.966331, "S", 1),), mod_filter=((1, "7"), (1, "11")), digest_mass=(0.0, 1e9))
+    found = peptides.placed_in_proteins(t.short_peptides, t.proteins.withColumn("name", F.col("prot_id").cast("string")), cfg)
+    return peptides.modified(found, cfg).groupBy("canon").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT canon, 1 + 3 * len(regexp_extract_all(peptide, 'J')) AS n, round({MASS_OF('peptide')} - (length(peptide) - length(replace(peptide, 'J', ''))) * {d(chem.UNKNOWN)} + CASE WHEN contains(peptide, 'J') THEN 300.5::DOUBLE ELSE 0 END, 3) AS heaviest FROM {UNIQUE}")
+def compound_masses(spark, sf):
+    cfg = Config(compound_masses=(100.0, 200.25, 300.5), digest_mass=(0.0, 1e9))
+    found = T(spark, sf).short_peptides.withColumn("mass", chem.peptide_mass(F.col("peptide"), cfg.residue_mods))
+    return peptides.modified(found, cfg).groupBy("canon").agg(F.count("*").alias("n"), F.round(F.max("mass"), 3).alias("heaviest"))
+
+
+@query(f"""SELECT canon, round(mass + 10 + CASE WHEN first_end THEN 5 ELSE 0 END, 3) AS mass FROM (SELECT canon, {MASS_OF('peptide')} AS mass, prev = '-' AS first_end FROM (
+  SELECT canon, peptide, CASE WHEN nth = 0 THEN '-' ELSE '' END AS prev FROM (SELECT replace(peptide, 'L', 'I') AS canon, arg_min(peptide, (prot_id, nth)) AS peptide, arg_min(nth, (prot_id, nth)) AS nth FROM {PIECES} WHERE length(peptide) BETWEEN 6 AND 30 GROUP BY 1)))""")
+def static_end_masses(spark, sf):
+    cfg = Config(static_ends=(10.0, 0.0, 5.0, 0.0), missed_cleavages=0, length=(6, 30))
+    found = peptides.unique_peptides(peptides.digest(T(spark, sf).proteins, cfg), cfg)
+    return found.select("canon", F.round("mass", 3).alias("mass"))
+
+
+@query(f"""WITH u AS (SELECT canon, peptide, length(peptide) AS n FROM {UNIQUE} WHERE contains(peptide, 'S')),
+r AS (SELECT canon, n, k, m + CASE WHEN aa = 'S' THEN 80 ELSE 0 END AS m, (aa = 'S')::INT AS s FROM (SELECT canon, n, unnest(string_split(peptide, '')) AS aa, generate_subscripts(string_split(peptide, ''), 1) AS k FROM u) JOIN {MASSES} USING (aa)),
+p AS (SELECT canon, n, k, sum(m) OVER w AS pre, sum(m) OVER (PARTITION BY canon) AS total, sum(s) OVER w AS held, sum(s) OVER (PARTITION BY canon) AS every FROM r WINDOW w AS (PARTITION BY canon ORDER BY k)),
+i AS (SELECT canon, 'b' AS series, held AS times, pre + {d(PROTON)} AS mh FROM p WHERE k < n UNION ALL SELECT canon, 'y', every - held, total - pre + {d(chem.WATER)} + {d(PROTON)} FROM p WHERE k < n)
+SELECT canon, series, count(*) AS n, round(sum(mh - 98 * times), 2) AS total FROM i WHERE times > 0 GROUP BY ALL""")
+def fragment_losses(spark, sf):
+    cfg = Config(variable_mods=(Mod(80.0, "S", 99, neutral_loss=98.0),), scale_fragment_loss=True)
+    sites = F.concat(F.transform(chem.letters(F.col("peptide")), lambda c: F.when(c == "S", 1).otherwise(0)), F.array(F.lit(0), F.lit(0)))
+    ions = peptides.fragment_ions(T(spark, sf).short_peptides.withColumn("sites", sites), cfg, "canon", 1).where("loss > 0")
+    return ions.groupBy("canon", "series").agg(F.count("*").alias("n"), F.round(F.sum("mz"), 2).alias("total"))
+
+
+@query(f"SELECT DISTINCT qid, qid AS cand_id, {BIN(f'((exp_mass - {d(PROTON)} - x + z * {d(PROTON)}) / z)')} AS bin FROM {PREC}, (VALUES (18.5::DOUBLE), (98.25::DOUBLE)) AS l(x), LATERAL (SELECT unnest(range(1, charge + 1)) AS z) WHERE {BIN(f'((exp_mass - {d(PROTON)} - x + z * {d(PROTON)}) / z)')} > 0")
+def precursor_losses(spark, sf):
+    df = T(spark, sf).precursors.select("qid", F.col("qid").alias("cand_id"), F.col("exp_mass").alias("mass"), "charge")
+    return peptides.precursor_loss_bins(df, Config(precursor_losses=(18.5, 98.25)))
+
+
+@query(f"SELECT qid, nth, round(coalesce(1 - lead(xcorr) OVER (PARTITION BY qid ORDER BY nth) / xcorr, 0), 4) AS delta_cn FROM {_TOP} WHERE nth <= 6")
+def delta_cn_explicit(spark, sf):
+    return scoring.delta_cn(_ranked(spark, sf), explicit=True).select("qid", "nth", "delta_cn")
+
+
+@query(f"SELECT qid, count(*) FILTER (WHERE NOT is_decoy) AS n_targets, count(*) FILTER (WHERE is_decoy) AS n_decoys FROM {PSMS} GROUP BY qid")
+def match_counters(spark, sf):
+    return scoring.match_counts(T(spark, sf).psms)
+
+
+@query()
+def evalue_filled(spark, sf):
+    """Histograms topped up from synthetic peptides: a table of this library's own, so no SQL."""
+    t = T(spark, sf)
+    fx = spectra.xcorr_array(spectra.ten_window_normalised(t.bins), CFG)[0]
+    limits = fx.groupBy("qid").agg(F.lit(1).alias("max_frag_charge"), spectra.histogram_floor(F.max("fx")).alias("floor_bin"))
+    return scoring.fitted_with_fill(_hist(spark, sf), fx, limits, CFG).select("qid", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+@query()
+def site_localisation(spark, sf):
+    """Places of one phosphate on the peptides with two or more residues that take it, each against the spectrum of its first
+    protein's number (users' events); greedy matching and stretches of depth aren't SQL."""
+    from ionweave.operators.localisation import localised
+
+    t = T(spark, sf)
+    peaks = t.peaks.groupBy("qid").agg(F.collect_list(F.struct("mz", "inten")).alias("peaks")).withColumnRenamed("qid", "user")
+    first = F.array_position(F.transform(chem.letters(F.col("peptide")), lambda c: c.isin("S", "T", "Y")), True).cast("int")
+    found = t.short_peptides.where(F.length(F.regexp_replace("peptide", "[^STY]", "")) >= 2).select(F.xxhash64("canon").alias("qid"), "peptide", first.alias("at"), F.get("prot_ids", F.lit(0)).alias("user"))
+    sites = F.transform(F.sequence(F.lit(1), F.length("peptide") + 2), lambda i: F.when(i == F.col("at"), 1).otherwise(0))
+    tops = found.withColumn("sites", sites).withColumn("charge", F.lit(2)).withColumn("prec_mz", F.lit(700.0)).join(peaks, "user")
+    out = localised(tops, Config(variable_mods=(Mod(79.966331, "STY", 1),)))
+    return out.select("qid", F.round("ascore", 4).alias("ascore"), "sites", "site_scores")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole search: documents as proteins, events as peaks, the best peptide of each user's spectrum."""
     from ionweave.plans.search import search

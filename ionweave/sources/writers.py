@@ -113,7 +113,7 @@ def write_pepxml(psms: DataFrame, path: str) -> None:
     from ionweave.config import PROTON
 
     score = lambda name, v: element("search_score", {"name": F.lit(name), "value": v})
-    scores = F.concat(score("xcorr", fixed(F.col("xcorr"), 3)), score("deltacn", fixed(F.col("delta_cn"), 3)), score("deltacnlast", fixed(F.col("last_delta_cn"), 3)), score("spscore", fixed(F.col("sp_score"), 1)), score("sprank", F.col("sp_rank")), score("expect", F.format_string("%.2E", F.col("expect"))), F.when(F.col("ascore").isNotNull(), score("ascorepro", fixed(F.col("ascore"), 2))).otherwise(F.lit("")))
+    scores = F.concat(score("xcorr", fixed(F.col("xcorr"), 3)), score("deltacn", fixed(F.col("delta_cn"), 3)), score("deltacnlast", fixed(F.col("last_delta_cn"), 3)), score("spscore", fixed(F.col("sp_score"), 1)), score("sprank", F.col("sp_rank")), score("expect", F.format_string("%.2E", F.col("expect"))), F.when(F.col("ascore").isNotNull(), score("site_score", fixed(F.col("ascore"), 2))).otherwise(F.lit("")))
     mods = F.transform("mod_at", lambda m: element("mod_aminoacid_mass", {"position": m["pos"], "variable": fixed(m["mass"], 6)}))
     mods = F.when(F.size("mod_at") > 0, F.concat(F.lit("<modification_info>"), F.array_join(mods, ""), F.lit("</modification_info>"))).otherwise(F.lit(""))
     others = F.array_join(F.transform(F.slice("names", 2, 1 << 20), lambda n: element("alternative_protein", {"protein": n})), "")

@@ -70,7 +70,7 @@ def test_xml_documents(spark, tmp_path):
     first, second = queries[0].iter("search_hit")
     assert (first.get("peptide"), first.get("protein"), [a.get("protein") for a in first.iter("alternative_protein")], second.get("hit_rank")) == ("PEPTK", "p<1>", ["p2"], "2")
     assert [(m.get("position"), m.get("variable")) for m in first.iter("mod_aminoacid_mass")] == [("4", "79.966331"), ("5", "1.000000")]
-    assert {s.get("name"): s.get("value") for s in first.iter("search_score")} == {"xcorr": "3.200", "deltacn": "0.100", "deltacnlast": "0.400", "spscore": "200.0", "sprank": "1", "expect": "1.00E-05", "ascorepro": "25.00"}
+    assert {s.get("name"): s.get("value") for s in first.iter("search_score")} == {"xcorr": "3.200", "deltacn": "0.100", "deltacnlast": "0.400", "spscore": "200.0", "sprank": "1", "expect": "1.00E-05", "site_score": "25.00"}
     writers.write_mzidentml(df, str(tmp_path / "m"))
     root = document(tmp_path / "m")
     ids = {n: {e.get("id") for e in root.iter(n)} for n in ("DBSequence", "Peptide", "PeptideEvidence", "SpectrumIdentificationItem")}
