@@ -45,25 +45,33 @@ def digest(proteins: DataFrame, cfg: Config) -> DataFrame:
         return out.where(~F.col("peptide").contains("*"))
     # Ends of fragments are cut sites, with 0 and the protein's end.
     sites = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.aggregate(F.split("seq", cut_pattern(cfg)), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x)))))))
-    df = proteins.where(n > 0).select("prot_id", "seq", sites.alias("sites"))
-    if cfg.termini == 2:
-        df = df.select("prot_id", "seq", "sites", F.posexplode("sites").alias("i", "start"))
-        df = df.select("prot_id", "seq", "start", F.posexplode(F.slice("sites", F.col("i") + 2, F.lit(cfg.missed_cleavages + 1))).alias("missed", "end"))
-        spans = df.where((F.col("end") - F.col("start")).between(lo, hi))
-    else:
-        starts_cut = cfg.termini in (1, 8)
-        ends_cut = cfg.termini in (1, 9)
-        from_start = F.flatten(F.transform("sites", lambda s: F.transform(F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: s + k <= n), lambda k: F.struct(s.alias("start"), (s + k).alias("end")))))
-        from_end = F.flatten(F.transform("sites", lambda e: F.transform(F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: e - k >= 0), lambda k: F.struct((e - k).alias("start"), e.alias("end")))))
-        pairs = [x for x, on in ((from_start, starts_cut), (from_end, ends_cut)) if on]
-        both = F.array_distinct(F.concat(*pairs))
-        df = df.select("prot_id", "seq", "sites", F.explode(both).alias("p")).select("prot_id", "seq", "sites", "p.*")
-        df = df.withColumn("missed", F.size(F.filter("sites", lambda s: (s > F.col("start")) & (s < F.col("end")))))
-        spans = df.where(F.col("missed") <= cfg.missed_cleavages).drop("sites")
-    piece = F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start"))
-    flank = lambda at: F.coalesce(F.nullif(F.substring("seq", at, F.lit(1)), F.lit("")), F.lit("-"))
-    out = spans.select("prot_id", "start", piece.alias("peptide"), F.col("missed").cast("int").alias("missed"), F.when(F.col("start") == 0, "-").otherwise(flank(F.col("start"))).alias("prev_aa"), flank(F.col("end") + 1).alias("next_aa"))
-    return out.where(~F.col("peptide").contains("*"))
+    around = proteins.where(n > 0).select("prot_id", F.concat(F.lit("-"), F.col("seq"), F.lit("-")).alias("padded"), sites.alias("sites"))
+    around = around.select("prot_id", "padded", "sites", F.posexplode("sites").alias("i", "site"))
+    site, most = F.col("site"), cfg.missed_cleavages + 1
+    # Each site takes the stretch that its peptides can reach once; they are cut from that. Further sites up to the missed
+    # cleavages bound where the other end may lie, whether it is free or a site too.
+    found = []
+    if cfg.termini in (1, 2, 8):
+        ahead = around.select("prot_id", "site", F.substring("padded", site + 1, F.lit(hi + 2)).alias("text"), F.slice("sites", F.col("i") + 2, F.lit(most)).alias("others")).where(F.size("others") > 0)
+        ends = F.filter("others", lambda e: (e - site).between(lo, hi))
+        if cfg.termini != 2:
+            last = F.least(site + hi, F.element_at("others", -1))
+            ends = F.when(site + lo <= last, F.sequence(site + lo, F.greatest(last, site + lo)))
+        ahead = ahead.select("*", F.explode(ends).alias("end")).withColumn("len", F.col("end") - site)
+        missed = F.size(F.filter("others", lambda s: s < F.col("end")))
+        found.append(ahead.select("prot_id", site.alias("start"), F.substring("text", F.lit(2), F.col("len")).alias("peptide"), missed.alias("missed"), F.left("text", F.lit(1)).alias("prev_aa"), F.substring("text", F.col("len") + 2, F.lit(1)).alias("next_aa")))
+    if cfg.termini in (1, 9):
+        before = F.least(F.col("i"), F.lit(most))
+        back = around.select("prot_id", "site", "padded", F.greatest(site - hi, F.lit(0)).alias("base"), F.slice("sites", F.col("i") + 1 - before, before).alias("others")).where(F.size("others") > 0)
+        back = back.select("prot_id", "site", "base", "others", F.substring("padded", F.col("base") + 1, site - F.col("base") + 2).alias("text"))
+        first = F.greatest("base", F.get("others", F.lit(0)))
+        starts = F.when(first <= site - lo, F.sequence(F.least(first, site - lo), site - lo))
+        if cfg.termini == 1:  # those between two sites are found from the first
+            starts = F.filter(starts, lambda s: ~F.array_contains("others", s))
+        back = back.select("*", F.explode(starts).alias("start")).withColumn("at", F.col("start") - F.col("base"))
+        missed = F.size(F.filter("others", lambda s: s > F.col("start")))
+        found.append(back.select("prot_id", "start", F.substring("text", F.col("at") + 2, site - F.col("start")).alias("peptide"), missed.alias("missed"), F.substring("text", F.col("at") + 1, F.lit(1)).alias("prev_aa"), F.right("text", F.lit(1)).alias("next_aa")))
+    return reduce(DataFrame.unionByName, found).where(~F.col("peptide").contains("*"))
 
 
 def with_clipped(proteins: DataFrame, cfg: Config) -> DataFrame:

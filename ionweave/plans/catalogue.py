@@ -505,10 +505,10 @@ def mass_cushion(spark, sf):
 _LOSS = lambda m: int(m / CFG.bin_width + 0.5)
 
 
-@query(f"SELECT qid, bin + s AS bin, round(sum(fx * w), 3) AS fx FROM {_FX}, (VALUES (0, 1.0::DOUBLE), ({_LOSS(chem.AMMONIA)}, 0.2::DOUBLE), ({_LOSS(chem.WATER)}, 0.2::DOUBLE)) AS m(s, w) GROUP BY ALL")
+@query(f"SELECT qid, bin + s AS bin, round(sum(fx * w), 3) + 0.0::DOUBLE AS fx FROM {_FX}, (VALUES (0, 1.0::DOUBLE), ({_LOSS(chem.AMMONIA)}, 0.2::DOUBLE), ({_LOSS(chem.WATER)}, 0.2::DOUBLE)) AS m(s, w) GROUP BY ALL")
 def neutral_loss_array(spark, sf):
     cfg = Config(flanking=False, use_nl_ions=True)
-    return spectra.xcorr_array(spectra.ten_window_normalised(T(spark, sf).bins), cfg)[1].select("qid", "bin", F.round("fx", 3).alias("fx"))
+    return spectra.xcorr_array(spectra.ten_window_normalised(T(spark, sf).bins), cfg)[1].select("qid", "bin", (F.round("fx", 3) + F.lit(0.0)).alias("fx"))
 
 
 @query(f"SELECT qid, CAST(trunc(max(fx) * 10 * 0.005::DOUBLE + 0.5::DOUBLE) AS INT) AS floor_bin FROM {_FLANK} GROUP BY qid")

@@ -139,3 +139,24 @@ def test_tail_of_histogram():
     assert scoring.tail_end(np.zeros(152)) == 0 and scoring.fit_survival(np.zeros(152)) == (0.0, 0.0)
     h[20] = 0
     assert scoring.tail_end(h) == 10
+
+
+@pytest.mark.parametrize("termini", [1, 2, 8, 9])
+@pytest.mark.parametrize("missed", [0, 1, 3])
+def test_digest_by_every_pair(spark, termini, missed):
+    rng = np.random.default_rng(termini * 10 + missed)
+    seqs = ["".join(rng.choice(list("AKRPG*D"), n)) for n in (1, 3, 30, 60, 200)] + ["", None, "K", "KKKK", "AAAAAA"]
+    cfg = Config(termini=termini, missed_cleavages=missed, length=(2, 9))
+    want = []
+    for p, s in enumerate(seqs):
+        s = s or ""
+        cuts = {0, len(s)} | {i for i in range(1, len(s)) if (s[i - 1] in "KR*" and s[i] != "P") or s[i] == "*"}
+        for a in range(len(s)):
+            for b in range(a + 2, min(a + 9, len(s)) + 1):
+                n_end, c_end = a in cuts, b in cuts
+                ok = {2: n_end and c_end, 1: n_end or c_end, 8: n_end, 9: c_end}[termini]
+                inner = sum(a < c < b for c in cuts)
+                if ok and inner <= missed and "*" not in s[a:b]:
+                    want.append((p, a, s[a:b], inner, s[a - 1] if a else "-", s[b : b + 1] or "-"))
+    df = spark.createDataFrame(list(enumerate(seqs)), "prot_id long, seq string")
+    assert sorted(map(tuple, peptides.digest(df, cfg).collect())) == sorted(want)
