@@ -43,16 +43,21 @@ def digest(proteins: DataFrame, cfg: Config) -> DataFrame:
         piece = lambda k, size: F.substring("text", F.col("i") + k, size)
         out = at.select("prot_id", "start", piece(2, F.col("len")).alias("peptide"), F.lit(0).alias("missed"), piece(1, F.lit(1)).alias("prev_aa"), piece(F.col("len") + 2, F.lit(1)).alias("next_aa"))
         return out.where(~F.col("peptide").contains("*"))
-    # Ends of fragments are cut sites, with 0 and the protein's end.
-    sites = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.aggregate(F.split("seq", cut_pattern(cfg)), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x)))))))
-    around = proteins.where(n > 0).select("prot_id", F.concat(F.lit("-"), F.col("seq"), F.lit("-")).alias("padded"), sites.alias("sites"))
-    around = around.select("prot_id", "padded", "sites", F.posexplode("sites").alias("i", "site"))
-    site, most = F.col("site"), cfg.missed_cleavages + 1
-    # Each site takes the stretch that its peptides can reach once; they are cut from that. Further sites up to the missed
-    # cleavages bound where the other end may lie, whether it is free or a site too.
+    # Sites are the ends of the pieces between cuts. Each takes the text that its peptides can reach, joined from whole pieces
+    # (a substring of a long sequence takes time up to its place); further sites, up to the missed cleavages, bound where the
+    # other end may lie, whether it is free or a site too.
+    pieces = proteins.where(n > 0).select("prot_id", F.filter(F.split("seq", cut_pattern(cfg)), lambda x: x != "").alias("pieces"))
+    sites = F.aggregate("pieces", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x))))
+    around = pieces.select("prot_id", "pieces", sites.alias("sites"))
+    most, count = cfg.missed_cleavages + 1, F.size("pieces")
+    before = lambda i: F.when(i > 0, F.right(F.get("pieces", i - 1), F.lit(1))).otherwise(F.lit("-"))
+    after = lambda i: F.coalesce(F.left(F.get("pieces", i), F.lit(1)), F.lit("-"))
+    joined = lambda i, k: F.array_join(F.slice("pieces", i + 1, k), "")
     found = []
     if cfg.termini in (1, 2, 8):
-        ahead = around.select("prot_id", "site", F.substring("padded", site + 1, F.lit(hi + 2)).alias("text"), F.slice("sites", F.col("i") + 2, F.lit(most)).alias("others")).where(F.size("others") > 0)
+        own = lambda i: F.struct(F.get("sites", i).alias("site"), F.slice("sites", i + 2, F.lit(most)).alias("others"), F.left(F.concat(before(i), joined(i, F.lit(most)), after(i + most)), F.lit(hi + 2)).alias("text"))
+        ahead = around.select("prot_id", F.explode(F.transform(F.sequence(F.lit(0), count - 1), own)).alias("s")).select("prot_id", "s.*")
+        site = F.col("site")
         ends = F.filter("others", lambda e: (e - site).between(lo, hi))
         if cfg.termini != 2:
             last = F.least(site + hi, F.element_at("others", -1))
@@ -61,16 +66,17 @@ def digest(proteins: DataFrame, cfg: Config) -> DataFrame:
         missed = F.size(F.filter("others", lambda s: s < F.col("end")))
         found.append(ahead.select("prot_id", site.alias("start"), F.substring("text", F.lit(2), F.col("len")).alias("peptide"), missed.alias("missed"), F.left("text", F.lit(1)).alias("prev_aa"), F.substring("text", F.col("len") + 2, F.lit(1)).alias("next_aa")))
     if cfg.termini in (1, 9):
-        before = F.least(F.col("i"), F.lit(most))
-        back = around.select("prot_id", "site", "padded", F.greatest(site - hi, F.lit(0)).alias("base"), F.slice("sites", F.col("i") + 1 - before, before).alias("others")).where(F.size("others") > 0)
-        back = back.select("prot_id", "site", "base", "others", F.substring("padded", F.col("base") + 1, site - F.col("base") + 2).alias("text"))
-        first = F.greatest("base", F.get("others", F.lit(0)))
+        k = lambda i: F.least(i, F.lit(most))
+        own = lambda i: F.struct(F.get("sites", i).alias("site"), F.slice("sites", i + 1 - k(i), k(i)).alias("others"), F.right(F.concat(before(i - k(i)), joined(i - k(i), k(i)), after(i)), F.lit(hi + 2)).alias("text"))
+        back = around.select("prot_id", F.explode(F.transform(F.sequence(F.lit(1), count), own)).alias("s")).select("prot_id", "s.*")
+        site = F.col("site")
+        first = F.greatest(site - hi, F.get("others", F.lit(0)))
         starts = F.when(first <= site - lo, F.sequence(F.least(first, site - lo), site - lo))
         if cfg.termini == 1:  # those between two sites are found from the first
             starts = F.filter(starts, lambda s: ~F.array_contains("others", s))
-        back = back.select("*", F.explode(starts).alias("start")).withColumn("at", F.col("start") - F.col("base"))
+        back = back.select("*", F.explode(starts).alias("start")).withColumn("at", F.length("text") - 1 - (site - F.col("start")))
         missed = F.size(F.filter("others", lambda s: s > F.col("start")))
-        found.append(back.select("prot_id", "start", F.substring("text", F.col("at") + 2, site - F.col("start")).alias("peptide"), missed.alias("missed"), F.substring("text", F.col("at") + 1, F.lit(1)).alias("prev_aa"), F.right("text", F.lit(1)).alias("next_aa")))
+        found.append(back.select("prot_id", "start", F.substring("text", F.col("at") + 1, site - F.col("start")).alias("peptide"), missed.alias("missed"), F.substring("text", F.col("at"), F.lit(1)).alias("prev_aa"), F.right("text", F.lit(1)).alias("next_aa")))
     return reduce(DataFrame.unionByName, found).where(~F.col("peptide").contains("*"))
 
 
