@@ -2,11 +2,13 @@
 
 Words (letters and digits, A-Z folded) form shingles of five; each carries its occurrence number within the text. Each of
 ``SKETCHES`` seeds takes the ``TUPLE`` least shingles by hash and keeps them in text order; texts that share a tuple meet
-in a bucket. Equal texts are one node from the start, so copies never meet as pairs. In each bucket a hub, another one
-for each seed, is linked with every other text: no pairs within a bucket, and a bucket of any size costs one link a text.
-A link counts if a banded alignment of the words finds an edit similarity of ``SIMILARITY`` or more and the texts share
-that much of their distinct shingles (Jaccard). Texts are first tried against the two hubs that they meet most often;
-what buckets still hold in different classes is tried after. Classes are connected components by alternating stars.
+in a bucket. Equal texts are one node from the start, so copies never meet as pairs. In each bucket a hub, the text that
+shares most with others, is tried with every other text. A link counts if a banded alignment of the words finds an edit
+similarity of ``SIMILARITY`` or more and the texts share that much of their distinct shingles (Jaccard). Texts are first
+tried against the two hubs that they meet most often, then against the rest. Classes are connected components by
+alternating stars. Buckets that still hold several classes lose the hubs they had and take the next ones, more each
+round, until all their texts are in one class or have been tried with each other: where many texts of a bucket are not
+similar, that is the square of their number, and where they are, one link a text.
 
 Defined cases: a null text, or one without words, equals no other; texts of under five words equal only the same words;
 repeated rows are rows of the result; rows that share a doc_id but not the text are texts of their own; an empty table
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ionweave.llm.common import ALNUM, C1, chunks, materialize, mix, text_buffers, words_of
 
-SHINGLE, TUPLE, SKETCHES, SIMILARITY, FIRST_HUBS = 5, 3, 16, 0.8, 2
+SHINGLE, TUPLE, SKETCHES, SIMILARITY, FIRST_HUBS, GROWTH = 5, 3, 16, 0.8, 2, 8
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -76,7 +78,7 @@ def order_minhash(words: np.ndarray, sketches: int = SKETCHES, size: int = TUPLE
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node (128-bit hash of the words) and the sketch of each row."""
+    """doc_id, node (128-bit hash of the words), number of words and the sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +93,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                     keys.append(order_minhash(own).view(np.int64))
                 flat = np.concatenate([np.zeros(0, np.int64), *keys])
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(np.diff(words.docs), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "node", "n_words", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node binary, n_words long, keys array<long>")
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -215,30 +217,69 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _met(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(u, v, node, n): the pairs of members with hubs of their buckets that may still be near duplicates, and in how many they meet."""
+    met = members.join(hubs, "key").where((F.col("nth") > F.col("hub_nth")) & ~F.col("root").eqNullSafe(F.col("hub_root")))
+    # Shorter texts than that aren't similar: the first thing that similar() asks.
+    met = met.where(F.least("n_words", "hub_words") >= SIMILARITY * F.greatest("n_words", "hub_words"))
+    return met.groupBy(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"), "node").agg(F.count("*").alias("n"))
+
+
+def classed(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (u, v), and (node, root) of what they connect: in the end every two texts of a bucket are in one
+    class or have been tried. A round's hubs are the next of each bucket by weight, ``GROWTH`` times as many as before."""
+    keyed = nodes.select("node", "n_words", F.explode("keys").alias("key"))
+    met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    # A text that many others derive from shares more and larger buckets than they do among themselves.
+    met = materialize(met, "met")
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = materialize(met.drop("n").join(weight, "node").withColumn("root", F.col("node")), "members")
+    words = materialize(node_words(docs, nodes.join(weight.select("node"), "node", "left_semi").select("node", "doc_id")), "words")
+    order = [F.desc("weight"), F.xxhash64("node", "key"), F.col("node")]
+    links = tried = found = None
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal links, tried, found
+        pairs = pairs.select("u", "v").distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = materialize(verified(pairs, words), "verified")
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def hubs_of(ranked: DataFrame) -> DataFrame:
+        return ranked.select("key", F.col("node").alias("hub"), F.col("n_words").alias("hub_words"), F.col("root").alias("hub_root"), F.col("nth").alias("hub_nth"))
+
+    best = F.max_by(F.struct("node", "n_words", "root"), F.struct("weight", F.xxhash64("node", "key"), "node"))
+    hubs = materialize(members.groupBy("key").agg(best.alias("h")).select("key", "h.*", F.lit(0).alias("nth")), "hubs")
+    # Everything but the hub comes after it; no order within a bucket is needed yet.
+    others = members.join(hubs.select("key", "node"), ["key", "node"], "left_anti").withColumn("nth", F.lit(1))
+    pairs = materialize(_met(others, hubs_of(hubs)), "met")
+    ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "u", "v")))
+    settle(ranked.where(F.col("nth") <= FIRST_HUBS))
+    settle(_met(rooted(others), hubs_of(hubs)))
+    width = 1
+    while True:
+        left = rooted(others)
+        open_keys = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+        members = materialize(left.join(open_keys, "key", "left_semi").drop("nth"), "members")
+        if members.isEmpty():
+            return links, found
+        ranked = members.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
+        ranked = materialize(ranked, "ranked")
+        settle(_met(ranked, hubs_of(ranked.where(F.col("nth") <= width))))
+        others, width = ranked.where(F.col("nth") > width), width * GROWTH
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (rows) and n_links (verified links of its text) of each row."""
     rows = materialize(sketched(docs), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("seed", "key"))
-    hubs = keyed.groupBy("seed", "key").agg(F.min_by("node", F.xxhash64("node", "seed")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = keyed.join(hubs, ["seed", "key"]).where("node <> hub")
-    pairs = materialize(met.groupBy(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"), F.col("node")).agg(F.count("*").alias("n")), "pairs")
-    met_nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    words = materialize(node_words(docs, nodes.join(met_nodes, "node").select("node", "doc_id")), "words")
-    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "u", "v"))
-    ranked = pairs.withColumn("nth", nth)
-    first = materialize(verified(ranked.where(F.col("nth") <= FIRST_HUBS).select("u", "v").distinct(), words), "verified")
-    found = components(first)
-    roots = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = (
-        pairs.select("u", "v").distinct().join(roots("u"), "u", "left").join(roots("v"), "v", "left")
-        .where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-        .join(first, ["u", "v"], "left_anti")
-    )
-    tried = ranked.where(F.col("nth") <= FIRST_HUBS).select("u", "v")
-    links = materialize(first.unionByName(verified(apart.join(tried, ["u", "v"], "left_anti"), words)).distinct(), "links")
-    found = components(links)
+    links, found = classed(nodes, docs)
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))

@@ -107,3 +107,88 @@ def test_components(spark):
         up[y] = x
     got = {bytes(x.node): bytes(x.root) for x in N.components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in links], "u binary, v binary")).collect()}
     assert all(got.get(x, x) == min(y for y in up if find(y) == find(x)) for x in up)
+
+
+def star(r, copies):
+    """A text of 200 words and copies of it, each with other four words changed: similar to it, not to each other."""
+    words = [f"w{i}" for i in range(5000)]
+    base = [r.choice(words) for _ in range(200)]
+    texts = [base]
+    for _ in range(copies):
+        t = list(base)
+        for p in r.sample(range(2, 198), 4):
+            t[p] = f"x{r.randrange(10**9)}"
+        texts.append(t)
+    texts = [" ".join(t) for t in texts]
+    r.shuffle(texts)
+    return texts
+
+
+def hashes(text):
+    return N.words_of(*N.text_buffers(N.pa.array([text])), N.ALNUM, True).hash
+
+
+def met_classes(texts):
+    """Classes by every pair of texts that share a bucket, without hubs."""
+    words = [hashes(t) for t in texts]
+    short = [(w >> np.uint64(32)).astype(np.uint32) for w in words]
+    buckets = defaultdict(list)
+    for i, w in enumerate(words):
+        for k in set(N.order_minhash(w).tolist()):
+            buckets[k].append(i)
+    up, seen = list(range(len(texts))), set()
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for own in buckets.values():
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                if (a, b) not in seen and root(a) != root(b) and N.similar(short[a], short[b]):
+                    x, y = sorted((root(a), root(b)))
+                    up[y] = x
+                seen.add((a, b))
+    return [root(i) for i in range(len(texts))]
+
+
+def classes(spark, texts):
+    out = N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [c for _, c in sorted((x.doc_id, x.class_id) for x in out)]
+
+
+def test_stars_are_one_class(spark):
+    r = random.Random(6)
+    families = [star(r, n) for n in (30, 300, 2000)]
+    got = classes(spark, [t for f in families for t in f])
+    at = missed = 0
+    for f in families:
+        keys = [set(N.order_minhash(hashes(t)).tolist()) for t in f]
+        source = next(k for k, t in enumerate(f) if "x" not in t)
+        own = got[at : at + len(f)]
+        # All that meet the source in a bucket; a few in thousands meet it in none.
+        assert all(c == own[source] for c, k in zip(own, keys) if k & keys[source])
+        missed += sum(c != own[source] for c in own)
+        at += len(f)
+    assert missed <= 2
+
+
+def test_buckets_without_one_centre(spark):
+    r = random.Random(7)
+    texts = []
+    for _ in range(4):  # chains: each text is like its neighbours only
+        t = [f"w{r.randrange(5000)}" for _ in range(150)]
+        for _ in range(14):
+            texts.append(" ".join(t))
+            t = list(t)
+            for p in r.sample(range(2, 148), 3):
+                t[p] = f"x{r.randrange(10**9)}"
+    base = [f"v{r.randrange(5000)}" for _ in range(160)]
+    for _ in range(60):  # copies of a text that isn't there, some pairs alike
+        t = list(base)
+        for p in r.sample(range(2, 158), 3):
+            t[p] = f"x{r.randrange(10**9)}"
+        texts.append(" ".join(t))
+    r.shuffle(texts)
+    assert classes(spark, texts) == met_classes(texts)
