@@ -3,8 +3,8 @@
 Base spans come from three patterns. Weaker parts - identifiers (user names, client ids), secrets (short assignments,
 tokens with upper and lower case and digits) and endpoints (urls of hosts and databases) - are candidates. Scopes are
 the stretches within ``REACH`` characters of an identifier, merged where they overlap, so that they are disjoint. Parts
-are joined with the scopes that hold them, by an interval join on (row, block of positions): a part meets at most one
-scope, never another part. Weak parts of a scope become added spans only if it holds an identifier and a secret,
+are joined with the scopes that they overlap or touch, by an interval join on (row, block of positions): a part meets its
+scopes, never another part. Weak parts of a scope become added spans only if it holds an identifier and a secret,
 and either of them is a base span or an endpoint stands with them.
 
 Defined cases: a null or empty text has no span; base spans of different kinds may overlap and all stay, an added span
@@ -26,9 +26,9 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 LEAST_ASSIGN, LEAST_WEAK, REACH, STEP = 12, 6, 400, 64
 #: Weak parts.
-IDENTIFIER = r"""(?i:\b(?:user|username|login|account|client_?id|key_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}"""
-SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,128}[0-9])(?=[0-9a-z+/_-]{0,128}[A-Z])(?=[0-9A-Z+/_-]{0,128}[a-z])[A-Za-z0-9+/_-]{20,128}+={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"""(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres|postgresql|mysql|redis|mongodb|amqp))://[^\s"'<>]{4,256}"""
+IDENTIFIER = r"""(?i:\b(?:user|username|login|account|client_?id|key_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
+SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])(?=[0-9A-Z+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"""(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres|postgresql|mysql|redis|mongodb|amqp))://[^\s"'<>]{4,}+"""
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 
 
@@ -106,13 +106,15 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     width = 2 * reach
     block = lambda c: F.floor(c / width)
     tiled = scopes.withColumn("block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))))
-    inside = part.withColumn("block", block(F.col("start"))).join(tiled, ["row", "block"]).where("start >= lo and end <= hi")
+    # A part and a scope may have several blocks in common: they are joined in the first.
+    spread = part.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("end")))))
+    inside = spread.join(tiled, ["row", "block"]).where((F.col("end") >= F.col("lo")) & (F.col("start") <= F.col("hi")) & (F.col("block") == F.greatest(block(F.col("start")), block(F.col("lo")))))
     scope = Window.partitionBy("row", "scope")
     has = lambda c: F.max(c.cast("int")).over(scope) == 1
     kind = F.col("kind")
     whole = has(_is_identifier(kind)) & has(_is_secret(kind)) & (has(F.col("strong") & (kind < 3)) | has(kind == 5))
     chosen = inside.withColumn("whole", whole).where("whole and not strong")
-    return chosen.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "strong")).alias("added"))
+    return chosen.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end", "strong")).alias("added"))
 
 
 def _joined(spans: Column) -> Column:

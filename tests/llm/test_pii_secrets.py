@@ -137,3 +137,16 @@ def test_many_parts_in_a_scope(spark):
     text = " ".join(f"AKIAABCDEFGHIJKLMN{k:04d} wJalrXUtnFEMIK7MDENG{k:04d}" for k in range(1500))
     (r,) = secrets.scan(rows(spark, [text])).collect()
     assert r.n_access == 1500 and r.n_added == 1500
+
+
+def test_long_parts_are_whole(spark):
+    token, url = "aB3" * 100, "https://db.example.com/x?sig=" + "Zz9" * 150
+    name, base = "n" * 200, "password=" + "k" * 1000
+    texts = [f"user: {name} pass {token} at {url} end", f"login: bob99 {base}", f"{base} login: bob99", f"{token * 2} then login: bob99 then https://h.example/x"]
+    got = {r.doc_id: {texts[r.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r.spans.split(",")} for r in secrets.scan(rows(spark, texts)).collect()}
+    assert got[0] == {f"user: {name}", token, url}
+    assert got[1] == {"login: bob99", base}
+    assert got[2] == {base, "login: bob99"}
+    assert got[3] == {token * 2, "login: bob99", "https://h.example/x"}
+    (masked,) = secrets.redacted(rows(spark, texts[:1])).collect()
+    assert masked.text == "[SECRET] pass [SECRET] at [SECRET] end"
