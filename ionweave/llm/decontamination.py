@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import ALNUM, Words, chunks, code_points, text_buffers, words_of
+from ionweave.llm.common import ALNUM, Words, chunks, code_points, materialize, text_buffers, words_of
 
 SAMPLE, SHARD_BYTES, BLOCK_WINDOWS = 16, 2 << 20, 1_000_000
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
@@ -201,7 +201,7 @@ def hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[str]]]:
 
 
 def _search(docs: DataFrame, phrases: Phrases, with_items: bool, carried: str = "doc_id") -> DataFrame:
-    """``carried``: a column that stands beside each row's result."""
+    """``carried``: a column that stands beside each row's result. ``with_items``: the items themselves instead of their digest."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,13 +225,14 @@ def _search(docs: DataFrame, phrases: Phrases, with_items: bool, carried: str =
                 lists = [sorted(x) for x in found]
                 cols = [
                     batch.column(0).slice(i, j - i), pa.array(np.diff(words.docs)), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()),
-                    pa.array([",".join(x) for x in lists] if with_items else [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]), pa.array(n_hit > 0),
+                    pa.array(lists, pa.list_(pa.string())) if with_items else pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(n_hit > 0),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[carried, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     rows = docs.select(F.col(carried), F.col("text").cast("string"))
-    return rows.mapInArrow(scan, f"{carried} {rows.schema[0].dataType.simpleString()}, {OUT}")
+    out = OUT.replace("items_sha256 string", "items_sha256 array<string>") if with_items else OUT
+    return rows.mapInArrow(scan, f"{carried} {rows.schema[0].dataType.simpleString()}, {out}")
 
 
 def item_blocks(benchmark: DataFrame, window: int, most: int = BLOCK_WINDOWS) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -252,7 +253,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     One pass over the documents where the benchmark fits a block, with no shuffle. Several blocks are searched one
     after another and their spans merged: there, what a block finds in each document is one row, and rows are told
-    apart by doc_id and text.
+    apart by a number that is written with them.
     """
     blocks = item_blocks(benchmark, window, block_windows)
     first, second = next(blocks), next(blocks, None)
@@ -260,13 +261,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         return _search(docs.select(F.col("doc_id").cast("long"), "text"), phrases_of(first, window), False)
     from itertools import chain
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "rows")
     passes = None
     for block in chain([first, second], blocks):
-        own = _search(keyed, phrases_of(block, window), True).where("contaminated")
+        own = _search(keyed, phrases_of(block, window), True, "row").where("contaminated")
         passes = own if passes is None else passes.unionByName(own)
-    spans = passes.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.concat_ws(",", F.collect_list("items_sha256")).alias("items"))
-    return _merged(keyed.join(spans, "doc_id", "left"))
+    spans = passes.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items_sha256")).alias("items"))
+    return _merged(keyed.join(spans, "row", "left"))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -287,7 +288,7 @@ def _merged(rows: DataFrame) -> DataFrame:
                     edge[np.searchsorted(end, s["end"]) + 1] -= 1
                 c = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
                 lo, hi = np.flatnonzero(c[1:] & ~c[:-1]), np.flatnonzero(~c[1:] & c[:-1]) - 1
-                names = sorted(set((items or "").split(",")) - {""})
+                names = sorted(set(items or []))
                 out.append({"doc_id": doc_id, "n_words": int(b - a), "n_hit": int(c.sum()), "n_items": len(names), "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(), "contaminated": bool(c.any()), "spans": [{"start": int(start[x]), "end": int(end[y])} for x, y in zip(lo, hi)]})
             if out:
                 kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])

@@ -87,3 +87,17 @@ def test_index_finds_all_places():
                 lo, hi = index.search(np.array([w]), np.array([n]))
                 assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == places
     assert pa
+
+
+def test_blocks_agree_on_rows(spark):
+    docs, items = corpus(3)
+    docs += [(None, t) for _, t in docs[:20]] + [(1, docs[2][1]), (1, "a"), (2, ""), (2, None), (5, docs[5][1])]
+    one, many = (sorted(map(repr, run(spark, docs, items, block_windows=n).collect())) for n in (10**6, 20))
+    assert one == many
+
+
+def test_blocks_keep_items_with_commas(spark):
+    d = spark.createDataFrame([(1, "p q r s t u")], "doc_id long, text string")
+    b = spark.createDataFrame([("x,y", "p q r"), ("z", "s t u")], "item_id string, text string")
+    one, many = (D.contamination(d, b, block_windows=n).collect() for n in (10**6, 2))
+    assert one == many and one[0].n_items == 2
