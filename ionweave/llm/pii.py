@@ -3,8 +3,9 @@
 Patterns give the base spans of four kinds. The field's nodes are these and the document's other candidates: runs of
 digits, handles that an address in the document has before its ``@``, and addresses written with ``[at]``. Neighbouring
 candidates are joined by chain edges; candidates with the same or a similar key (equal digits, digits that end alike, a
-handle and its address), however far apart, by skip edges to the last one with that key. Loopy belief propagation over
-both makes the labels of a document agree; a candidate whose most likely label is a kind becomes an added span.
+handle and its address), however far apart, by skip edges to one hub, the first base span with that key or else
+the first candidate, so that what a base span says reaches every repeat. Base spans have their kind for certain. Loopy belief propagation over
+both, until messages settle, makes the labels of a document agree; a candidate whose most likely label is a kind becomes an added span.
 
 Weights are trained by pseudo-likelihood on labelled texts that ``examples`` makes from a seed, on the driver. Messages of
 all documents of a run are passed at once with numpy; edges number at most three a node, so a run's cost and memory follow its candidates.
@@ -40,7 +41,9 @@ BRACKET = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\
 HANDLE = re.compile(r"[A-Za-z0-9_][A-Za-z0-9._%+-]*+")
 LABELS = ("none", *KINDS)
 HINTS = (("phone", "tel", "call", "mobile", "fax"), ("card", "visa", "payment", "credit"), ("ip", "host", "server", "address"), ("mail", "contact", "write", "user"), ("order", "ref", "invoice", "version", "date", "page", "total", "id"))
-ROUNDS, REACH, LEAST_HANDLE, SUFFIX = 10, 80, 5, 7
+REACH, LEAST_HANDLE, SUFFIX = 80, 5, 7
+#: Messages are passed until none changes by more; ROUNDS only ends fields that never settle.
+TOLERANCE, ROUNDS, CERTAIN = 1e-7, 1000, 1e7
 
 
 def luhn(digits: str) -> bool:
@@ -164,18 +167,25 @@ N_FEATURES = 18 + len(HINTS)
 
 
 def graph(nodes: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain and skip edges between nodes of one document: each node has at most one of the first to its left, two of the second."""
+    """Chain and skip edges between nodes of one document: each node has at most one of the first to its left, two of the second, and hubs one a repeat."""
     chain = [(k, k + 1) for k in range(len(nodes) - 1) if nodes[k + 1][0] - nodes[k][1] <= REACH]
-    last: dict[str, int] = {}
-    skip = []
-    for k, (_, _, _, key) in enumerate(nodes):
-        # Digits that end alike are similar: a number with and without its prefix.
-        for name in (key, "s" + key[-SUFFIX:] if key[0] == "d" and len(key) > SUFFIX else None):
-            if name:
-                if name in last:
-                    skip.append((last[name], k))
-                last[name] = k
-    return chain, sorted(set(skip))
+    # Digits that end alike are similar: a number with and without its prefix.
+    names = [(key, "s" + key[-SUFFIX:]) if key[0] == "d" and len(key) > SUFFIX else (key,) for *_, key in nodes]
+    base: dict[str, int] = {}
+    first: dict[str, int] = {}
+    for k, own in enumerate(names):
+        for name in own:
+            first.setdefault(name, k)
+            if nodes[k][2] >= 0:
+                base.setdefault(name, k)
+    skip = set()
+    for k, own in enumerate(names):
+        # A base span is evidence enough: weaker repeats beside it would only be counted again.
+        sure = next((base[name] for name in own if name in base), None)
+        for hub in {first[name] for name in own} if sure is None else {sure}:
+            if hub != k:
+                skip.add((min(hub, k), max(hub, k)))
+    return chain, sorted(skip)
 
 
 class SkipChain:
@@ -200,7 +210,11 @@ class SkipChain:
             z = (belief[source] - message[back])[:, :, None] + table
             top = z.max(axis=1)
             new = top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
-            message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            new -= new.max(axis=1, keepdims=True)
+            change = np.abs(new - message).max()
+            message = 0.5 * message + 0.5 * new
+            if change < TOLERANCE:
+                break
         return _soft(unary + np.stack([np.bincount(target, message[:, k], len(unary)) for k in range(len(LABELS))], axis=1))
 
     def label(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
@@ -222,6 +236,9 @@ class SkipChain:
             sizes = [len(r) for r in rows]
             flat = np.fromiter((f for r in rows for f in r), np.int64)
             unary = np.add.reduceat(self.unary[flat], np.cumsum([0, *sizes[:-1]]))
+            for k, (_, _, kind, _) in enumerate(nodes):
+                if kind >= 0:
+                    unary[k, kind + 1] += CERTAIN
             best = self.marginals(unary, *(np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip))).argmax(axis=1)
             for (a, b, kind, _), k, label in zip(nodes, at, best.tolist()):
                 if kind < 0 and label:

@@ -139,6 +139,15 @@ def test_many_parts_in_a_scope(spark):
     assert r.n_access == 1500 and r.n_added == 1500
 
 
+def test_any_number_of_repeats_takes_the_label():
+    far = " la la la " * 20
+    for n in (1, 12, 50, 400):
+        text = "me: +44 20 7946 0958" + (far + "ref 020 7946 0958 ok") * n
+        assert added(text) == [("phone", "020 7946 0958")] * n
+        text = ("ref 020 7946 0958 ok" + far) * n + "me: +44 20 7946 0958"
+        assert added(text) == [("phone", "020 7946 0958")] * n
+
+
 def test_long_parts_are_whole(spark):
     token, url = "aB3" * 100, "https://db.example.com/x?sig=" + "Zz9" * 150
     name, base = "n" * 200, "password=" + "k" * 1000
