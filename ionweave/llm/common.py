@@ -21,26 +21,51 @@ _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtyp
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a temporary one only where none is set."""
+    """The folder that driver and executors share, from the session. Where none is set, a local master, which runs in one
+    machine, takes a temporary one; a cluster can't know which folders it shares, so there it is an error."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ionweave-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="ionweave-")
+    sc.setCheckpointDir(shared)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: the lineage ends there and a lost executor costs nothing.
 
-    The files go when the driver's JVM ends.
+    The files go with ``discard``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _folder(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        files, where = _folder(df.sparkSession, df.written_at)
+        files.delete(where, True)
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names for ``select`` and ``struct``, dots and backticks in them included."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,17 +2,21 @@
 
 Words (letters and digits, A-Z folded) form shingles of five; each carries its occurrence number within the text. Each of
 ``SKETCHES`` seeds takes the ``TUPLE`` least shingles by hash and keeps them in text order; texts that share a tuple meet
-in a bucket. Equal texts are one node from the start, so copies never meet as pairs. In each bucket a hub, the text that
-shares most with others, is tried with every other text. A link counts if a banded alignment of the words finds an edit
-similarity of ``SIMILARITY`` or more and the texts share that much of their distinct shingles (Jaccard). Texts are first
-tried against the two hubs that they meet most often, then against the rest. Classes are connected components by
-alternating stars. Buckets that still hold several classes lose the hubs they had and take the next ones, more each
-round, until all their texts are in one class or have been tried with each other: where many texts of a bucket are not
-similar, that is the square of their number, and where they are, one link a text.
+in a bucket. Equal texts are one node from the start, so copies never meet as pairs. A link counts if a banded alignment
+of the words finds an edit similarity (one less the edit distance over the longer text's words) of ``SIMILARITY`` or more;
+lower bounds of the distance from common words and word pairs only spare alignments that can't succeed.
+
+In each bucket a hub, the text that shares most with others, is tried with every other text: texts are first tried against
+the two hubs that they meet most often, then against the rest. Buckets that still hold several classes are then searched
+whole, in blocks of ``BLOCK`` texts against ``BLOCK``: counts of words by hash bound the distance of each two texts of
+different classes, and only pairs within the bound become rows. That is exact, and its memory is one block's; where many
+texts of a bucket are alike in a passage but not as a whole, its time is the square of their number, at under a
+microsecond a pair. Classes are connected components by alternating stars.
 
 Defined cases: a null text, or one without words, equals no other; texts of under five words equal only the same words;
-repeated rows are rows of the result; rows that share a doc_id but not the text are texts of their own; an empty table
-gives an empty result; other columns are ignored. Nothing of the documents is collected; loops read one sum a round.
+repeated rows are rows of the result; rows are told apart by a number that is written with them, so that doc_ids may be
+null or repeat; a class without any doc_id has a null class_id; an empty table gives an empty result; other columns are
+ignored. Nothing of the documents is collected; loops read one sum a round.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import ALNUM, C1, chunks, materialize, mix, text_buffers, words_of
+from ionweave.llm.common import ALNUM, C1, chunks, discard, materialize, mix, quoted, text_buffers, words_of
 
-SHINGLE, TUPLE, SKETCHES, SIMILARITY, FIRST_HUBS, GROWTH = 5, 3, 16, 0.8, 2, 8
+SHINGLE, TUPLE, SKETCHES, SIMILARITY, FIRST_HUBS = 5, 3, 24, 0.8, 2
+#: Texts of a bucket that are compared at once, counters of each, and pairs of one text that a task joins with its words.
+BLOCK, COUNTERS, LOAD = 1024, 512, 4096
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -78,24 +84,29 @@ def order_minhash(words: np.ndarray, sketches: int = SKETCHES, size: int = TUPLE
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node (128-bit hash of the words), number of words and the sketch of each row."""
+    """row, doc_id, node (128-bit hash of the words), number of words, their 32-bit hashes and the sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(2))
             for i, j in chunks(offsets):
                 words = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM, True)
-                ids = batch.column(0).slice(i, j - i)
-                nodes, keys = [], []
-                for doc, a, b in zip(ids.to_pylist(), words.docs[:-1].tolist(), words.docs[1:].tolist()):
+                rows = batch.column(0).slice(i, j - i)
+                nodes, keys, short = [], [], []
+                for row, a, b in zip(rows.to_pylist(), words.docs[:-1].tolist(), words.docs[1:].tolist()):
                     own = words.hash[a:b]
-                    nodes.append(xxhash.xxh128_digest(own.tobytes() if b > a else f"none {doc}".encode()))
+                    nodes.append(xxhash.xxh128_digest(own.tobytes() if b > a else f"none {row}".encode()))
                     keys.append(order_minhash(own).view(np.int64))
+                    short.append((own >> np.uint64(32)).astype(np.uint32).tobytes() if len(keys[-1]) else None)
                 flat = np.concatenate([np.zeros(0, np.int64), *keys])
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(np.diff(words.docs), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "node", "n_words", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows, batch.column(1).slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(np.diff(words.docs), pa.int64()), pa.array(short, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["row", "doc_id", "node", "n_words", "words", "keys"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node binary, n_words long, keys array<long>")
+    kept = docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return kept.mapInArrow(run, "row long, doc_id long, node binary, n_words long, words binary, keys array<long>")
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -143,17 +154,33 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return distance if distance <= most else most + 1
 
 
+def least_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the edit distance: an edit takes one common word at most, and two common pairs of words."""
+    bound = 0
+    for x, y, taken in ((a, b, 1), (_pairs(a), _pairs(b), 2)):
+        kinds, which = np.unique(np.concatenate([x, y]), return_inverse=True)
+        common = np.minimum(np.bincount(which[: len(x)], minlength=len(kinds)), np.bincount(which[len(x) :], minlength=len(kinds))).sum()
+        bound = max(bound, -(-(max(len(x), len(y)) - int(common)) // taken))
+    return bound
+
+
+def _pairs(words: np.ndarray) -> np.ndarray:
+    w = words.astype(np.uint64)
+    return (w[:-1] << np.uint64(32)) | w[1:]
+
+
+def most_edits(n: np.ndarray | int, least: float = SIMILARITY):
+    """Edits that texts of up to ``n`` words may differ by."""
+    return np.floor((1 - least) * n + 1e-9).astype(np.int64) if isinstance(n, np.ndarray) else int((1 - least) * n + 1e-9)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two texts (32-bit word hashes) are near duplicates; bands double up to the widest that could pass."""
-    n = max(len(a), len(b))
-    if min(len(a), len(b)) < least * n:
-        return False
-    x, y = (np.unique(shingles(t.astype(np.uint64))) for t in (a, b))
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    if common < least * (len(x) + len(y) - common) or not common:
+    """Whether two texts (32-bit word hashes) are near duplicates; bands widen up to the widest that could pass."""
+    limit = most_edits(max(len(a), len(b)), least)
+    bound = least_distance(a, b)
+    if bound > limit:
         return False
-    limit, band = int((1 - least) * n + 1e-9), 8
-    a, b = a.tolist(), b.tolist()
+    a, b, band = a.tolist(), b.tolist(), max(8, bound)
     while True:
         band = min(band, limit)
         if edit_distance(a, b, band) <= band:
@@ -163,6 +190,14 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
         band *= 4
 
 
+def _with_words(pairs: DataFrame, words: DataFrame, node: str, other: str, name: str) -> DataFrame:
+    """``pairs`` with the words of one side. A text of many pairs is dealt with copies of its words, LOAD pairs each."""
+    hot = pairs.groupBy(F.col(node).alias("_n")).agg(F.ceil(F.count("*") / LOAD).cast("int").alias("_parts")).where("_parts > 1")
+    dealt = pairs.join(hot, F.col(node) == F.col("_n"), "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_n", "_parts")
+    copies = words.join(hot, F.col("node") == F.col("_n"), "left").select(F.col("node").alias(node), F.col("words").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+    return dealt.join(copies, [node, "_part"]).drop("_part")
+
+
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose words align."""
 
@@ -171,37 +206,20 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
             keep = [similar(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
 
-    left = words.select(F.col("node").alias("v"), F.col("words").alias("b"))
-    right = words.select(F.col("node").alias("u"), F.col("words").alias("a"))
-    return pairs.join(left, "v").join(right, "u").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    both = _with_words(_with_words(pairs, words, "v", "u", "b"), words, "u", "v", "a")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def node_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of the nodes in ``wanted`` (node, doc_id), from the texts of those documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            words = words_of(data, offsets, ALNUM, True)
-            own = [words.hash[a:b] for a, b in zip(words.docs[:-1].tolist(), words.docs[1:].tolist())]
-            nodes = [xxhash.xxh128_digest(w.tobytes()) for w in own]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([(w >> np.uint64(32)).astype(np.uint32).tobytes() for w in own], pa.binary())], names=["node", "words"])
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = texts.select("text").mapInArrow(run, "node binary, words binary")
-    # doc_ids may repeat with other texts: only the wanted nodes, each once.
-    return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+def _marked(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """``edges`` written, with their number and the sum of their hashes, which are counted as they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), name)
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of each node in ``links`` (u, v): alternating large and small stars, until a round changes nothing."""
-    edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        return r.n, r.s
-
-    seen = mark(edges)
+    """(node, root) of each node in ``links`` (u, v) but the roots: alternating large and small stars, until a round changes nothing."""
+    edges, seen = _marked(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -209,85 +227,172 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "stars")
-        now = mark(edges)
+        after, now = _marked(small, "stars")
+        discard(edges)
+        edges = after
         if now == seen:
             break
         seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(rows: DataFrame, found: DataFrame | None, node: str = "node", root: str = "root") -> DataFrame:
+    if found is None:
+        return rows.withColumn(root, F.col(node))
+    return rows.join(found.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col(node) == F.col("_n"), "left").withColumn(root, F.coalesce("_r", node)).drop("_n", "_r")
+
+
+def merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: components of the classes that they join, put in place of those classes' roots."""
+    if found is None:
+        return components(links)
+    between = _rooted(_rooted(links, found, "u", "ru"), found, "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    more = components(between)
+    moved = _rooted(found.withColumnRenamed("root", "old"), more, "old", "root").select("node", "root")
+    return materialize(moved.unionByName(more), "classes")
+
+
 def _met(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(u, v, node, n): the pairs of members with hubs of their buckets that may still be near duplicates, and in how many they meet."""
-    met = members.join(hubs, "key").where((F.col("nth") > F.col("hub_nth")) & ~F.col("root").eqNullSafe(F.col("hub_root")))
-    # Shorter texts than that aren't similar: the first thing that similar() asks.
-    met = met.where(F.least("n_words", "hub_words") >= SIMILARITY * F.greatest("n_words", "hub_words"))
+    """(u, v, node, n): the pairs of members with hubs of their buckets that may be near duplicates, and in how many they meet."""
+    met = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & (F.col("root") != F.col("hub_root")))
+    # Lengths that differ by more can't be aligned: the first thing that similar() asks.
+    longer = F.greatest("n_words", "hub_words")
+    met = met.where(longer - F.least("n_words", "hub_words") <= F.floor((1 - SIMILARITY) * longer + 1e-9))
     return met.groupBy(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"), "node").agg(F.count("*").alias("n"))
 
 
-def classed(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def counters(words: DataFrame) -> DataFrame:
+    """(node, sizes): each text's words counted by hash in COUNTERS places, to 255 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.minimum(np.bincount(np.frombuffer(w.as_buffer(), np.uint32) % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes() for w in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.binary())], names=["node", "sizes"])
+
+    return words.select("node", "words").mapInArrow(run, "node binary, sizes binary")
+
+
+def near_pairs(n: np.ndarray, root: np.ndarray, left: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, others): of texts in order of words ``n``, the pairs of different roots whose counts allow so few edits.
+    ``left``: which belong to the first block, where there are two of them; a pair has one of each then."""
+    for k in range(len(n) - 1):
+        near = np.arange(k + 1, int(np.searchsorted(n - most_edits(n), n[k], side="right")))
+        near = near[root[near] != root[k]]
+        if left is not None:
+            near = near[left[near] != left[k]]
+        if len(near):
+            apart = np.abs(sizes[near] - sizes[k]).sum(axis=1, dtype=np.int64)
+            near = near[(n[near] - n[k] + apart + 1) // 2 <= most_edits(n[near])]
+            if len(near):
+                yield k, near
+
+
+def block_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(u, v): all pairs of ``members`` (key, node, n_words, root) of a bucket and of different roots that may be near duplicates.
+
+    Each block of a bucket meets each other once, in one task's memory; what is shuffled is a text's counts for each of its
+    bucket's blocks.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = own.select("key", "node", "n_words", "root", "block", meets.alias("other"))
+    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "node", "n_words", "root")
+    dealt = own.join(sizes, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_words")
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch | None:
+        node, root = t["node"].to_pylist(), t["root"].to_pylist()
+        if len(node) < 2:
+            return None
+        number = {r: k for k, r in enumerate(dict.fromkeys(root))}
+        count = np.frombuffer(b"".join(t["sizes"].to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)
+        left = None if t["i"][0].as_py() == t["j"][0].as_py() else t["left"].to_numpy()
+        u, v = [], []
+        for k, near in near_pairs(t["n_words"].to_numpy(), np.array([number[r] for r in root]), left, count):
+            for x in near.tolist():
+                u.append(max(node[k], node[x]))
+                v.append(min(node[k], node[x]))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"]) if u else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def groups(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
+            """Pairs of the groups that have ended; the last one waits for the next batch."""
+            key = np.stack([table[c].to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            ends = [*cuts[1:], table.num_rows]
+            for a, b in zip(cuts, ends) if final else zip(cuts[:-1], ends[:-1]):
+                if (out := pairs_of(table.slice(a, b - a))) is not None:
+                    yield out
+            held[:] = [] if final else [table.slice(cuts[-1]).combine_chunks()]
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from groups(pa.concat_tables([*held, pa.Table.from_batches([batch])]), False)
+        if held:
+            yield from groups(held[0], True)
+
+    return dealt.select("key", "i", "j", "left", "node", "n_words", "root", "sizes").mapInArrow(run, "u binary, v binary").distinct()
+
+
+def classed(nodes: DataFrame, words_of_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (u, v), and (node, root) of what they connect: in the end every two texts of a bucket are in one
-    class or have been tried. A round's hubs are the next of each bucket by weight, ``GROWTH`` times as many as before."""
+    class or have been tried. ``nodes``: node, n_words, keys and row, whose words are in ``words_of_rows`` (row, words)."""
     keyed = nodes.select("node", "n_words", F.explode("keys").alias("key"))
-    met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "met")
     # A text that many others derive from shares more and larger buckets than they do among themselves.
-    met = materialize(met, "met")
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     members = materialize(met.drop("n").join(weight, "node").withColumn("root", F.col("node")), "members")
-    words = materialize(node_words(docs, nodes.join(weight.select("node"), "node", "left_semi").select("node", "doc_id")), "words")
-    order = [F.desc("weight"), F.xxhash64("node", "key"), F.col("node")]
-    links = tried = found = None
+    wanted = nodes.join(weight.select("node"), "node", "left_semi").select("node", "row")
+    words = materialize(words_of_rows.select("row", "words").join(wanted, "row").select("node", "words"), "words")
+    links = found = None
 
     def settle(pairs: DataFrame) -> None:
-        nonlocal links, tried, found
-        pairs = pairs.select("u", "v").distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = materialize(verified(pairs, words), "verified")
+        nonlocal links, found
+        new = materialize(verified(pairs.select("u", "v").distinct(), words), "verified")
         links = new if links is None else links.unionByName(new)
-        found = components(links)
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        return rows.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def hubs_of(ranked: DataFrame) -> DataFrame:
-        return ranked.select("key", F.col("node").alias("hub"), F.col("n_words").alias("hub_words"), F.col("root").alias("hub_root"), F.col("nth").alias("hub_nth"))
+        found = merged(found, new)
 
     best = F.max_by(F.struct("node", "n_words", "root"), F.struct("weight", F.xxhash64("node", "key"), "node"))
-    hubs = materialize(members.groupBy("key").agg(best.alias("h")).select("key", "h.*", F.lit(0).alias("nth")), "hubs")
-    # Everything but the hub comes after it; no order within a bucket is needed yet.
-    others = members.join(hubs.select("key", "node"), ["key", "node"], "left_anti").withColumn("nth", F.lit(1))
-    pairs = materialize(_met(others, hubs_of(hubs)), "met")
+    hubs = materialize(members.groupBy("key").agg(best.alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n_words").alias("hub_words")), "hubs")
+    pairs = materialize(_met(members, hubs.withColumn("hub_root", F.col("hub"))), "pairs")
     ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "u", "v")))
     settle(ranked.where(F.col("nth") <= FIRST_HUBS))
-    settle(_met(rooted(others), hubs_of(hubs)))
-    width = 1
-    while True:
-        left = rooted(others)
-        open_keys = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-        members = materialize(left.join(open_keys, "key", "left_semi").drop("nth"), "members")
-        if members.isEmpty():
-            return links, found
-        ranked = members.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
-        ranked = materialize(ranked, "ranked")
-        settle(_met(ranked, hubs_of(ranked.where(F.col("nth") <= width))))
-        others, width = ranked.where(F.col("nth") > width), width * GROWTH
+    discard(pairs)
+    settle(_met(_rooted(members.drop("root"), found), _rooted(hubs, found, "hub", "hub_root")))
+    now = _rooted(members.select("key", "node", "n_words"), found)
+    open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    left = materialize(now.join(open_keys, "key", "left_semi"), "open")
+    settle(block_pairs(left, counters(words)))
+    return links.distinct(), found
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written rows of ``docs`` (row, doc_id, text) with their node, and by node: class_id, class_size, n_links and
+    ``keep``, the class's one row of the least doc_id."""
+    rows = materialize(sketched(docs), "sketches")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), first.alias("first"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    nodes = materialize(nodes.withColumn("row", F.col("first.row")), "nodes")
+    links, found = classed(nodes, rows)
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    rooted = _rooted(nodes.select("node", "doc_id", "first", "n"), found)
+    classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.min("first").alias("keep"))
+    by_node = rooted.select("node", "root").join(classes, "root").join(degree, "node", "left")
+    return rows, by_node.select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("keep.row").alias("keep"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (rows) and n_links (verified links of its text) of each row."""
-    rows = materialize(sketched(docs), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.count("*").alias("n"))
-    nodes = materialize(nodes, "nodes")
-    links, found = classed(nodes, docs)
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    by_node = rooted.select("node", "root").join(classes, "root").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows, by_node = _classes(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", "n_links")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but those whose class has a row of a lesser doc_id."""
-    others = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(others, docs.doc_id.cast("long") == others.doc_id, "left_anti")
+    """One row of each class of ``docs``, with all its columns: the one of the least doc_id (null last; of several rows with
+    it, the first as read). A row without words is a class of its own."""
+    whole = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*quoted(docs.columns)).alias("doc")), "rows")
+    rows, by_node = _classes(whole.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")))
+    others = rows.select("row", "node").join(by_node.select("node", "keep"), "node").where("row <> keep").select("row")
+    return whole.join(others, "row", "left_anti").select("doc.*")

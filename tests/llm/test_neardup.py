@@ -1,7 +1,8 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from ionweave.llm import neardup as N
 
@@ -52,9 +53,17 @@ def corpus():
     return rows
 
 
+def alike(a, b):
+    """Edit similarity of 0.8 or more, by the full table; lengths and common words first, since they can only rule out."""
+    n = max(len(a), len(b))
+    most = n // 5
+    if n - min(len(a), len(b)) > most or n - sum((Counter(a) & Counter(b)).values()) > most:
+        return False
+    return levenshtein(a, b) <= most
+
+
 def brute(rows):
-    words = {d: N.words_of(*N.text_buffers(N.pa.array([t])), N.ALNUM, True).hash for d, t in rows}
-    short = {d: (w >> np.uint64(32)).astype(np.uint32) for d, w in words.items()}
+    words = {d: N.words_of(*N.text_buffers(N.pa.array([t])), N.ALNUM, True).hash.tolist() for d, t in rows}
     up = {d: d for d, _ in rows}
 
     def root(x):
@@ -62,15 +71,40 @@ def brute(rows):
             x = up[x]
         return x
 
-    ids = [d for d, _ in rows if len(words[d])]
+    ids = [d for d, _ in rows if words[d]]
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if root(a) != root(b) and (words[a].tobytes() == words[b].tobytes() or N.similar(short[a], short[b])):
+            long = min(len(words[a]), len(words[b])) >= N.SHINGLE
+            if root(a) != root(b) and (words[a] == words[b] or long and alike(words[a], words[b])):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {d: root(d) for d, _ in rows}
 
 
+def test_bounds_are_bounds():
+    r = random.Random(2)
+    for _ in range(2000):
+        a = np.array([r.randrange(6) for _ in range(r.randrange(1, 14))], np.uint32)
+        b = np.array([r.randrange(6) for _ in range(r.randrange(1, 14))], np.uint32)
+        assert N.least_distance(a, b) <= levenshtein(a.tolist(), b.tolist())
+
+
+def test_block_pairs_lose_no_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    r = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = [r.randrange(400) for _ in range(r.choice([20, 60, 300]))]
+        for _ in range(6):
+            texts.append([x for x in base for _ in range(r.choice([0, *[1] * 12, 2]))])
+    nodes = [(bytearray([k]), len(t), bytearray(np.array(t, np.uint32).tobytes())) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(nodes, "node binary, n_words long, words binary")
+    members = df.select(N.F.lit(5).cast("long").alias("key"), "node", "n_words", N.F.when(N.F.col("node") < bytearray([12]), N.F.lit(bytearray([0]))).otherwise(N.F.col("node")).alias("root"))
+    got = {(x.u[0], x.v[0]) for x in N.block_pairs(members, N.counters(df)).collect()}
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if i >= 12 and alike(texts[i], texts[j])}
+    assert want and want <= got and len(got) < len(texts) ** 2 / 4 and not any(i < 12 for i, _ in got)
+
+
 def test_classes_equal_brute_force(spark):
     rows = corpus()
     out = N.near_duplicates(spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string")).collect()
@@ -82,6 +116,15 @@ def test_classes_equal_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] for r in out)
 
 
+def test_recall_against_all_pairs(spark):
+    """Texts with an id divisible by 20 against all rows: the links that brute force finds and that share a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}
+    words = {r.doc_id: hashes(r.text or "").tolist() for r in docs.select("doc_id", "text").collect()}
+    pairs = [(a, b) for a in words if a % 20 == 0 and words[a] for b in words if a != b and words[b] and (words[a] == words[b] or alike(words[a], words[b]))]
+    assert len(pairs) > 5 and sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
 def test_order_matters():
     words = np.random.default_rng(0).integers(0, 2**63, 400).astype(np.uint64)
     same = (N.order_minhash(words) == N.order_minhash(words)).mean()
@@ -109,15 +152,14 @@ def test_components(spark):
     assert all(got.get(x, x) == min(y for y in up if find(y) == find(x)) for x in up)
 
 
-def star(r, copies):
-    """A text of 200 words and copies of it, each with other four words changed: similar to it, not to each other."""
+def star(r, copies, changed=12):
+    """A text of 100 words and copies of it, each with ``changed`` words in a row elsewhere: similar to it, not to each other."""
     words = [f"w{i}" for i in range(5000)]
-    base = [r.choice(words) for _ in range(200)]
+    base = [r.choice(words) for _ in range(100)]
     texts = [base]
     for _ in range(copies):
-        t = list(base)
-        for p in r.sample(range(2, 198), 4):
-            t[p] = f"x{r.randrange(10**9)}"
+        t, p = list(base), r.randrange(100 - changed)
+        t[p : p + changed] = [f"x{r.randrange(10**9)}" for _ in range(changed)]
         texts.append(t)
     texts = [" ".join(t) for t in texts]
     r.shuffle(texts)
@@ -129,9 +171,8 @@ def hashes(text):
 
 
 def met_classes(texts):
-    """Classes by every pair of texts that share a bucket, without hubs."""
+    """Classes by every pair of texts that share a bucket, without hubs or bounds."""
     words = [hashes(t) for t in texts]
-    short = [(w >> np.uint64(32)).astype(np.uint32) for w in words]
     buckets = defaultdict(list)
     for i, w in enumerate(words):
         for k in set(N.order_minhash(w).tolist()):
@@ -146,7 +187,7 @@ def met_classes(texts):
     for own in buckets.values():
         for i, a in enumerate(own):
             for b in own[:i]:
-                if (a, b) not in seen and root(a) != root(b) and N.similar(short[a], short[b]):
+                if (a, b) not in seen and root(a) != root(b) and alike(words[a].tolist(), words[b].tolist()):
                     x, y = sorted((root(a), root(b)))
                     up[y] = x
                 seen.add((a, b))
@@ -160,35 +201,45 @@ def classes(spark, texts):
 
 def test_stars_are_one_class(spark):
     r = random.Random(6)
-    families = [star(r, n) for n in (30, 300, 2000)]
+    families = [star(r, n) for n in (30, 300, 1000)]
     got = classes(spark, [t for f in families for t in f])
-    at = missed = 0
+    at = 0
     for f in families:
-        keys = [set(N.order_minhash(hashes(t)).tolist()) for t in f]
-        source = next(k for k, t in enumerate(f) if "x" not in t)
         own = got[at : at + len(f)]
-        # All that meet the source in a bucket; a few in thousands meet it in none.
-        assert all(c == own[source] for c, k in zip(own, keys) if k & keys[source])
-        missed += sum(c != own[source] for c in own)
+        assert len(set(own)) <= 1 + len(f) // 100, (len(f), len(set(own)))
         at += len(f)
-    assert missed <= 2
 
 
-def test_buckets_without_one_centre(spark):
+@pytest.mark.parametrize("block", [7, 1024])
+def test_buckets_without_one_centre(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
     r = random.Random(7)
     texts = []
-    for _ in range(4):  # chains: each text is like its neighbours only
-        t = [f"w{r.randrange(5000)}" for _ in range(150)]
-        for _ in range(14):
+    for _ in range(3):  # chains: each text is like its neighbours only
+        t = [f"w{r.randrange(5000)}" for _ in range(100)]
+        for k in range(8):
             texts.append(" ".join(t))
             t = list(t)
-            for p in r.sample(range(2, 148), 3):
-                t[p] = f"x{r.randrange(10**9)}"
-    base = [f"v{r.randrange(5000)}" for _ in range(160)]
-    for _ in range(60):  # copies of a text that isn't there, some pairs alike
-        t = list(base)
-        for p in r.sample(range(2, 158), 3):
-            t[p] = f"x{r.randrange(10**9)}"
+            t[12 * k : 12 * k + 14] = [f"x{r.randrange(10**9)}" for _ in range(14)]
+    base = [f"v{r.randrange(5000)}" for _ in range(100)]
+    for _ in range(40):  # copies of a text that isn't there, some pairs alike
+        t, p = list(base), r.randrange(85)
+        t[p : p + 15] = [f"x{r.randrange(10**9)}" for _ in range(15)]
         texts.append(" ".join(t))
+    passage = [f"p{r.randrange(5000)}" for _ in range(80)]
+    for _ in range(60):  # half a text in common, and not alike
+        texts.append(" ".join([*passage, *(f"y{r.randrange(10**9)}" for _ in range(r.randrange(70, 100)))]))
     r.shuffle(texts)
     assert classes(spark, texts) == met_classes(texts)
+
+
+def test_representatives_keep_one_row_a_class(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " more"
+    rows = [(1, a, "p"), (5, b, "q"), (5, near, "r"), (9, b.upper(), "s"), (3, c, "t"), (3, c, "u"), (None, a, "v"), (None, "x y z", "w"), (None, "x y z", "x"), (7, None, "y"), (7, None, "y"), (None, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").withColumn("row", N.F.lit(1)).withColumn("node", N.F.lit("n"))
+    out = N.representatives(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id or 0, r.text or "", r["a.b"]) for r in out.collect())
+    assert [(d, t) for d, t, _ in got] == sorted([(1, a), (5, b), (3, c), (0, "x y z"), (7, ""), (7, ""), (0, "")])
+    assert N.representatives(df.where("doc_id = 99")).count() == 0
