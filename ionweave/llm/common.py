@@ -56,11 +56,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, where = _folder(spark, path)
+    files.delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:
-        files, where = _folder(df.sparkSession, df.written_at)
-        files.delete(where, True)
+        delete_folder(df.sparkSession, df.written_at)
 
 
 def quoted(names: list[str]) -> list[str]:

@@ -21,18 +21,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.llm.common import materialize
-from ionweave.llm.tokens import encoder, vocabulary_path
+from ionweave.llm.tokens import encoder, merges_agree, vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rows that one task ranks, and slots that one planned row stands for, at most about.
-RANK_ROWS, SLOT_ROWS = 200_000, 20_000
+#: Rows of one length that are ranked together, and slots that one planned row stands for, at most about.
+RANK_ROWS, SLOT_ROWS = 5_000, 20_000
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """One row for each piece of each document: its place in the document's ids, its length and their checksum."""
+    same = merges_agree(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, same)
         for batch in batches:
             doc_id = batch.column(0)
             for ids, offsets, i, j in enc.encode(batch.column(1)):
@@ -107,19 +108,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, e
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, vocabulary or vocabulary_path(), capacity, end_id), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    blocks = max(1, -(-sum(counts.values()) // RANK_ROWS))
-    runs = [
-        (length, rank + k, min(SLOT_ROWS, n - k), first + k, offset)
-        for length, rank, n, first, offset in plan(counts, capacity)
-        for k in range(0, n, SLOT_ROWS)
-    ]
+    # At most ``capacity`` rows: a common length is ranked in many blocks.
+    blocks = F.broadcast(spark.createDataFrame([(length, -(-n // RANK_ROWS)) for length, n in counts.items()], "length long, blocks long"))
+    runs = spark.createDataFrame(plan(counts, capacity), "length long, rank long, n long, first long, offset long")
+    # Runs are split into parts of SLOT_ROWS slots, which are dealt evenly, and then into slots.
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOT_ROWS).cast("long"))).alias("at")
+    parts = runs.select("*", step).select("length", F.col("rank") + F.col("at"), F.least(F.col("n") - F.col("at"), F.lit(SLOT_ROWS)), F.col("first") + F.col("at"), "offset").toDF("length", "rank", "n", "first", "offset")
     slots = (
-        spark.createDataFrame(runs, "length long, rank long, n long, sequence_id long, offset long")
-        .repartition(max(1, min(len(runs), int(spark.conf.get("spark.sql.shuffle.partitions")))))
-        .select("length", "rank", "sequence_id", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-        .select("length", (F.col("rank") + F.col("k")).alias("rank"), (F.col("sequence_id") + F.col("k")).alias("sequence_id"), "offset")
+        parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        .select("length", "rank", "first", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+        .select("length", (F.col("rank") + F.col("k")).alias("rank"), (F.col("first") + F.col("k")).alias("sequence_id"), "offset")
     )
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    dealt = pieces.join(blocks, "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("blocks"))).drop("blocks")
     before = (
         dealt.groupBy("length", "block")
         .count()

@@ -1,18 +1,19 @@
 """Token ids of a public byte-level BPE vocabulary through a bounded table of pieces, vectorised over Arrow buffers.
 
-The ids are those of ``tokenizers`` for the vocabulary file (no special tokens added; their strings are ordinary text).
-The vocabulary's pattern always starts a new word at a space between non-spaces, at a sign after an ASCII letter or
+The ids are those of ``tokenizers`` for the vocabulary file without special tokens added. Where a text itself holds the
+string of a special token, that is the token, as the library has it by default, or with ``special=False`` ordinary text. The vocabulary's pattern always starts a new word at a space between non-spaces, at a sign after an ASCII letter or
 digit, at an ASCII letter or digit after a sign other than an apostrophe, and at a line end after a non-space. Texts
 are cut there; the ids of the pieces don't depend on each other, so each distinct piece (by 64-bit hash) is encoded
-once and kept in flat arrays. Texts with a space beside other white space, or with non-ASCII white space, are encoded
-whole. Missing pieces go through ``tiktoken`` with the same merges, which takes a third of the time; each worker first
-compares both libraries on its first pieces and keeps to ``tokenizers`` if they ever differ.
+once and kept in flat arrays. Texts with a space beside other white space, with non-ASCII white space or with a special token are encoded whole.
+Missing pieces go through ``tiktoken`` with the same merges, which takes a third of the time, where ``merges_agree``
+has shown on the driver that its order by rank and the file's merges are the same for every text; else through ``tokenizers``.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from ionweave.llm.common import chunks, hash_spans, text_buffers
 #: Fixed value: the pre-tokenisation pattern of the byte-level BPE vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker keeps; about 40 bytes each.
-CACHE, PROBE, CHUNK = 800_000, 200, 2 << 20
+CACHE, CHUNK = 800_000, 2 << 20
 _ASCII = np.arange(256) < 128
 SPACE = np.zeros(256, bool)
 SPACE[[*range(9, 14), *range(28, 33)]] = True
@@ -56,24 +57,65 @@ def _wide_space(data: np.ndarray) -> np.ndarray:
     return at[wide]
 
 
+def _ranks(model: dict) -> dict[bytes, int]:
+    letters = _byte_letters()
+    special = {x["content"] for x in model.get("added_tokens", [])}
+    return {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+
+
+@functools.lru_cache(maxsize=4)
+def merges_agree(path: str) -> bool:
+    """Whether merging the pair of least rank, as ``tiktoken`` does, is the same as the file's list of merges.
+
+    It is if the merges' results have rising ids, and the last step that makes each token of its bytes joins just the pair
+    that the list has for it: what happens within a token's bytes doesn't depend on what stands around them.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    own = model["model"]
+    if own["type"] != "BPE" or own.get("dropout") or own.get("ignore_merges") or own.get("unk_token") or (model.get("normalizer"), (model.get("pre_tokenizer") or {}).get("type")) != (None, "ByteLevel") or model["pre_tokenizer"].get("add_prefix_space"):
+        return False
+    ranks, letters = _ranks(model), _byte_letters()
+    last = -1
+    made = set()
+    for merge in own["merges"]:
+        a, b = (bytes(letters[c] for c in x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
+        rank = ranks.get(a + b, -1)
+        if rank <= last:
+            return False
+        last = rank
+        made.add(rank)
+        parts = [bytes([x]) for x in a + b]
+        while len(parts) > 2:
+            best = min((ranks.get(x + y, rank), k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
+            if best[0] >= rank:
+                return False
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        if parts != [a, b]:
+            return False
+    return all(len(t) == 1 or r in made for t, r in ranks.items()) and all(bytes([x]) in ranks for x in range(256))
+
+
 class Encoder:
-    """Texts to unsigned 32-bit ids. ``path``: a tokenizers JSON file of a byte-level BPE."""
+    """Texts to unsigned 32-bit ids. ``path``: a tokenizers JSON file of a byte-level BPE; ``same``: ``merges_agree(path)``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, same: bool, special: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
         self._load = functools.partial(Tokenizer.from_file, path)
-        self.exact = None
-        letters = _byte_letters()
+        self.exact, self.same = None, same
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {x["content"] for x in model.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        ranks = _ranks(model)
+        added = model.get("added_tokens", []) if special else []
+        self.special = {x["content"]: x["id"] for x in added}
+        # Those that take the white space beside them, or whole words only, are left to the library.
+        self.plain = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         self.sizes[list(ranks.values())] = [len(x) for x in ranks]
-        self.probed, self.same = 0, True
         self._clear()
 
     def _clear(self) -> None:
@@ -85,30 +127,25 @@ class Encoder:
     def exactly(self, texts: list[str]) -> list[list[int]]:
         if self.exact is None:
             self.exact = self._load()
-            self.exact.encode_special_tokens = True
+            self.exact.encode_special_tokens = not self.special
         return [e.ids for e in self.exact.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        if not self.same:
+        """Ids of texts without special tokens."""
+        return [self.fast.encode_ordinary(t) for t in texts] if self.same else self.exactly(texts)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        if not self.same or not self.plain:
             return self.exactly(texts)
-        out = [self.fast.encode_ordinary(t) for t in texts]
-        if self.probed < PROBE and texts:
-            n = min(len(texts), PROBE - self.probed)
-            if self.exactly(texts[:n]) != out[:n]:
-                self.same = False
-                return self.exactly(texts)
-            self.probed += n
-            if self.probed >= PROBE:
-                self.exact = None  # some 100 MB that a worker needs no more
-        return out
+        if self.parts is None:
+            return self.ids(texts)
+        return [[i for k, part in enumerate(self.parts.split(t)) for i in ([self.special[part]] if k % 2 else self.fast.encode_ordinary(part))] for t in texts]
 
     def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
         """keys: sorted and new. Pieces that start with a space are encoded as one text and told apart by their bytes."""
         spaced = np.fromiter((t[0] == 32 and len(t) > 1 for t in texts), bool, len(texts))
         joined = [t for t, x in zip(texts, spaced) if x]
         single = [t for t, x in zip(texts, spaced) if not x]
-        if self.probed < PROBE:
-            self.ids([t.decode() for t in joined[:PROBE]])
         flat = np.array(self.ids([b"".join(joined).decode()])[0], np.int64) if joined else np.zeros(0, np.int64)
         ends = np.searchsorted(np.cumsum(self.sizes[flat]), np.cumsum([len(t) for t in joined]) if joined else np.zeros(0)) + 1
         rest = self.ids([t.decode() for t in single])
@@ -145,6 +182,11 @@ class Encoder:
         beside = np.flatnonzero(space[1:] & space[:-1] & ((data[1:] == 32) | (data[:-1] == 32))) + 1
         for at in (beside, _wide_space(data)):
             odd[np.searchsorted(offsets, at, side="right") - 1] = True
+        raw = data.tobytes() if self.special else b""
+        for name in self.special:
+            at, sign_bytes = -1, name.encode()
+            while (at := raw.find(sign_bytes, at + 1)) >= 0:
+                odd[np.searchsorted(offsets, at, side="right") - 1] = True
         cut = data == 32
         cut[1:] |= sign[1:] & letter[:-1] | letter[1:] & sign[:-1] & (data[:-1] != 39) | (data[1:] == 10) & ~space[:-1]
         cut[begin] = True
@@ -173,7 +215,7 @@ class Encoder:
             return ids, bounds
         which = np.flatnonzero(odd)
         raw = data.tobytes()
-        whole = self.ids([raw[offsets[d] : offsets[d + 1]].decode() for d in which])
+        whole = self.whole([raw[offsets[d] : offsets[d + 1]].decode() for d in which])
         parts, sizes, at = [], np.diff(bounds), 0
         for d, own in zip(which.tolist(), whole):
             parts += [ids[at : bounds[d]], np.array(own, np.uint32)]
@@ -181,11 +223,12 @@ class Encoder:
         return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, same: bool, special: bool = True) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, same, special)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, same, special)
+    return _ENCODERS[key]

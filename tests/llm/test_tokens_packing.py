@@ -3,21 +3,49 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
 
 from ionweave.llm import packing, separators
-from ionweave.llm.tokens import encoder, vocabulary_path
+from ionweave.llm.tokens import encoder, merges_agree, vocabulary_path
 
-ODD = [None, "", " ", "\n", "a  b", "  x", "x ", "a\n b. c", "it's 12,5 …  \n\n z", "<|endoftext|> hi", "é,. ü., 3. a..", "x y z", "don't'll a'b 'c d'é'", "a\r\nb\nc\n\nd", "“q” it’s—ok. a,b.c;(d)[e]! f'", "word " * 3000, "x" * 5000]
+ODD = [None, "", " ", "\n", "a  b", "  x", "x ", "a\n b. c", "it's 12,5 …  \n\n z", "<|endoftext|> hi", "a <|endoftext|> b<|endoftext|>", "<|endoftext|>", "x <|endoftext", "é,. ü., 3. a..", "x y z", "don't'll a'b 'c d'é'", "a\r\nb\nc\n\nd", "“q” it’s—ok. a,b.c;(d)[e]! f'", "word " * 3000, "x" * 5000]
 
 
-def exact(text):
-    return encoder(vocabulary_path()).exactly([text or ""])[0]
+def exact(text, special=True):
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    tokenizer.encode_special_tokens = not special
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def ids_of(texts, same=True, special=True):
+    return [ids[o[k] : o[k + 1]].tolist() for ids, o, i, j in encoder(vocabulary_path(), same, special).encode(pa.array(texts, pa.string())) for k in range(j - i)]
 
 
 def test_ids_equal_tokenizers():
-    enc = encoder(vocabulary_path())
-    got = [ids[o[k] : o[k + 1]].tolist() for ids, o, i, j in enc.encode(pa.array(ODD)) for k in range(j - i)]
-    assert got == [exact(t) for t in ODD]
+    assert merges_agree(vocabulary_path())
+    assert exact("a <|endoftext|> b") == [64, 220, 50256, 275]
+    for special in (True, False):
+        for same in (True, False):
+            assert ids_of(ODD, same, special) == [exact(t, special) for t in ODD]
+
+
+def test_every_code_point_equals_tokenizers():
+    """The two libraries' tables of letters, numbers and white space could differ."""
+    signs = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b 1{c}2 {c}" for c in signs[k : k + 500]) for k in range(0, 0x3400, 500)]
+    assert ids_of(texts) == [exact(t) for t in texts]
+
+
+def test_merges_that_disagree(tmp_path):
+    import json
+
+    with open(vocabulary_path()) as f:
+        model = json.load(f)
+    model["model"]["merges"][10:12] = model["model"]["merges"][11:9:-1]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(model))
+    assert not merges_agree(str(other))
 
 
 def docs(spark, texts):
@@ -73,13 +101,28 @@ def test_pack_empty(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_pack_ranks_common_lengths_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 3)
+    monkeypatch.setattr(packing, "SLOT_ROWS", 4)
+    rows = packing.pack(docs(spark, ["a b"] * 50 + ["c"] * 7 + ["a b c d"] * 11), capacity=8).collect()
+    assert len(rows) == 68 and len({(r.sequence_id, r.offset) for r in rows}) == 68
+    sums = defaultdict(int)
+    for r in rows:
+        sums[r.sequence_id] += r.length
+    assert max(sums.values()) <= 8 and len(sums) == 31  # 11 of 5 and 3, 19 of 3 and 3 (2 in 7 of their rooms), one more
+
+
 def test_separator_counts(spark):
     out = {r.doc_id: r.n_tokens for r in separators.document_tokens(docs(spark, ODD), block_ids=64).collect()}
-    assert out == {k: len(exact(t)) for k, t in enumerate(ODD)}
+    assert out == {k: len(exact(t, False)) for k, t in enumerate(ODD)}
     assert separators.document_tokens(docs(spark, [])).count() == 0
+    same = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in separators.document_tokens(same).collect()) == [(0, 2), (0, 2), (3, 2)]
 
 
-def test_separator_scan_of_files(spark, tmp_path):
+@pytest.mark.parametrize("by_range", [True, False])
+def test_separator_scan_of_files(spark, tmp_path, monkeypatch, by_range):
+    monkeypatch.setattr(separators, "reachable", lambda path: by_range)
     rng = np.random.default_rng(0)
     want = {}
     for name in "abc":
@@ -91,6 +134,6 @@ def test_separator_scan_of_files(spark, tmp_path):
         want[name] = [(int(a), int(b - a), False) for a, b in zip(starts, ends)] + ([(int(starts[-1]), 1000 - int(starts[-1]), True)] if starts[-1] < 1000 else [])
     (tmp_path / "empty").touch()
     got = defaultdict(list)
-    for r in separators.count_documents(separators.read_flat(spark, str(tmp_path), block_ids=37), end_id=9).collect():
-        got[r.file[-1]].append((r.doc_no, (r.start, r.n_tokens, r.open)))
+    for r in separators.count_documents(separators.flat_blocks(spark, str(tmp_path), 37), 9, 37).collect():
+        got[r.file].append((r.doc_no, (r.start, r.n_tokens, r.open)))
     assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == want
