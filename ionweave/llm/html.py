@@ -1,16 +1,17 @@
 """Main text of web pages by site template removal.
 
 Every element's subtree is hashed (name, class, text and its children's hashes). Spark counts, per host, on how many
-pages each subtree occurs; subtrees on many pages of a host are its template and are deleted. What stays is the
-article: elements named or marked as menus, headers, footers, sidebars, notices, adverts, forms or comments go too, and
-where a page has ``article`` or ``main`` elements only these are read. Paragraphs and headings inside them are the
-article's own words and are kept even where other pages repeat them.
+pages each subtree occurs; subtrees on many pages of a host are its template and are deleted. Of what stays, elements
+named or marked as menus, headers, footers, sidebars, notices, adverts, forms or comments go too; the rest is the
+article. Only where a page has nothing of a template (a host of few pages) its ``article`` or ``main`` elements, if any,
+show where the article is. Paragraphs and headings inside them are its own words and are kept even where other pages repeat them.
 
 Defined cases: null or empty html gives an empty text; a null url has the host ''; unclosed and stray tags are mended as
 browsers do for these elements; a truncated page ends where it ends; repeated rows and page_ids are rows of their own;
-``br`` counts as a space. A host has a template only from ``MIN_PAGES`` pages on; a subtree belongs to it on
-``SHARE`` of them. The templates' table has at most (subtrees a page / SHARE) rows a host: it is sent to the tasks when
-its checked size is under ``BROADCAST_ROWS``, and joined by host otherwise.
+``br`` counts as a space; a page that is template as a whole (copies of one page without an ``article``) is read without
+templates. A subtree is a host's template from ``MIN_PAGES`` pages and ``SHARE`` of the host's pages on. A host has at most
+(subtrees a page / SHARE) of them: the table is sent to the tasks when its checked size is under ``BROADCAST_ROWS``, and
+joined by host otherwise, with the same result.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionweave.llm.common import materialize
 from ionweave.llm.urls import host_and_path
 
-SHARE, MIN_PAGES, BROADCAST_ROWS = 0.3, 8, 300_000
+SHARE, MIN_PAGES, BROADCAST_ROWS = 0.08, 4, 300_000
 # Names of HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -139,18 +141,37 @@ def may_be_template(node: Node) -> bool:
     return node.name not in PROSE and node.name not in INLINE and not any(isinstance(c, Node) and c.name in PROSE for c in node.children)
 
 
-def main_text(root: Node, template: frozenset[int] | set[int], hashes: dict[Node, int] | None = None) -> str:
-    """Blocks of what isn't dropped, one a line."""
-    if template and hashes is None:
-        hashes = subtree_hashes(root)
-    gone = lambda node: unwanted(node) or bool(template) and hashes.get(node) in template and may_be_template(node)
+def deleted(root: Node, template: frozenset[int] | set[int]) -> set[Node]:
+    """The elements that the template has, without those inside them."""
+    if not template:
+        return set()
+    hashes, out, stack = subtree_hashes(root), set(), [root]
+    while stack:
+        node = stack.pop()
+        if hashes.get(node) in template and may_be_template(node):
+            out.add(node)
+        else:
+            stack += [c for c in node.children if isinstance(c, Node)]
+    return out
+
+
+def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
+    """Blocks of what isn't dropped, one a line, and how many subtrees the template took."""
+    lost = deleted(root, template)
+    if lost and (text := blocks_of([root], lost)):
+        return text, len(lost)
     regions, stack = [], [root]
     while stack:
         node = stack.pop()
         if node.name in ("article", "main") or "role=main" in node.marks:
             regions.append(node)
-        elif not gone(node):
+        elif not unwanted(node):
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return blocks_of(regions or [root], set()), 0
+
+
+def blocks_of(regions: list[Node], lost: set[Node]) -> str:
+    gone = lambda node: node in lost or unwanted(node)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -194,15 +215,14 @@ def site_templates(pages: DataFrame) -> DataFrame:
             keys = list(sums)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.int64())], names=["host", "hash", "n"])
 
-    sums = pages.select("host", "html").mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
-    often = sums.where(F.col("hash").isNull() & (F.col("n") >= MIN_PAGES)).select("host", F.col("n").alias("pages"))
-    return sums.where(F.col("hash").isNotNull() & (F.col("n") >= MIN_PAGES * SHARE)).join(often, "host").where(F.col("n") >= F.col("pages") * SHARE).select("host", "hash", "n")
+    # Written once, as two things are read of it: pages by host, and subtrees that are on several of them. Most are on one page only.
+    sums = materialize(pages.select("host", "html").mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES), "subtrees")
+    often = sums.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
+    return sums.where(F.col("hash").isNotNull()).join(often, "host").where(F.col("n") >= F.col("pages") * SHARE).select("host", "hash", "n")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
-    from ionweave.llm.common import materialize
-
+    """page_id, url, text, n_chars and the number of subtrees that the host's template took, of each row of ``pages`` (page_id, url, html)."""
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     base = base.withColumn("host", F.coalesce(host_and_path(F.col("url"))[0], F.lit("")))
     templates = materialize(site_templates(base), "templates")
@@ -217,10 +237,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            found = []
             for page, host, hashes in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
                 template = known.get(host, ()) if small else hashes.as_py() or ()
-                texts.append(main_text(parse(page.as_py() or ""), frozenset(template)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                found.append(main_text(parse(page.as_py() or ""), frozenset(template)))
+            texts = [t for t, _ in found]
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_template"])
 
-    return rows.select("page_id", "url", "html", "host", "hashes").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "hashes").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")

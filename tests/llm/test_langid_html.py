@@ -50,7 +50,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def text(page, template=()):
-    return html.main_text(html.parse(page), frozenset(template))
+    return html.main_text(html.parse(page), frozenset(template))[0]
 
 
 def test_article():
@@ -77,6 +77,7 @@ def test_site_template_goes(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
     out = html.extract(df).collect()
     assert {x.page_id: x.text for x in out} == want and all(x.n_chars == len(x.text) for x in out)
+    assert {x.page_id: x.n_template for x in out} == {k: 2 if k < 30 else 0 for k in want}
     html.BROADCAST_ROWS, kept = -1, html.BROADCAST_ROWS
     try:
         assert {x.page_id: x.text for x in html.extract(df).collect()} == want
@@ -84,6 +85,33 @@ def test_site_template_goes(spark):
         html.BROADCAST_ROWS = kept
 
 
+def test_template_of_a_mixed_site(spark):
+    """Articles, galleries and copies of one page on a host; menus in six forms that no name or class gives away."""
+    r = random.Random(5)
+    say = lambda: " ".join(r.choice(["un", "deux", "trois", "quatre", "cinq"]) + str(r.randrange(9999)) for _ in range(20))
+    bar = lambda k: f"<div><ul><li><a>Home {k % 6}</a><li><a>About</a></ul></div>"
+    rows, want = [], {}
+    for k in range(60):
+        own = say()
+        body = {0: f"<article><h2>News</h2><p>{own}</article>", 1: f"<table><tr><td>{own}</table>", 2: f"<div><div>{own}</div></div>"}[k % 3]
+        rows.append((k, "http://m.example/x", f"<body>{bar(k)}{body}<div><b>Write to us</b></div></body>"))
+        want[k] = f"News\n{own}" if k % 3 == 0 else own
+    copy = say()
+    rows += [(100 + k, "http://copy.example/x", f"<body><div>{copy}</div></body>") for k in range(9)]
+    want |= {100 + k: copy for k in range(9)}
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.page_id: x.text for x in out} == want
+    assert all(x.n_template == 2 * (x.page_id < 100) for x in out)
+
+
+def test_templates_take_menus_adverts_and_footers_of_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    out = {x.page_id: x for x in html.extract(pages).collect()}
+    alone = {x.page_id: html.main_text(html.parse(x.html))[0] for x in pages.collect()}
+    assert sum(x.n_template > 0 for x in out.values()) > 0.9 * len(out)
+    assert {k: x.text for k, x in out.items()} == alone
+
+
 def test_html_empty(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
