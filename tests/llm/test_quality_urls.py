@@ -101,6 +101,19 @@ def test_model_parts_classes(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_both_ways_score_alike(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(k, f"http://{''.join(r.choice('abcxyz') for _ in range(5))}.{r.choice(['net/de/', 'com/en/', 'info/', 'info'])}{r.choice(['é1', 'q', '', '1/2'])}") for k in range(300)]
+    df = spark.createDataFrame([*rows, (900, None), (901, "http://"), (902, "x://\U0001f600.info/a")], "page_id long, url string")
+    sent = {x.page_id: x for x in urls.filter_urls(df).collect()}
+    monkeypatch.setattr(urls, "MODEL_ROWS", -1)
+    joined = {x.page_id: x for x in urls.filter_urls(df).collect()}
+    assert len(sent) == len(joined) == 303
+    for k, x in sent.items():
+        assert x[:5] == joined[k][:5] and (x.score is None) == (joined[k].score is None) and x.score == pytest.approx(joined[k].score, abs=1e-9)
+    assert len({x.score for x in sent.values()}) > 50
+
+
 def test_probabilities_sum_to_one():
     m = urls.Model([("", "a", 3), ("", "b", 1), ("a", "b", 2), ("a", "a", 1)], 1)
     for c in ("", "a", "z"):
