@@ -11,8 +11,10 @@ ordered by position. Words are compared by 64-bit hash.
 
 Defined cases: nulls and empty texts have no words, and such items no phrase; repeated rows and equal doc_ids stay
 separate rows; equal items or item_ids count once each by id; an item_id that is null hits but isn't listed; empty
-tables give no hits or no rows; other columns are ignored. The phrases are held in memory and sent to the executors only
-in blocks of at most ``BLOCK_WINDOWS`` windows; a larger benchmark takes several passes over the documents.
+tables give no hits or no rows; other columns are ignored, whatever their names. ``clean`` judges each row by itself:
+rows of null or equal doc_ids, and repeated rows, stay or go by their own texts, and rows without words stay. The phrases
+are held in memory and sent to the executors only in blocks of at most ``BLOCK_WINDOWS`` windows; a larger benchmark takes
+several passes over the documents, each written before the next block is read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ionweave.llm.common import ALNUM, Words, chunks, code_points, materialize, text_buffers, words_of
+from ionweave.llm.common import ALNUM, Words, chunks, code_points, materialize, quoted, text_buffers, words_of
 
 SAMPLE, SHARD_BYTES, BLOCK_WINDOWS = 16, 2 << 20, 1_000_000
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
@@ -232,7 +235,7 @@ def _search(docs: DataFrame, phrases: Phrases, with_items: bool, carried: str =
 
     rows = docs.select(F.col(carried), F.col("text").cast("string"))
     out = OUT.replace("items_sha256 string", "items_sha256 array<string>") if with_items else OUT
-    return rows.mapInArrow(scan, f"{carried} {rows.schema[0].dataType.simpleString()}, {out}")
+    return rows.mapInArrow(scan, StructType([StructField(carried, rows.schema[0].dataType), *StructType.fromDDL(out)]))
 
 
 def item_blocks(benchmark: DataFrame, window: int, most: int = BLOCK_WINDOWS) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -264,7 +267,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "rows")
     passes = None
     for block in chain([first, second], blocks):
-        own = _search(keyed, phrases_of(block, window), True, "row").where("contaminated")
+        # Written, so that the driver holds one block's phrases.
+        own = materialize(_search(keyed, phrases_of(block, window), True, "row").where("contaminated").select("row", "spans", "items_sha256"), "pass")
         passes = own if passes is None else passes.unionByName(own)
     spans = passes.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items_sha256")).alias("items"))
     return _merged(keyed.join(spans, "row", "left"))
@@ -299,8 +303,13 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no phrase of the benchmark. No shuffle: each block of the
-    benchmark is one pass that lets the rows it doesn't hit through."""
-    for block in item_blocks(benchmark, window, block_windows):
-        whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-        docs = _search(whole, phrases_of(block, window), True, "row").where("not contaminated").select("row.*")
-    return docs
+    benchmark is one pass that lets the rows it doesn't hit through; what passes all blocks but the last is written."""
+    blocks = item_blocks(benchmark, window, block_windows)
+    block = next(blocks)
+    while True:
+        whole = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("text"))
+        kept = _search(whole, phrases_of(block, window), True, "row").where("not contaminated").select("row.*")
+        block = next(blocks, None)
+        if block is None:
+            return kept
+        docs = materialize(kept, "kept")

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ionweave.llm.common import chunks, text_buffers
+from ionweave.llm.common import chunks, quoted, text_buffers
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, WINDOWS, EPOCHS, BATCH, RATE = 300, 4, 8, 64, 0.01
@@ -164,7 +165,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCNN | None:
 def predict(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ("doc_id",), within: str | None = None) -> DataFrame:
     """The columns ``keep`` of each row of ``docs`` with lang_pred and score. ``within``: the one kept struct that has the
     text as a string; it is then sent to Python once."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL("lang_pred string, score double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ("do
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(name.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     sent = [within] if within else [F.col("text").cast("string").alias("_text"), *keep]
-    return docs.select(*sent).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -199,5 +200,5 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 def accepted(docs: DataFrame, least_score: float = 0.3, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known with at least that score."""
-    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("row"))
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*quoted(docs.columns)).alias("row"))
     return predict(rows, train(docs, per_language), ("row",), "row").where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

@@ -6,12 +6,12 @@ in a bucket. Equal texts are one node from the start, so copies never meet as pa
 of the words finds an edit similarity (one less the edit distance over the longer text's words) of ``SIMILARITY`` or more;
 lower bounds of the distance from common words and word pairs only spare alignments that can't succeed.
 
-In each bucket a hub, the text that shares most with others, is tried with every other text: texts are first tried against
-the two hubs that they meet most often, then against the rest. Buckets that still hold several classes are then searched
-whole, in blocks of ``BLOCK`` texts against ``BLOCK``: counts of words by hash bound the distance of each two texts of
-different classes, and only pairs within the bound become rows. That is exact, and its memory is one block's; where many
-texts of a bucket are alike in a passage but not as a whole, its time is the square of their number, at under a
-microsecond a pair. Classes are connected components by alternating stars.
+In each bucket a hub, the text that shares most with others, stands for it: texts are first tried against the two hubs
+that they meet most often. Buckets that still hold several classes are then searched whole, in blocks of ``BLOCK`` texts
+against ``BLOCK``: counts of words by hash bound the distance of each two texts of different classes, which the bound
+rules out or the alignment decides, and what leaves a block is at most one link a text. No pair is tried in two buckets.
+That is exact, and its memory is one block's; where many texts of a bucket are alike in a passage but not as a whole, its
+time is the square of their number, at about a microsecond a pair. Classes are connected components by alternating stars.
 
 Defined cases: a null text, or one without words, equals no other; texts of under five words equal only the same words;
 repeated rows are rows of the result; rows are told apart by a number that is written with them, so that doc_ids may be
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ionweave.llm.common import ALNUM, C1, chunks, discard, materialize, mix, quoted, text_buffers, words_of
 
 SHINGLE, TUPLE, SKETCHES, SIMILARITY, FIRST_HUBS = 5, 3, 24, 0.8, 2
-#: Texts of a bucket that are compared at once, counters of each, and pairs of one text that a task joins with its words.
-BLOCK, COUNTERS, LOAD = 1024, 512, 4096
+#: Texts of a block, counters of each, and copies of a hub's words, so that its pairs are not all in one task.
+BLOCK, COUNTERS, COPIES = 512, 512, 8
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -190,24 +190,23 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
         band *= 4
 
 
-def _with_words(pairs: DataFrame, words: DataFrame, node: str, other: str, name: str) -> DataFrame:
-    """``pairs`` with the words of one side. A text of many pairs is dealt with copies of its words, LOAD pairs each."""
-    hot = pairs.groupBy(F.col(node).alias("_n")).agg(F.ceil(F.count("*") / LOAD).cast("int").alias("_parts")).where("_parts > 1")
-    dealt = pairs.join(hot, F.col(node) == F.col("_n"), "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_n", "_parts")
-    copies = words.join(hot, F.col("node") == F.col("_n"), "left").select(F.col("node").alias(node), F.col("words").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
-    return dealt.join(copies, [node, "_part"]).drop("_part")
+def _words(column: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(column.as_buffer(), np.uint32)
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose words align."""
+    """The pairs (node, hub) whose words align, as links (u, v). Words are copied for hubs, which have many pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)) for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
+            keep = pa.array([similar(_words(a), _words(b)) for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    both = _with_words(_with_words(pairs, words, "v", "u", "b"), words, "u", "v", "a")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    part = F.pmod(F.xxhash64("node"), F.lit(COPIES)).cast("int").alias("part")
+    own = pairs.join(words, "node").select("node", "hub", F.col("words").alias("a"), part)
+    hubs = words.join(pairs.select(F.col("hub").alias("node")).distinct(), "node", "left_semi")
+    hubs = hubs.select(F.col("node").alias("hub"), F.col("words").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("part"))
+    return own.join(hubs, ["hub", "part"]).select("node", "hub", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
 def _marked(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
@@ -236,96 +235,93 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _rooted(rows: DataFrame, found: DataFrame | None, node: str = "node", root: str = "root") -> DataFrame:
-    if found is None:
-        return rows.withColumn(root, F.col(node))
+def _rooted(rows: DataFrame, found: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
     return rows.join(found.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col(node) == F.col("_n"), "left").withColumn(root, F.coalesce("_r", node)).drop("_n", "_r")
 
 
-def merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after more links: components of the classes that they join, put in place of those classes' roots."""
-    if found is None:
-        return components(links)
     between = _rooted(_rooted(links, found, "u", "ru"), found, "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     more = components(between)
     moved = _rooted(found.withColumnRenamed("root", "old"), more, "old", "root").select("node", "root")
     return materialize(moved.unionByName(more), "classes")
 
 
-def _met(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(u, v, node, n): the pairs of members with hubs of their buckets that may be near duplicates, and in how many they meet."""
-    met = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & (F.col("root") != F.col("hub_root")))
-    # Lengths that differ by more can't be aligned: the first thing that similar() asks.
-    longer = F.greatest("n_words", "hub_words")
-    met = met.where(longer - F.least("n_words", "hub_words") <= F.floor((1 - SIMILARITY) * longer + 1e-9))
-    return met.groupBy(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"), "node").agg(F.count("*").alias("n"))
-
-
-def counters(words: DataFrame) -> DataFrame:
-    """(node, sizes): each text's words counted by hash in COUNTERS places, to 255 at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [np.minimum(np.bincount(np.frombuffer(w.as_buffer(), np.uint32) % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes() for w in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.binary())], names=["node", "sizes"])
-
-    return words.select("node", "words").mapInArrow(run, "node binary, sizes binary")
+def counters(words: list[np.ndarray]) -> np.ndarray:
+    """Each text's words counted by hash in COUNTERS places, to 255 at most."""
+    out = np.zeros((len(words), COUNTERS), np.int16)
+    for k, w in enumerate(words):
+        out[k] = np.minimum(np.bincount(w % COUNTERS, minlength=COUNTERS), 255)
+    return out
 
 
-def near_pairs(n: np.ndarray, root: np.ndarray, left: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(text, others): of texts in order of words ``n``, the pairs of different roots whose counts allow so few edits.
-    ``left``: which belong to the first block, where there are two of them; a pair has one of each then."""
+def block_links(key: int, words: list[np.ndarray], keys: np.ndarray, classes: np.ndarray, left: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that join the classes of a block's texts: all pairs of different classes are tried that have no bucket before
+    this one (``keys``: buckets of each text, in order of seeds). ``left``: with two blocks, which texts are of the first;
+    only pairs between the blocks are tried then."""
+    n = np.array([len(w) for w in words])
+    order = np.argsort(n, kind="stable")
+    n, keys, classes = n[order], keys[order], classes[order].copy()
+    left = None if left is None else left[order]
+    sizes = counters([words[k] for k in order])
+    edits = most_edits(n)
+    shortest = n - edits  # rises with n: texts of up to these words may be similar
+    out = []
     for k in range(len(n) - 1):
-        near = np.arange(k + 1, int(np.searchsorted(n - most_edits(n), n[k], side="right")))
-        near = near[root[near] != root[k]]
+        near = np.arange(k + 1, int(np.searchsorted(shortest, n[k], side="right")))
+        near = near[classes[near] != classes[k]]
         if left is not None:
             near = near[left[near] != left[k]]
+        if not len(near):
+            continue
+        apart = np.abs(sizes[near] - sizes[k]).sum(axis=1, dtype=np.int64)
+        bound = (n[near] - n[k] + apart + 1) // 2
+        near, bound = near[bound <= edits[near]], bound[bound <= edits[near]]
         if len(near):
-            apart = np.abs(sizes[near] - sizes[k]).sum(axis=1, dtype=np.int64)
-            near = near[(n[near] - n[k] + apart + 1) // 2 <= most_edits(n[near])]
-            if len(near):
-                yield k, near
+            same = keys[near] == keys[k]
+            first = keys[k][same.argmax(axis=1)] == key
+            near, bound = near[first], bound[first]
+        for x in near[np.argsort(bound, kind="stable")].tolist():
+            if classes[x] != classes[k] and similar(words[order[k]], words[order[x]]):
+                out.append((int(order[k]), int(order[x])))
+                classes[classes == classes[x]] = classes[k]
+    return out
 
 
-def block_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(u, v): all pairs of ``members`` (key, node, n_words, root) of a bucket and of different roots that may be near duplicates.
+def bucket_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links among ``members`` (key, node, root) of each bucket that join different roots. ``texts``: node, words, keys.
 
-    Each block of a bucket meets each other once, in one task's memory; what is shuffled is a text's counts for each of its
+    Each block of a bucket meets each other once, in one task's memory; what is shuffled is a text's words for each of its
     bucket's blocks.
     """
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = own.select("key", "node", "n_words", "root", "block", meets.alias("other"))
-    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "node", "n_words", "root")
-    dealt = own.join(sizes, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_words")
+    own = own.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "node", "root")
+    dealt = own.join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs_of(t: pa.Table) -> pa.RecordBatch | None:
-        node, root = t["node"].to_pylist(), t["root"].to_pylist()
-        if len(node) < 2:
+    def links_of(t: pa.Table) -> pa.RecordBatch | None:
+        if t.num_rows < 2:
             return None
+        node, root = t["node"].to_pylist(), t["root"].to_pylist()
         number = {r: k for k, r in enumerate(dict.fromkeys(root))}
-        count = np.frombuffer(b"".join(t["sizes"].to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)
         left = None if t["i"][0].as_py() == t["j"][0].as_py() else t["left"].to_numpy()
-        u, v = [], []
-        for k, near in near_pairs(t["n_words"].to_numpy(), np.array([number[r] for r in root]), left, count):
-            for x in near.tolist():
-                u.append(max(node[k], node[x]))
-                v.append(min(node[k], node[x]))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"]) if u else None
+        keys = np.stack([x.values.to_numpy() for x in t["keys"]])
+        found = block_links(t["key"][0].as_py(), [_words(w) for w in t["words"]], keys, np.array([number[r] for r in root]), left)
+        return pa.RecordBatch.from_arrays([pa.array([node[x] for x, _ in found], pa.binary()), pa.array([node[y] for _, y in found], pa.binary())], names=["u", "v"]) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def groups(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
-            """Pairs of the groups that have ended; the last one waits for the next batch."""
+            """Links of the groups that have ended; the last one waits for the next batch."""
             key = np.stack([table[c].to_numpy().astype(np.int64) for c in ("key", "i", "j")])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
             ends = [*cuts[1:], table.num_rows]
             for a, b in zip(cuts, ends) if final else zip(cuts[:-1], ends[:-1]):
-                if (out := pairs_of(table.slice(a, b - a))) is not None:
+                if (out := links_of(table.slice(a, b - a))) is not None:
                     yield out
-            held[:] = [] if final else [table.slice(cuts[-1]).combine_chunks()]
+            held[:] = [] if final else [table.slice(cuts[-1])]
 
         for batch in batches:
             if batch.num_rows:
@@ -333,39 +329,33 @@ def block_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
         if held:
             yield from groups(held[0], True)
 
-    return dealt.select("key", "i", "j", "left", "node", "n_words", "root", "sizes").mapInArrow(run, "u binary, v binary").distinct()
+    return dealt.select("key", "i", "j", "left", "node", "root", "words", "keys").mapInArrow(run, "u binary, v binary")
 
 
 def classed(nodes: DataFrame, words_of_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (u, v), and (node, root) of what they connect: in the end every two texts of a bucket are in one
     class or have been tried. ``nodes``: node, n_words, keys and row, whose words are in ``words_of_rows`` (row, words)."""
-    keyed = nodes.select("node", "n_words", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "n_words", F.explode(F.array_distinct("keys")).alias("key"))
     met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "met")
     # A text that many others derive from shares more and larger buckets than they do among themselves.
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = materialize(met.drop("n").join(weight, "node").withColumn("root", F.col("node")), "members")
-    wanted = nodes.join(weight.select("node"), "node", "left_semi").select("node", "row")
-    words = materialize(words_of_rows.select("row", "words").join(wanted, "row").select("node", "words"), "words")
-    links = found = None
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal links, found
-        new = materialize(verified(pairs.select("u", "v").distinct(), words), "verified")
-        links = new if links is None else links.unionByName(new)
-        found = merged(found, new)
-
-    best = F.max_by(F.struct("node", "n_words", "root"), F.struct("weight", F.xxhash64("node", "key"), "node"))
-    hubs = materialize(members.groupBy("key").agg(best.alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n_words").alias("hub_words")), "hubs")
-    pairs = materialize(_met(members, hubs.withColumn("hub_root", F.col("hub"))), "pairs")
-    ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "u", "v")))
-    settle(ranked.where(F.col("nth") <= FIRST_HUBS))
-    discard(pairs)
-    settle(_met(_rooted(members.drop("root"), found), _rooted(hubs, found, "hub", "hub_root")))
-    now = _rooted(members.select("key", "node", "n_words"), found)
+    members = materialize(met.drop("n").join(weight, "node"), "members")
+    wanted = nodes.select("node", "row", "keys").join(weight.select("node"), "node", "left_semi")
+    texts = materialize(words_of_rows.select("row", "words").join(wanted, "row").select("node", "words", "keys"), "texts")
+    # A bucket's hub, and with each other text the hubs that it meets most often.
+    best = F.max_by(F.struct("node", "n_words"), F.struct("weight", F.xxhash64("node", "key"), "node"))
+    hubs = members.groupBy("key").agg(best.alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n_words").alias("hub_words"))
+    longer = F.greatest("n_words", "hub_words")
+    pairs = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & (longer - F.least("n_words", "hub_words") <= F.floor((1 - SIMILARITY) * longer + 1e-9)))
+    ranked = pairs.groupBy("node", "hub").agg(F.count("*").alias("n")).withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub")))
+    chosen = materialize(ranked.where(F.col("nth") <= FIRST_HUBS).select("node", "hub"), "pairs")
+    links = materialize(verified(chosen, texts.select("node", "words")), "verified")
+    found = components(links)
+    now = _rooted(members.select("key", "node"), found)
     open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    left = materialize(now.join(open_keys, "key", "left_semi"), "open")
-    settle(block_pairs(left, counters(words)))
-    return links.distinct(), found
+    rest = materialize(bucket_links(now.join(open_keys, "key", "left_semi"), texts), "verified")
+    every = links.unionByName(rest).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return every, merged(found, rest)
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -384,7 +374,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size (rows) and n_links (verified links of its text) of each row."""
+    """doc_id, class_id (the least doc_id of its class), class_size (rows) and n_links (verified links that joined its text to others) of each row."""
     rows, by_node = _classes(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", "n_links")
 

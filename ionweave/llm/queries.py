@@ -65,6 +65,8 @@ def _words(name: str, key: str) -> str:
     return f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORDS}') AS w FROM {name}"
 
 
+_LEAST = " ".join(f"WHEN '{k}' THEN {a!r}::DOUBLE + {r!r}::DOUBLE * min(v) FILTER (WHERE upto >= total * 0.5)" for k, (a, r, _) in quality.RATES.items())
+
 ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": f"""
 WITH d AS ({_words("documents", "doc_id")}), b AS ({_words("benchmark", "item_id")}),
@@ -122,7 +124,7 @@ ranked AS (
 ),
 quart AS (
   SELECT level, lang, source, rate, min(v) FILTER (WHERE upto >= total * 0.25) AS q1, min(v) FILTER (WHERE upto >= total * 0.5) AS q2, min(v) FILTER (WHERE upto >= total * 0.75) AS q3,
-         CASE rate WHEN 'symbol_rate' THEN 0.02 WHEN 'dup_line_rate' THEN 0.0625 WHEN 'repeat_rate' THEN 0.05 ELSE 0.5 END::DOUBLE + CASE rate WHEN 'word_length' THEN 0.1 ELSE 0 END::DOUBLE * min(v) FILTER (WHERE upto >= total * 0.5) AS least
+         CASE rate {_LEAST} END AS least
   FROM ranked WHERE level = 3 OR total >= 50 GROUP BY level, lang, source, rate
 ),
 fence AS (

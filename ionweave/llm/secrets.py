@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import materialize
+from ionweave.llm.common import materialize, quoted
 
 #: Kinds and patterns of the contract. A run of at least so many signs from its start is what is left of the
 #: contract's runs after those too short are dropped.
@@ -147,13 +147,14 @@ def _masked(text: Column, spans: Column, mark: str) -> Column:
 def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
     """The rows of ``docs`` with all secrets in ``text`` masked and ``n_chars``, where there is one, counted again.
 
-    Only rows with weak parts, which others may complete, are joined; the rest is masked where it is read.
+    Only rows with weak parts, which others may complete, are joined; the rest is masked where it is read. Rows are told
+    apart by a written number: null and repeated doc_ids and repeated rows are masked each; a null text stays null.
     """
-    found = materialize(parts(docs.select(F.struct(*docs.columns).alias("doc"), "text"), "doc"), "secrets")
+    found = materialize(parts(docs.select(F.struct(*quoted(docs.columns)).alias("doc"), "text"), "doc"), "secrets")
     none = F.array().cast("array<struct<start:long,kind:int,end:long,strong:boolean>>")
     alone = found.where(F.size("weak") == 0).select("doc", "base")
     more = found.where(F.size("weak") > 0).join(linked(found, reach), "row", "left").select("doc", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("base"))
     text = F.when(F.size("base") > 0, _masked(F.col("doc.text"), F.col("base"), mark)).otherwise(F.col("doc.text"))
     out = alone.unionByName(more).withColumn("masked", text)
     value = {"text": F.col("masked"), "n_chars": F.when(F.size("base") > 0, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*((value[c] if c in value else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+    return out.select(*((value[c] if c in value else F.col(f"doc.{q}")).alias(c) for c, q in zip(docs.columns, quoted(docs.columns))))

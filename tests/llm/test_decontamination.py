@@ -101,3 +101,14 @@ def test_blocks_keep_items_with_commas(spark):
     b = spark.createDataFrame([("x,y", "p q r"), ("z", "s t u")], "item_id string, text string")
     one, many = (D.contamination(d, b, block_windows=n).collect() for n in (10**6, 2))
     assert one == many and one[0].n_items == 2
+
+
+def test_clean_judges_each_row(spark):
+    phrase = "one two three four five six seven eight nine ten"
+    rows = [(1, f"a {phrase} b", "p"), (1, "x", "q"), (None, phrase.upper(), "r"), (None, "y", "s"), (2, None, "t"), (2, None, "t"), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").withColumn("row", D.F.lit(7)).withColumn("spans", D.F.lit("s"))
+    bench = spark.createDataFrame([(1, phrase), (2, "other words that no text has at all"), (3, None)], "item_id long, text string")
+    for n in (10**6, 5):
+        out = D.clean(docs, bench, block_windows=n)
+        assert out.columns == docs.columns
+        assert sorted((r[0] or 0, r[1] or "", r[2] or "") for r in out.collect()) == [(0, "y", "s"), (1, "x", "q"), (2, "", "t"), (2, "", "t"), (3, "", "")]

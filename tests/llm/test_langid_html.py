@@ -119,7 +119,7 @@ def test_html_empty(spark):
 def test_accepted_keeps_columns_and_rows(spark):
     good = "the words of this text are plain and there are several of them to go by " * 3
     rows = [(k, good + str(k), "en", "a", k, "x") for k in range(20)] + [(98, None, "en", "a", None, "y"), (99, "12 34", None, None, 7, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score long, row string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score long, `r.o w` string")
     kept = langid.accepted(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == rows[:20]

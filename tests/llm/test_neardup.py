@@ -89,20 +89,28 @@ def test_bounds_are_bounds():
         assert N.least_distance(a, b) <= levenshtein(a.tolist(), b.tolist())
 
 
-def test_block_pairs_lose_no_similar_pair(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 8)
+def test_block_links_join_what_brute_force_joins():
     r = random.Random(3)
     texts = []
     for _ in range(12):
         base = [r.randrange(400) for _ in range(r.choice([20, 60, 300]))]
         for _ in range(6):
-            texts.append([x for x in base for _ in range(r.choice([0, *[1] * 12, 2]))])
-    nodes = [(bytearray([k]), len(t), bytearray(np.array(t, np.uint32).tobytes())) for k, t in enumerate(texts)]
-    df = spark.createDataFrame(nodes, "node binary, n_words long, words binary")
-    members = df.select(N.F.lit(5).cast("long").alias("key"), "node", "n_words", N.F.when(N.F.col("node") < bytearray([12]), N.F.lit(bytearray([0]))).otherwise(N.F.col("node")).alias("root"))
-    got = {(x.u[0], x.v[0]) for x in N.block_pairs(members, N.counters(df)).collect()}
-    want = {(i, j) for i in range(len(texts)) for j in range(i) if i >= 12 and alike(texts[i], texts[j])}
-    assert want and want <= got and len(got) < len(texts) ** 2 / 4 and not any(i < 12 for i, _ in got)
+            texts.append(np.array([x for x in base for _ in range(r.choice([0, *[1] * 12, 2]))], np.uint32))
+    known = np.array([0 if k < 12 else k for k in range(len(texts))])
+    for left in (None, np.array([k % 3 == 0 for k in range(len(texts))])):
+        up = list(known)
+        root = lambda x: x if up[x] == x else root(up[x])
+        links = N.block_links(7, texts, np.full((len(texts), 2), 7), known, left)
+        assert all(alike(texts[i].tolist(), texts[j].tolist()) and (left is None or left[i] != left[j]) for i, j in links)
+        for i, j in links:
+            assert root(i) != root(j)
+            up[root(i)] = root(j)
+        for i in range(len(texts)):
+            for j in range(i):
+                if (left is None or left[i] != left[j]) and alike(texts[i].tolist(), texts[j].tolist()):
+                    assert root(i) == root(j)
+    # A pair of an earlier bucket isn't tried here.
+    assert N.block_links(7, texts[:6], np.tile([5, 7], (6, 1)), np.arange(6), None) == []
 
 
 def test_classes_equal_brute_force(spark):
