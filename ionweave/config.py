@@ -43,6 +43,9 @@ class Config:
     cut_after: str = "KR"
     no_cut_before: str = "P"
     cut_before: str = ""
+    no_cut_after: str = ""  # residues that keep ``cut_before`` from cutting behind them
+    second: tuple[str, str, bool] = ("", "", False)  # another enzyme's cuts too: its residues, those that block it, whether it cuts before
+    sample: tuple[str, str, bool] = ("KR", "P", False)  # the enzyme of tolerable termini and missed cleavages in outputs
     enzyme: bool = True
     termini: int = 2  # 2 full, 1 semi, 8 N only, 9 C only
     missed_cleavages: int = 2
@@ -106,14 +109,20 @@ class Config:
         """Masses added to residues; J weighs nothing of its own where compounds sit on it."""
         return {"J": 0.0} | self.static_mods if self.compound_masses else self.static_mods
 
+    @property
+    def rules(self) -> list[tuple[str, str, bool]]:
+        """(residues, blocking neighbours, whether the cut is before) of all enzymes."""
+        own = [(self.cut_after, self.no_cut_before, False), (self.cut_before, self.no_cut_after, True), self.second]
+        return [r for r in own if r[0]]
+
     def narrowed(self, stored: dict) -> Config:
         """With an index's stored settings: masses, mods and enzyme from the index, ranges only narrower."""
         known = {f.name for f in fields(self)}
-        out = {k: v for k, v in stored.items() if k in known and k in ("static_mods", "static_ends", "mod_filter", "compound_masses", "cut_after", "no_cut_before", "cut_before", "enzyme", "decoys", "equal_il")}
+        out = {k: v for k, v in stored.items() if k in known and k in ("static_mods", "static_ends", "mod_filter", "compound_masses", "cut_after", "no_cut_before", "cut_before", "no_cut_after", "second", "sample", "enzyme", "decoys", "equal_il")}
         for name in ("digest_mass", "length"):
             if name in stored:
                 out[name] = (max(getattr(self, name)[0], stored[name][0]), min(getattr(self, name)[1], stored[name][1]))
-        out |= {k: tuple(map(tuple, out[k])) if k == "mod_filter" else tuple(out[k]) for k in ("static_ends", "mod_filter", "compound_masses") if k in out}
+        out |= {k: tuple(map(tuple, out[k])) if k == "mod_filter" else tuple(out[k]) for k in ("static_ends", "mod_filter", "compound_masses", "second", "sample") if k in out}
         if "variable_mods" in stored:
             out["variable_mods"] = tuple(Mod(**m) for m in stored["variable_mods"])
         return replace(self, **out)
@@ -128,7 +137,8 @@ def isotope_step(setting: int) -> float:
 
 
 def read_params(text: str) -> dict[str, str]:
-    """``name = value # comment`` lines of a parameter file; the last setting of a name wins, the enzyme table is left out."""
+    """``name = value # comment`` lines of a parameter file; the last setting of a name wins. The enzyme table at the end is
+    read with ``read_enzymes``."""
     out: dict[str, str] = {}
     for line in text.splitlines():
         line = line.split("#", 1)[0].strip()
@@ -140,14 +150,61 @@ def read_params(text: str) -> dict[str, str]:
     return out
 
 
+def read_enzymes(text: str) -> dict[int, tuple[str, str, bool]]:
+    """The enzyme table of a parameter file by number: residues, blocking neighbours, whether the cut is before them.
+    Lines are ``number. name sense residues blocking``; sense 1 cuts after, 0 before, ``-`` is none."""
+    table = text.partition("[COMET_ENZYME_INFO]")[2]
+    out = {}
+    for line in table.splitlines():
+        part = line.split()
+        if len(part) == 5 and part[0].rstrip(".").isdigit():
+            out[int(part[0].rstrip("."))] = (part[3].replace("-", ""), part[4].replace("-", ""), part[2] == "0")
+    return out
+
+
+def enzymes_of(params: dict[str, str], table: dict[int, tuple[str, str, bool]]) -> dict:
+    """Settings of the search, second and sample enzymes that a file names by number. Without residues (cut everywhere) a
+    search enzyme is none; a number that the table lacks is an error."""
+    out: dict = {}
+    rule = {}
+    for name in ("search_enzyme_number", "search_enzyme2_number", "sample_enzyme_number"):
+        if name in params:
+            number = int(params[name])
+            if number not in table:
+                raise ValueError(f"{name}: no enzyme {number} in the table")
+            rule[name] = table[number]
+    if "search_enzyme_number" in rule:
+        residues, blocked, before = rule["search_enzyme_number"]
+        out |= {"enzyme": bool(residues), "cut_after": "" if before else residues, "no_cut_before": "" if before else blocked, "cut_before": residues if before else "", "no_cut_after": blocked if before else ""}
+    if rule.get("search_enzyme2_number", ("",))[0]:
+        out["second"] = rule["search_enzyme2_number"]
+    sample = rule.get("sample_enzyme_number") or rule.get("search_enzyme_number")
+    if sample:
+        out["sample"] = sample
+    return out
+
+
 #: on/off parameters and masses added to every end, by their names in a parameter file.
 SWITCHES = {"clip_nterm_methionine": "clip_met", "equal_I_and_L": "equal_il", "use_NL_ions": "use_nl_ions", "correct_mass": "correct_mass", "explicit_deltacn": "explicit_delta_cn", "scale_fragmentNL": "scale_fragment_loss"}
 ENDS = ("add_Nterm_peptide", "add_Cterm_peptide", "add_Nterm_protein", "add_Cterm_protein")
 
 
-def config_from_params(params: dict[str, str]) -> Config:
-    """The settings of a parameter file that have a field here."""
+#: Switches of the ion series, and parameters that a session here has no use for (threads, output files,
+#: batches, formats and folders are arguments of the sinks, masses of averages aren't used).
+SERIES = {"use_A_ions": "a", "use_B_ions": "b", "use_C_ions": "c", "use_X_ions": "x", "use_Y_ions": "y", "use_Z_ions": "z"}
+UNUSED = frozenset(
+    "database_name num_threads spectrum_batch_size output_suffix text_file_extension output_sqtstream output_sqtfile output_txtfile output_pepxmlfile output_mzidentmlfile output_percolatorfile "
+    "print_expect_score print_ascorepro_score export_additional_pepxml_scores resolve_fullpaths pinfile_protein_delimiter peff_verbose_output old_mods_encoding max_index_runtime create_fragment_index "
+    "create_peptide_index index_search_type fragindex_skipreadprecursors mass_type_parent mass_type_fragment scan_range ms_level search_enzyme_number search_enzyme2_number sample_enzyme_number "
+    "protein_modslist_file compoundmods_file peff_obo peff_format spectral_library_name require_variable_mod nucleotide_reading_frame mango_search".split()
+)
+
+
+def config_from_params(params: dict[str, str], enzymes: dict[int, tuple[str, str, bool]] | None = None, unknown: list[str] | None = None) -> Config:
+    """The settings of a parameter file. ``enzymes``: its table, needed where it names enzymes. Names that have no field
+    here and aren't known to have none are appended to ``unknown``, or an error without it."""
     pair = lambda v, t: tuple(t(x) for x in v.split())[:2]
+    missing: list[str] = []
     out: dict = {}
     units = {"0": "amu", "1": "mmu", "2": "ppm"}
     plain = {
@@ -155,8 +212,15 @@ def config_from_params(params: dict[str, str]) -> Config:
         "num_output_lines": ("num_output", int), "fragment_bin_tol": ("bin_width", float), "fragment_bin_offset": ("bin_offset", float), "max_fragment_charge": ("max_fragment_charge", int),
         "minimum_peaks": ("min_peaks", int), "minimum_intensity": ("min_intensity", float), "decoy_search": ("decoys", int), "decoy_prefix": ("decoy_prefix", str), "num_enzyme_termini": ("termini", int),
         "max_variable_mods_in_peptide": ("max_mods", int), "remove_precursor_peak": ("remove_precursor", int), "remove_precursor_tolerance": ("remove_tolerance", float), "max_duplicate_proteins": ("max_proteins", int), "activation_method": ("activation", str), "override_charge": ("override_charge", int),
-        "fragindex_min_ions_score": ("index_min_ions", int), "fragindex_min_ions_report": ("index_min_reported", int),
+        "fragindex_min_ions_score": ("index_min_ions", int), "fragindex_min_ions_report": ("index_min_reported", int), "fragindex_num_spectrumpeaks": ("index_peaks", int), "percentage_base_peak": ("min_intensity_share", float),
     }
+    if enzymes is not None:
+        out |= enzymes_of(params, enzymes)
+    elif params.get("search_enzyme_number", "1") != "1":
+        raise ValueError("search_enzyme_number needs the file's enzyme table")
+    if SERIES.keys() & params.keys():
+        series = {"use_B_ions": "1", "use_Y_ions": "1"} | params
+        out["ion_series"] = "".join(s for name, s in SERIES.items() if series.get(name, "0") == "1")
     for name, value in params.items():
         if name in plain:
             out[plain[name][0]] = plain[name][1](value)
@@ -172,14 +236,26 @@ def config_from_params(params: dict[str, str]) -> Config:
             ends = list(out.get("static_ends", (0.0,) * 4))
             ends[ENDS.index(name)] = float(value)
             out["static_ends"] = tuple(ends)
+        elif name == "mass_offsets":
+            out["mass_offsets"] = tuple(float(x) for x in value.split()) or (0.0,)
+        elif name == "theoretical_fragment_ions":
+            out["flanking"] = value == "0"
+        elif name == "precursor_tolerance_type":
+            out["tolerance_on_mz"] = value == "1"
         elif name == "precursor_NL_ions":
             out["precursor_losses"] = tuple(float(x) for x in value.split())
-        elif name.startswith("add_") and len(name) > 5 and name[5] == "_" and float(value):
-            out.setdefault("static_mods", {})[name[4]] = float(value)
-        elif name.startswith("variable_mod"):
+        elif name.startswith("add_") and len(name) > 5 and name[5] == "_":
+            if float(value):
+                out.setdefault("static_mods", {})[name[4]] = float(value)
+        elif name.startswith("variable_mod") and name[12:].isdigit():
             part = value.split()
             if float(part[0].split(",")[0]):
                 counts, loss = part[3].split(","), [*(float(x) for x in part[7].split(",")), 0.0] if len(part) > 7 else [0.0, 0.0]
                 mod = Mod(float(part[0]), part[1].replace("X", ""), int(counts[-1]), int(part[2]), len(part) > 6 and part[6] == "1", loss[0], loss[1], int(counts[0]) if len(counts) > 1 else 0, int(part[4]) if len(part) > 4 else -1, int(part[5]) if len(part) > 5 else 0, len(part) > 6 and part[6] == "-1")
                 out["variable_mods"] = (*out.get("variable_mods", ()), mod)
+        elif name not in SERIES and name not in UNUSED:
+            missing.append(name)
+    if missing and unknown is None:
+        raise ValueError(f"unknown parameters: {', '.join(missing)}")
+    (unknown if unknown is not None else []).extend(missing)
     return Config(**out)

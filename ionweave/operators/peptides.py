@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations, product
+from itertools import combinations, islice, product
 from operator import or_
 
 import pyarrow as pa
@@ -15,15 +15,17 @@ from ionweave.config import ION_SHIFTS, PROTON, Config, Mod
 from ionweave.functions.chemistry import WATER, bin_of, canonical, decoy, peptide_mass, residue_masses
 from ionweave.sources.readers import variant_sequences
 
-#: Starts of peptides in one block of a sequence.
-BLOCK = 1024
+#: Starts of peptides in one block of a sequence, and placements that a task holds at once.
+BLOCK, PLACED = 1024, 10_000
 
 
 def cut_pattern(cfg: Config) -> str:
-    """Matches the empty place of a cut: after and before the enzyme's residues, and around *."""
-    after = f"(?<=[{cfg.cut_after}*])" + (f"(?![{cfg.no_cut_before}])" if cfg.no_cut_before else "") if cfg.cut_after else "(?<=[*])"
-    before = f"|(?=[{cfg.cut_before}*])" if cfg.cut_before else "|(?=[*])"
-    return after + before
+    """Matches the empty place of a cut: where any of the enzymes cuts, and around *."""
+    places = [r"(?<=\*)", r"(?=\*)"]
+    for residues, blocked, before in cfg.rules:
+        here, beside = ("(?=[{}])", "(?<![{}])") if before else ("(?<=[{}])", "(?![{}])")
+        places.append(here.format(residues) + (beside.format(blocked) if blocked else ""))
+    return "|".join(places)
 
 
 def digest(proteins: DataFrame, cfg: Config) -> DataFrame:
@@ -151,11 +153,10 @@ def modifiable(peptide, mods: tuple[Mod, ...]):
     return F.regexp_replace(peptide, f"[^{letters}]", "") if letters else F.lit("")
 
 
-def placements(residues: str, mods: tuple[Mod, ...], most: int, cap: int = 10_000) -> list[list[int]]:
-    """Mod number (1-based) of each residue, or 0, for every allowed placement; the unmodified one comes first."""
+def placements(residues: str, mods: tuple[Mod, ...], most: int) -> Iterator[list[int]]:
+    """Mod number (1-based) of each residue, or 0, for every allowed placement, one at a time; the unmodified one comes first."""
     options = [[0, *(k + 1 for k, m in enumerate(mods) if c in m.residues)] for c in residues]
     free = [i for i, o in enumerate(options) if len(o) > 1]
-    out = []
     for n in range(min(most, len(free)) + 1):
         for where in combinations(free, n):
             for kinds in product(*(options[i][1:] for i in where)):
@@ -168,10 +169,7 @@ def placements(residues: str, mods: tuple[Mod, ...], most: int, cap: int = 10_00
                 row = [0] * len(residues)
                 for i, k in zip(where, kinds):
                     row[i] = k
-                out.append(row)
-                if len(out) >= cap:
-                    return out
-    return out
+                yield row
 
 
 def modified(peptides: DataFrame, cfg: Config) -> DataFrame:
@@ -188,10 +186,11 @@ def modified(peptides: DataFrame, cfg: Config) -> DataFrame:
         return with_extra(plain, cfg).where(F.col("mass").between(lo, hi))
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("mod_seq", pa.string()), ("placement", pa.list_(pa.int32()))])
         for batch in batches:
-            rows = [{"mod_seq": s, "placement": p} for s in batch.column(0).to_pylist() for p in placements(s, mods, cfg.max_mods)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("mod_seq", pa.string()), ("placement", pa.list_(pa.int32()))]))
+            every = ({"mod_seq": s, "placement": p} for s in batch.column(0).to_pylist() for p in placements(s, mods, cfg.max_mods))
+            while rows := list(islice(every, PLACED)):
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     placed = base.select("mod_seq").distinct().mapInArrow(permute, "mod_seq string, placement array<int>")
     ends = {e: [0, *(k + 1 for k, m in enumerate(mods) if e in m.residues)] for e in "nc"}

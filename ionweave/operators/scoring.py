@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,14 +135,15 @@ def fit_survival(counts: np.ndarray) -> tuple[float, float]:
 
 
 def fitted(hist: DataFrame) -> DataFrame:
-    """(qid, slope, intercept) from (qid, hbin, n): at most 152 rows a query meet in one group."""
+    """(qid, slope, intercept) from (qid, hbin, n): a query's at most 152 bins are one row, fitted many rows a call."""
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.bincount(rows["hbin"], rows["n"], BINS_OF_HISTOGRAM)
-        slope, intercept = fit_survival(counts)
-        return pd.DataFrame({"qid": [rows["qid"].iloc[0]], "slope": [slope], "intercept": [intercept]})
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            out = [fit_survival(np.bincount(hbin, n, BINS_OF_HISTOGRAM)) for hbin, n in zip(df["hbin"], df["n"])]
+            yield pd.DataFrame({"qid": df["qid"], "slope": [a for a, _ in out], "intercept": [b for _, b in out]})
 
-    return hist.groupBy("qid").applyInPandas(fit, "qid long, slope double, intercept double")
+    rows = hist.groupBy("qid").agg(F.collect_list(F.struct("hbin", "n")).alias("h")).select("qid", "h.hbin", "h.n")
+    return rows.mapInPandas(fit, "qid long, slope double, intercept double")
 
 
 def synthetic_ions(cfg: Config, n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,33 +166,33 @@ def synthetic_ions(cfg: Config, n: int, seed: int = 20) -> tuple[np.ndarray, np.
     return np.concatenate(bins), np.concatenate(charges), np.concatenate(owners)
 
 
-def fitted_with_fill(hist: DataFrame, fx: DataFrame, limits: DataFrame, cfg: Config) -> DataFrame:
+def fitted_with_fill(hist: DataFrame, arrays: DataFrame, limits: DataFrame, cfg: Config) -> DataFrame:
     """``fitted``, after histograms of under ``cfg.fill_histogram`` entries are topped up with scores of synthetic peptides.
 
-    ``fx``: (qid, bin, fx); ``limits``: (qid, max_frag_charge, floor_bin). Only spectra with small histograms are sent, each as
-    its sparse bins; scores are one weighted count over the synthetic fragments, whose number the settings fix.
+    ``arrays``: (qid, bins, ys, floor_bin) of ``tiles.spectrum_arrays``; ``limits``: (qid, max_frag_charge). Only spectra with
+    small histograms are sent; scores are one weighted count over the synthetic fragments, whose number the settings fix.
     """
+    from ionweave.operators.tiles import correlation
+
     wanted = cfg.fill_histogram
     counts = hist.groupBy("qid").agg(F.collect_list(F.struct("hbin", "n")).alias("h"), F.sum("n").alias("total"))
     small = counts.where(F.col("total") < wanted).select("qid")
-    arrays = fx.join(small, "qid", "left_semi").groupBy("qid").agg(F.collect_list(F.struct("bin", "fx")).alias("fx"))
-    df = counts.join(arrays, "qid", "left").join(limits, "qid", "left").select("qid", "total", F.coalesce("max_frag_charge", F.lit(1)).alias("z"), F.coalesce("floor_bin", F.lit(0)).alias("floor"), "h.hbin", "h.n", "fx.bin", "fx.fx")
+    df = counts.join(arrays.join(small, "qid", "left_semi"), "qid", "left").join(limits, "qid", "left")
+    df = df.select("qid", "total", F.coalesce("max_frag_charge", F.lit(1)).alias("z"), F.coalesce("floor_bin", F.lit(0)).alias("floor"), "h.hbin", "h.n", "bins", "ys")
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, charges, owners = synthetic_ions(cfg, wanted)
         of_charge = {z: (bins[charges <= z], owners[charges <= z]) for z in range(1, cfg.max_fragment_charge + 1)}
         for df in frames:
             out = []
-            for total, z, floor, hbin, n, at, weights in zip(df["total"], df["z"], df["floor"], df["hbin"], df["n"], df["bin"], df["fx"]):
+            for total, z, floor, hbin, n, at, weights in zip(df["total"], df["z"], df["floor"], df["hbin"], df["n"], df["bins"], df["ys"]):
                 h = np.bincount(hbin, n, BINS_OF_HISTOGRAM)
                 if total < wanted:
                     b, own = of_charge[int(z)]
                     own, b = (own[own < wanted - total], b[own < wanted - total])
                     score = np.zeros(wanted - int(total))
                     if at is not None and len(at):
-                        dense = np.zeros(max(int(b.max(initial=0)), int(max(at))) + 1)
-                        dense[at] = weights
-                        score = np.bincount(own, dense[b], wanted - int(total))
+                        score = np.bincount(own, correlation(np.asarray(at), np.asarray(weights), cfg, int(b.max(initial=0)) + 1)[0][b], wanted - int(total))
                     k = np.clip((score * 0.05 + 0.5).astype(int), 0, BINS_OF_HISTOGRAM - 1)
                     even = np.arange(len(k)) % 2 == 0
                     k[even] = np.maximum(k[even], floor)  # half of what is under the floor is counted there
@@ -292,20 +292,20 @@ def cosine_top1(queries: DataFrame, library: DataFrame, most_apart: float, width
     return dots.groupBy("qid").agg(F.max_by("lib_id", F.struct("dot", -F.col("lib_id"))).alias("lib_id"), F.max("dot").alias("dot"))
 
 
-def tolerable_termini(peptide: Column, prev: Column, nxt: Column, cut: str = "KR", no: str = "P") -> Column:
-    n = (prev == "-") | (prev.rlike(f"[{cut}]") & ~F.left(peptide, F.lit(1)).rlike(f"[{no}]"))
-    c = (nxt == "-") | (F.right(peptide, F.lit(1)).rlike(f"[{cut}]") & ~nxt.rlike(f"[{no}]"))
-    return n.cast("int") + c.cast("int")
+def cuts_between(left: Column, right: Column, rule: tuple[str, str, bool]) -> Column:
+    """Whether an enzyme (residues, blocking neighbours, whether it cuts before) cuts between two residues."""
+    residues, blocked, before = rule
+    own, other = (right, left) if before else (left, right)
+    among = lambda c, letters: c.isin(*letters) if letters else F.lit(False)
+    return among(own, residues) & ~among(other, blocked)
 
 
-def missed_cleavages(peptide: Column, cut: str = "KR", no: str = "P") -> Column:
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(peptide) - 1, F.lit(1))), lambda i: F.substring(peptide, i, F.lit(1)).rlike(f"[{cut}]") & ~F.substring(peptide, i + 1, F.lit(1)).rlike(f"[{no}]") & (i < F.length(peptide))))
+def tolerable_termini(peptide: Column, prev: Column, nxt: Column, rule: tuple[str, str, bool] = ("KR", "P", False)) -> Column:
+    n = (prev == "-") | cuts_between(prev, F.left(peptide, F.lit(1)), rule)
+    c = (nxt == "-") | cuts_between(F.right(peptide, F.lit(1)), nxt, rule)
+    return n.cast("int") + c.cast("int")
 
 
-def binomial_tail(n: int, k: int, p: float) -> float:
-    """P(X >= k), summed in logs."""
-    if k <= 0:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs, default=-math.inf)
-    return math.exp(top) * sum(math.exp(x - top) for x in logs) if logs else 0.0
+def missed_cleavages(peptide: Column, rule: tuple[str, str, bool] = ("KR", "P", False)) -> Column:
+    letter = lambda i: F.substring(peptide, i, F.lit(1))
+    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(peptide) - 1, F.lit(1))), lambda i: cuts_between(letter(i), letter(i + 1), rule) & (i < F.length(peptide))))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ionweave.config import C13_GAP, PROTON, Config, Mod
 from ionweave.functions import chemistry as chem
 from ionweave.operators import joins, peptides, scoring, spectra
+from ionweave.operators.tiles import spectrum_arrays
+from ionweave.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,7 +44,7 @@ class T:
     @property
     def proteins(self) -> DataFrame:
         seq = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), LOWER, UPPER), "[^A-Z]", "")
-        return self.read("documents").select(F.col("doc_id").alias("prot_id"), seq.alias("seq"), "source")
+        return spread(self.read("documents")).select(F.col("doc_id").alias("prot_id"), seq.alias("seq"), "source")
 
     @property
     def peaks(self) -> DataFrame:
@@ -286,16 +288,17 @@ def semi_join_precursor(spark, sf):
     return joins.precursor_semi_join(t.candidates, t.precursors.withColumns({"lo": F.col("exp_mass") - 0.01, "hi": F.col("exp_mass") + 0.01}), 0.5).select("var_id")
 
 
-_QB = f"(SELECT qid, bin, 1000.0::DOUBLE AS lo, 1800.0::DOUBLE AS hi FROM {BINS})"
+_QB = f"(SELECT qid, bin, 900.0::DOUBLE + qid % 40 AS lo, 930.0::DOUBLE + qid % 40 AS hi FROM {BINS})"
 
 
 @query(f"""SELECT qid, var_id, n_shared FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n_shared DESC, var_id) AS k FROM (
-  SELECT qid, l_partkey AS var_id, count(*) AS n_shared FROM {_QB} q JOIN (SELECT DISTINCT l_partkey, CAST(l_suppkey * 13 + l_linenumber AS INT) AS bin FROM lineitem) i USING (bin) JOIN part ON p_partkey = l_partkey
+  SELECT qid, l_partkey AS var_id, count(*) AS n_shared FROM {_QB} q JOIN (SELECT DISTINCT l_partkey, CAST((l_suppkey * 13 + l_linenumber * 7) % 1300 AS INT) AS bin FROM lineitem) i USING (bin) JOIN part ON p_partkey = l_partkey
   WHERE p_retailprice BETWEEN lo AND hi GROUP BY ALL) WHERE n_shared >= 2) WHERE k <= 10""")
 def inverted_index_count(spark, sf):
     t = T(spark, sf)
-    index = t.read("lineitem").select(F.col("l_partkey").alias("var_id"), (F.col("l_suppkey") * 13 + F.col("l_linenumber")).cast("int").alias("bin")).distinct().join(t.candidates, "var_id")
-    return joins.inverted_index_counts(t.bins.select("qid", "bin", F.lit(1000.0).alias("lo"), F.lit(1800.0).alias("hi")), index, 2, 10)
+    index = t.read("lineitem").select(F.col("l_partkey").alias("var_id"), ((F.col("l_suppkey") * 13 + F.col("l_linenumber") * 7) % 1300).cast("int").alias("bin")).distinct().join(t.candidates, "var_id")
+    windows = t.bins.select("qid", "bin", (F.col("qid") % 40 + F.lit(900.0)).alias("lo"), (F.col("qid") % 40 + F.lit(930.0)).alias("hi"))
+    return joins.inverted_index_counts(windows, index, 2, 10, 30.0)
 
 
 _XC = f"""(SELECT qid, cand_id, round(sum(fx) * 0.005::DOUBLE, 3) AS xcorr, max(o_orderkey % 26) AS r FROM {_FX} JOIN (SELECT DISTINCT o_custkey AS qid, o_orderkey AS cand_id, CAST(l_suppkey * 7 + l_linenumber * 31 AS INT) AS bin
@@ -408,10 +411,10 @@ def qvalue_counts(spark, sf):
     return scoring.passing(_q(spark, sf), [0.4, 0.5])
 
 
-@query(f"SELECT o_orderkey AS psm_id FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT psm_id FROM {_Q} WHERE NOT is_decoy AND q <= 0.49::DOUBLE)")
+@query(f"SELECT o_orderkey AS psm_id FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT psm_id FROM {_Q} WHERE NOT is_decoy AND q <= 0.48::DOUBLE)")
 def qvalue_diff(spark, sf):
     t = T(spark, sf)
-    return t.psms.where("not is_decoy").select("psm_id").join(_q(spark, sf).where("not is_decoy and q <= 0.49").select("psm_id"), "psm_id", "left_anti")
+    return t.psms.where("not is_decoy").select("psm_id").join(_q(spark, sf).where("not is_decoy and q <= 0.48").select("psm_id"), "psm_id", "left_anti")
 
 
 @query("""WITH v AS (SELECT vec_id, k, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)),
@@ -430,12 +433,6 @@ def rt_robust_ols(spark, sf):
     return scoring.robust_lines(p, "g").select("g", F.round(F.col("slope") * 1e6, 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
 
 
-@query()
-def rt_history_alignment(spark, sf):
-    p = T(spark, sf).read("events").select(F.col("user_id").alias("run"), F.col("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("query_rt"), F.col("value").alias("ref_rt"))
-    return scoring.retention_alignment(p, "run").select("event_id", F.round("predicted", 3).alias("predicted"))
-
-
 @query(f"""SELECT qid, count(*) AS n, min(s_suppkey) AS first FROM {PREC} q JOIN (SELECT DISTINCT s_suppkey, unnest(range(CAST(floor((s_acctbal - 1) / 2) AS BIGINT), CAST(floor((s_acctbal + 1) / 2) AS BIGINT) + 1)) AS b FROM supplier) ON b = floor(exp_mass / 2) GROUP BY qid""")
 def speclib_bin_join(spark, sf):
     t = T(spark, sf)
@@ -591,9 +588,9 @@ def match_counters(spark, sf):
 def evalue_filled(spark, sf):
     """Histograms topped up from synthetic peptides: a table of this library's own, so no SQL."""
     t = T(spark, sf)
-    fx = spectra.xcorr_array(spectra.ten_window_normalised(t.bins), CFG)[0]
-    limits = fx.groupBy("qid").agg(F.lit(1).alias("max_frag_charge"), spectra.histogram_floor(F.max("fx")).alias("floor_bin"))
-    return scoring.fitted_with_fill(_hist(spark, sf), fx, limits, CFG).select("qid", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    arrays = spectrum_arrays(spectra.ten_window_normalised(t.bins), CFG)
+    limits = t.bins.select("qid", F.lit(1).alias("max_frag_charge")).distinct()
+    return scoring.fitted_with_fill(_hist(spark, sf), arrays, limits, CFG).select("qid", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
 @query()

@@ -51,23 +51,28 @@ def write_split(psms: DataFrame, path: str, write=write_text) -> None:
     write(own.where("is_decoy"), f"{path}.decoy")
 
 
-def pin_rows(psms: DataFrame, charges: tuple[int, int] = (1, 6)) -> DataFrame:
-    """Percolator features; the log of what isn't positive is -20."""
+def pin_rows(psms: DataFrame, charges: tuple[int, int] = (1, 6), sample: tuple[str, str, bool] = ("KR", "P", False)) -> DataFrame:
+    """Percolator features; the log of what isn't positive is -20. ``sample``: the enzyme of termini and missed cleavages."""
     from ionweave.config import PROTON
-    from ionweave.operators.scoring import missed_cleavages
+    from ionweave.operators.scoring import cuts_between, missed_cleavages
 
     enz = lambda c: c.cast("int")
+    n_end = (F.col("prev_aa") == "-") | cuts_between(F.col("prev_aa"), F.left("peptide", F.lit(1)), sample)
+    c_end = (F.col("next_aa") == "-") | cuts_between(F.right("peptide", F.lit(1)), F.col("next_aa"), sample)
     return psms.select(
         F.concat_ws("_", "file", "scan", "charge", "num").alias("SpecId"), label(F.col("is_decoy")).alias("Label"), F.col("scan").alias("ScanNr"), (F.col("exp_mass") - PROTON).alias("ExpMass"), (F.col("mass") - PROTON).alias("CalcMass"),
         log_or(F.col("sp_rank").cast("double")).alias("lnrSp"), F.col("last_delta_cn").alias("deltLCn"), F.col("delta_cn").alias("deltCn"), log_or(F.col("expect")).alias("lnExpect"), F.col("xcorr").alias("Xcorr"), F.col("sp_score").alias("Sp"),
         F.when(F.col("total_ions") > 0, F.col("matched") / F.col("total_ions")).otherwise(0.0).alias("IonFrac"), F.col("exp_mass").alias("Mass"), F.length("peptide").alias("PepLen"), *one_hot_charge(F.col("charge"), *charges),
-        enz(F.col("prev_aa").rlike("[KR-]")).alias("enzN"), enz(F.col("peptide").rlike("[KR]$") | (F.col("next_aa") == "-")).alias("enzC"), missed_cleavages(F.col("peptide")).alias("enzInt"), log_or(F.col("n_matches").cast("double")).alias("lnNumSP"),
+        enz(n_end).alias("enzN"), enz(c_end).alias("enzC"), missed_cleavages(F.col("peptide"), sample).alias("enzInt"), log_or(F.col("n_matches").cast("double")).alias("lnNumSP"),
         ((F.col("exp_mass") - F.col("mass")) / F.col("exp_mass")).alias("dM"), F.abs((F.col("exp_mass") - F.col("mass")) / F.col("exp_mass")).alias("absdM"), F.concat_ws(".", "prev_aa", "modified_peptide", "next_aa").alias("Peptide"), F.array_join("names", "\t").alias("Proteins"),
     )
 
 
-def write_pin(psms: DataFrame, path: str) -> None:
-    pin_rows(psms).write.csv(path, sep="\t", header=True, mode="overwrite", quote="")
+def write_pin(psms: DataFrame, path: str, sample: tuple[str, str, bool] = ("KR", "P", False)) -> None:
+    """Lines of text, since the proteins of a line are columns of their own; the header stands once, in the first part file."""
+    rows = pin_rows(psms, sample=sample)
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns))
+    _document([rows.select(F.lit(1).alias("section"), F.col("SpecId").alias("key"), line.alias("value"))], [(0, "\t".join(rows.columns))], path)
 
 
 def write_sqt(psms: DataFrame, path: str) -> None:

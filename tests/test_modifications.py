@@ -49,9 +49,9 @@ def test_protein_filter(spark):
 
 
 def test_least_count_and_rare(spark):
-    assert peptides.placements("SSS", (Mod(80.0, "S", 3, min_per_peptide=3),), 5) == [[0, 0, 0], [1, 1, 1]]
+    assert list(peptides.placements("SSS", (Mod(80.0, "S", 3, min_per_peptide=3),), 5)) == [[0, 0, 0], [1, 1, 1]]
     mods = (Mod(1.0, "S", 1, rare=True), Mod(2.0, "M", 1, rare=True))
-    assert peptides.placements("SM", mods, 5) == [[0, 0], [1, 0], [0, 2]]
+    assert list(peptides.placements("SM", mods, 5)) == [[0, 0], [1, 0], [0, 2]]
 
 
 def test_compound_masses(spark):
@@ -116,14 +116,16 @@ def test_histogram_fill(spark):
     cfg = Config(fill_histogram=300)
     hist = spark.createDataFrame([(1, 3, 2), (1, 7, 1), (2, 1, 400), (2, 2, 90), (2, 3, 20), (2, 4, 4), (3, 2, 1)], "qid long, hbin int, n long")
     rng = np.random.default_rng(0)
-    fx = spark.createDataFrame([(1, int(b), float(v)) for b, v in zip(range(100, 1500), rng.normal(0, 6, 1400))], "qid long, bin int, fx double")
-    limits = spark.createDataFrame([(1, 2, 1), (2, 1, 0), (3, 1, 1)], "qid long, max_frag_charge int, floor_bin int")
-    got = {r.qid: (r.slope, r.intercept) for r in scoring.fitted_with_fill(hist, fx, limits, cfg).collect()}
+    peaks, y = rng.choice(np.arange(100, 1500), 200, replace=False), rng.uniform(5, 50, 200)
+    arrays = spark.createDataFrame([(1, peaks.tolist(), y.tolist(), 1)], "qid long, bins array<int>, ys array<double>, floor_bin int")
+    limits = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "qid long, max_frag_charge int")
+    got = {r.qid: (r.slope, r.intercept) for r in scoring.fitted_with_fill(hist, arrays, limits, cfg).collect()}
     plain = {r.qid: (r.slope, r.intercept) for r in scoring.fitted(hist).collect()}
     assert got[2] == plain[2] and got[1][0] < 0 and set(got) == {1, 2, 3}
     # The same top-up by a loop over peptides.
     bins, charges, owners = scoring.synthetic_ions(cfg, 300)
-    at = {r.bin: r.fx for r in fx.collect()}
+    normalised = spark.createDataFrame([(1, int(b), float(v)) for b, v in zip(peaks, y)], "qid long, bin int, y double")
+    at = {r.bin: r.fx for r in spectra.xcorr_array(normalised, cfg)[0].collect()}
     h = np.bincount([3, 7], [2, 1], 152)
     for k in range(297):
         s = sum(at.get(int(b), 0.0) for b in bins[(owners == k) & (charges <= 2)])

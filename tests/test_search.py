@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ionweave.config import PROTON, Config, Mod, config_from_params, read_params
+from ionweave.config import PROTON, Config, Mod, config_from_params, read_enzymes, read_params
 from ionweave.functions import chemistry as chem
 from ionweave.operators import peptides, scoring
 from ionweave.operators.localisation import binomial_tail, localise
@@ -48,9 +48,9 @@ def test_equal_il(spark):
 
 def test_placements():
     mods = (Mod(16.0, "M", 2), Mod(80.0, "S", 1))
-    assert peptides.placements("MS", mods, 2) == [[0, 0], [1, 0], [0, 2], [1, 2]]
-    assert len(peptides.placements("MMM", mods, 3)) == 7
-    assert peptides.placements("CCC", (Mod(1.0, "C", 5, binary=1),), 5) == [[0, 0, 0], [1, 1, 1]]
+    assert list(peptides.placements("MS", mods, 2)) == [[0, 0], [1, 0], [0, 2], [1, 2]]
+    assert len(list(peptides.placements("MMM", mods, 3))) == 7
+    assert list(peptides.placements("CCC", (Mod(1.0, "C", 5, binary=1),), 5)) == [[0, 0, 0], [1, 1, 1]]
 
 
 def spectrum(peptide, scan, z=2, delta=None):
@@ -122,9 +122,57 @@ def test_params():
     assert (cfg.tolerance, cfg.tolerance_unit, cfg.static_mods, cfg.variable_mods[0].residues) == (20.0, "ppm", {"C": 57.02}, "M")
     with pytest.raises(ValueError):
         Config(isotope_error=9)
+    text = "search_enzyme_number = 3\nsearch_enzyme2_number = 6\nsample_enzyme_number = 5\nuse_A_ions = 1\nmass_offsets = 0.0 79.97\nodd_name = 4\n[COMET_ENZYME_INFO]\n0. Cut_everywhere 0 - -\n3. Lys_C 1 K P\n5. Arg_C 1 R P\n6. Asp_N 0 D -\n"
+    params, odd = read_params(text), []
+    cfg = config_from_params(params, read_enzymes(text), odd)
+    assert (cfg.rules, cfg.sample, cfg.ion_series, cfg.mass_offsets, odd) == ([("K", "P", False), ("D", "", True)], ("R", "P", False), "aby", (0.0, 79.97), ["odd_name"])
+    with pytest.raises(ValueError, match="odd_name"):
+        config_from_params(params, read_enzymes(text))
+    with pytest.raises(ValueError, match="table"):
+        config_from_params(params)
+    with pytest.raises(ValueError, match="no enzyme 9"):
+        config_from_params({"search_enzyme_number": "9"}, read_enzymes(text))
+    assert not config_from_params({"search_enzyme_number": "0"}, read_enzymes(text)).enzyme
     assert Config(length=(5, 50)).narrowed({"length": [7, 60]}).length == (7, 50)
 
 
+def test_digest_with_two_enzymes(spark):
+    assert digested(spark, "AAAKPDAADAARAAK", cut_after="K", second=("D", "", True), missed_cleavages=0, length=(1, 50)) == sorted(["AAAKP", "DAA", "DAARAAK"])
+    assert digested(spark, "AADKAADA", cut_after="", no_cut_before="", cut_before="K", no_cut_after="D", missed_cleavages=0, length=(1, 50)) == ["AADKAADA"]
+
+
+def test_tiles_equal_rows(spark, monkeypatch):
+    """Scores of tiles against sums over rows of fragments, with mods, losses, flanks, several charges and tiny tiles."""
+    from ionweave.operators import spectra, tiles
+    from ionweave.plans import search as S
+
+    monkeypatch.setattr(tiles, "CANDIDATES", 7)
+    monkeypatch.setattr(tiles, "SPECTRA", 2)
+    mods = (Mod(15.9949, "M"), Mod(79.966331, "ST", neutral_loss=97.976896))
+    for kw in ({}, {"use_nl_ions": True, "ion_series": "aby"}, {"flanking": False, "precursor_losses": (18.01, 97.98), "scale_fragment_loss": True}, {"static_ends": (3.0, 4.0, 5.0, 6.0), "isotope_error": 3, "tolerance": 20.0}):
+        cfg = Config(variable_mods=mods, max_mods=2, decoys=1, min_peaks=5, length=(5, 30), fill_histogram=0, num_results=1000, num_output=1000, **kw)
+        rows = [("f", k, 2, 0.0, None, None, mz, None, None, [(z, mh)], [(a, b) for a, b in p]) for k, (_, mz, z, mh, p) in enumerate([spectrum("EPGCGCCMTCALAEGQSCGVYTER", 1, 3), spectrum("YVVESTGVFTTMEK", 2), spectrum("GASTPEPTIDEK", 3, 3)])]
+        scans = spark.createDataFrame(rows, readers.SPECTRA)
+        queries, arrays, sp, asked = S._asked(scans, cfg)
+        cands = S.written(S.candidates_of(proteins(spark, *PROT), cfg), "c")
+        got = {(r.qid, bytes(r.cand_id)): r.xcorr for r in tiles.window_scores(asked, cands, cfg).where("cand_id is not null").collect()}
+        # The same as joins of rows.
+        match = spectra.isotope_match(F.col("exp_mass"), F.col("tol_high") - F.col("exp_mass"), F.col("mass"), cfg)
+        pairs = queries.crossJoin(cands.select("cand_id", "mass")).where(F.col("mass").between(F.col("lo"), F.col("hi")) & match).select("qid", "cand_id", "mass", "charge", "max_frag_charge")
+        plain, lossy = spectra.xcorr_array(S.spectrum_bins(queries, cfg)[0], cfg)
+        fx = plain.withColumn("lossy", F.lit(False)).unionByName(lossy.withColumn("lossy", F.lit(True)))
+        nl = (F.col("charge") == 1) & F.col("series").isin("a", "b", "y") if cfg.use_nl_ions else F.lit(False)
+        bins = peptides.first_of_bin(peptides.fragment_ions(cands, cfg)).withColumn("lossy", nl).withColumnRenamed("charge", "z")
+        hits = pairs.join(bins, "cand_id").where("z <= max_frag_charge").select("qid", "cand_id", "bin", "lossy")
+        if cfg.precursor_losses:
+            fresh = peptides.precursor_loss_bins(pairs, cfg).join(bins.select("cand_id", "bin"), ["cand_id", "bin"], "left_anti")
+            hits = hits.unionByName(fresh.withColumn("lossy", F.lit(False)))
+        want = hits.join(fx, ["qid", "bin", "lossy"]).groupBy("qid", "cand_id").agg(F.sum("fx").alias("s")).collect()
+        want = {(r.qid, bytes(r.cand_id)): r.s * 0.005 for r in want if r.s * 0.005 >= 0.0005}
+        assert len(want) >= 3 and set(want) == set(got)
+        assert [(kw, got[k], v) for k, v in want.items() if abs(got[k] - v) > 0.00051] == []
+
+
 def test_q_values_any_partition_count(spark):
     df = spark.createDataFrame([(k, float(k * 7919 % 1000 // 3), k % 3 == 0) for k in range(1000)], "id int, s double, is_decoy boolean")
     runs = [sorted((r.id, round(r.q, 12)) for r in scoring.q_values(df, [("s", True), ("id", False)], n).collect()) for n in (1, 5, 40)]
