@@ -6,59 +6,23 @@ Nulls count as empty texts everywhere. Memory of the numpy helpers follows one c
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ionweave.tables import delete_folder, written
 
 CHUNK_BYTES = 2 << 20
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session. Where none is set, a local master, which runs in one
-    machine, takes a temporary one; a cluster can't know which folders it shares, so there it is an error."""
-    sc = spark.sparkContext
-    at = sc._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if sc.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="ionweave-")
-    sc.setCheckpointDir(shared)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _folder(spark: SparkSession, path: str) -> tuple:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: the lineage ends there and a lost executor costs nothing.
-
-    The files go with ``discard``, or when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    files, where = _folder(spark, path)
-    files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    files, where = _folder(spark, path)
-    files.delete(where, True)
+    """``df`` written as a table in the shared folder and read again. The files go with ``discard``, or when the driver's JVM ends."""
+    return written(df, name)
 
 
 def discard(*tables: DataFrame) -> None:

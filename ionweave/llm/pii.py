@@ -5,7 +5,9 @@ digits, handles that an address in the document has before its ``@``, and addres
 candidates are joined by chain edges; candidates with the same or a similar key (equal digits, digits that end alike, a
 handle and its address), however far apart, by skip edges to one hub, the first base span with that key or else
 the first candidate, so that what a base span says reaches every repeat. Base spans have their kind for certain. Loopy belief propagation over
-both, until messages settle, makes the labels of a document agree; a candidate whose most likely label is a kind becomes an added span.
+both, until messages settle, makes the labels of a document agree; a candidate whose most likely label is a kind becomes an
+added span. Neighbours are candidates within ``REACH`` characters; handles of any length are candidates, and short ones of
+letters alone, which may be plain words, have a feature that says so.
 
 Weights are trained by pseudo-likelihood on labelled texts that ``examples`` makes from a seed, on the driver. Messages of
 all documents of a run are passed at once with numpy; edges number at most three a node, so a run's cost and memory follow its candidates.
@@ -41,7 +43,7 @@ BRACKET = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\
 HANDLE = re.compile(r"[A-Za-z0-9_][A-Za-z0-9._%+-]*+")
 LABELS = ("none", *KINDS)
 HINTS = (("phone", "tel", "call", "mobile", "fax"), ("card", "visa", "payment", "credit"), ("ip", "host", "server", "address"), ("mail", "contact", "write", "user"), ("order", "ref", "invoice", "version", "date", "page", "total", "id"))
-REACH, LEAST_HANDLE, SUFFIX = 80, 5, 7
+REACH, SHORT_HANDLE, SUFFIX = 80, 5, 7
 #: Messages are passed until none changes by more; ROUNDS only ends fields that never settle.
 TOLERANCE, ROUNDS, CERTAIN = 1e-7, 1000, 1e7
 
@@ -125,7 +127,6 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             taken.append((a, b, "d" + only_digits(text[a:b])))
     if "at]" in text or "at)" in text:
         taken += [(m.start(), m.start() + len(m[0].rstrip(".-")), "h" + re.split(r"\x20?[\[(]at", m[0])[0].lower()) for m in BRACKET.finditer(text) if free(*m.span())]
-    handles = {h for h in handles if len(h) >= LEAST_HANDLE}
     if handles:
         for m in HANDLE.finditer(text):
             t = m[0].rstrip(".-%+")
@@ -148,6 +149,8 @@ def features(text: str, a: int, b: int, kind: int, key: str) -> list[int]:
     t, n = text[a:b], len(key) - 1
     if key[0] == "h":
         out.append(5 if "at" in t and ("[" in t or "(" in t) else 6)
+        if n < SHORT_HANDLE and key[1:].isalpha():
+            out.append(18)
     else:
         out.append(7 + sum(n > x for x in (6, 9, 11, 13, 15, 19)))
         if n >= 14 and n <= 19 and luhn(key[1:]):
@@ -159,11 +162,11 @@ def features(text: str, a: int, b: int, kind: int, key: str) -> list[int]:
         if any(c in t for c in " ()-"):
             out.append(17)
     before = re.findall(r"[a-z]+", text[max(0, a - 24) : a].lower())[-3:]
-    out += [18 + k for k, words in enumerate(HINTS) if any(w in words for w in before)]
+    out += [19 + k for k, words in enumerate(HINTS) if any(w in words for w in before)]
     return out
 
 
-N_FEATURES = 18 + len(HINTS)
+N_FEATURES = 19 + len(HINTS)
 
 
 def graph(nodes: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -267,8 +270,8 @@ def examples(n: int, seed: int) -> list[tuple[str, dict[tuple[int, int], int]]]:
             kind = r.choice(["email", "ip", "card", "phone", "number", "number"])
             if kind == "phone":
                 local = digits(9)
-                forms = [f"+44 {local[:3]} {local[3:]}", f"0{local}", f"0{local[:3]}-{local[3:6]}-{local[6:]}", f"({local[:3]}) {local[3:]}"]
-                said = [forms[0], *(r.choice(forms) for _ in range(r.randrange(3)))] if r.random() < 0.8 else [r.choice(["tel ", "call ", "phone "]) + forms[1]]
+                forms = [f"+44 {local[:3]} {local[3:]}", f"0{local}", f"0{local[:3]}-{local[3:6]}-{local[6:]}", f"({local[:3]}) {local[3:]}", local, f"{local[:3]} {local[3:6]} {local[6:]}"]
+                said = [forms[0], *(r.choice(["", "", "", "ref ", "id "]) + r.choice(forms) for _ in range(r.randrange(4)))] if r.random() < 0.8 else [r.choice(["tel ", "call ", "phone "]) + forms[1]]
             elif kind == "card":
                 c = card()
                 forms = [c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), ".".join(c[i : i + 4] for i in range(0, 16, 4)), f"({c[:8]}) {c[8:]}"]
@@ -278,16 +281,19 @@ def examples(n: int, seed: int) -> list[tuple[str, dict[tuple[int, int], int]]]:
                 said = [".".join(p), *(r.choice([".".join(p), "-".join(p)]) for _ in range(r.randrange(3)))]
             elif kind == "email":
                 name = "".join(r.choice("abcdefghij") for _ in range(6)) + digits(2)
+                if r.random() < 0.3:  # a short name that the text has as a word too
+                    word = "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 5)))
+                    parts += [(f"{word}@site.example", 1), *((word, 0) for _ in range(r.randrange(1, 4)))]
                 said = [f"{name}@site.example", *(r.choice([name, f"{name} [at] site.example", f"{name}@other.example"]) for _ in range(r.randrange(3)))]
             else:
-                x = r.choice([digits(r.randrange(5, 9)), digits(r.randrange(9, 14)), digits(r.randrange(16, 24)), f"20{digits(2)}-0{digits(1)[0]}-1{digits(1)}", f"{digits(2)}.{digits(3)}", f"{digits(3)} {digits(3)}"])
+                x = r.choice([digits(r.randrange(5, 9)), digits(r.randrange(9, 14)), f"{digits(5)} {digits(5)}", f"{digits(3)} {digits(3)} {digits(4)}", f"({digits(3)}) {digits(6)}", f"{digits(4)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", digits(r.randrange(16, 24)), f"20{digits(2)}-0{digits(1)[0]}-1{digits(1)}", f"{digits(2)}.{digits(3)}", f"{digits(3)} {digits(3)}"])
                 said = [r.choice(["", "order ", "ref ", "page ", "id "]) + x] * r.choice([1, 1, 2, 3])
             label = KINDS.index(kind) + 1 if kind in KINDS else 0
             parts += [(s, label) for s in said]
         r.shuffle(parts)
         text, spans = "", {}
         for s, label in parts:
-            text += "".join(r.choice("abcdefgh ") for _ in range(r.choice([5, 20, 100]))) + " x "
+            text += " " + "".join(r.choice("abcdefgh ") for _ in range(r.choice([5, 20, 100]))) + " x "
             spans[len(text), len(text) + len(s)] = label
             text += s
         out.append((text + " end", spans))

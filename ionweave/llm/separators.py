@@ -25,8 +25,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import checkpoint_dir, delete_folder, materialize
+from ionweave.llm.common import materialize
 from ionweave.llm.tokens import encoder, merges_agree, vocabulary_path
+from ionweave.tables import delete_folder, new_folder
 
 BLOCK_IDS = 1 << 18
 FOUND = "file string, block long, n_ends long, n_ids long, tail long, doc_no long, at long, gap long"
@@ -146,7 +147,7 @@ def count_documents(blocks: DataFrame, end_id: int = 50256, block_ids: int = BLO
 def document_tokens(docs: DataFrame, vocabulary: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(doc_id, file, doc_no, start, n_tokens) of ``docs`` after writing them flat and scanning the files, which are then deleted."""
     spark = docs.sparkSession
-    folder = f"{checkpoint_dir(spark)}/flat-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "flat")
     log = write_flat(docs, folder, vocabulary)
     if log.isEmpty():
         return log.select("doc_id", "file", "doc_no", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"))

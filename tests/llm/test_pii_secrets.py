@@ -170,3 +170,28 @@ def test_redacted_keeps_columns_and_rows(spark):
     got = sorted((r.doc_id or 0, r.text, r.n_chars, r["a.b"]) for r in out.collect() if r.text)
     assert got == sorted([(1, "é [SECRET] x", 12, "p")] * 2 + [(0, "[SECRET]", 8, "q"), (0, "plain", 5, "r"), (4, "[SECRET], [SECRET]", 18, "t")])
     assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect() if not r.text) == [(2, None, 3), (3, "", 0)]
+
+
+def test_forms_that_training_has_not():
+    """Numbers of other lengths and layouts than ``examples`` makes, each beside its base form or alone."""
+    far = " la la la " * 20
+    for base, again in (("+33 1 70 36 39 50", "01 70 36 39 50"), ("+1 (415) 555-2671", "415.555.2671"), ("+49 30 901820123", "030 901820123"), ("+44 123456789", "123456789"), ("+44 123456789", "0123 456 789")):
+        assert added(f"me {base}{far}so {again} ok") == [("phone", again)]
+        assert added(f"so {again} ok{far}me {base}") == [("phone", again)]
+    for alone in ("items 12345 67890", "lot 4821 5512", "batch 555-2671", "in 415.555.2671 x", "build 20240115", "see 98 76 54 32 10"):
+        assert added(f"the {alone} ok") == []
+    assert added(f"mail bo@site.example{far}and bo went") == []
+    assert added(f"mail bo77@site.example{far}user bo77 went") == [("email", "bo77")]
+
+
+def test_added_spans_on_fresh_texts():
+    got = want = right = 0
+    model = pii.train()
+    for text, spans in pii.examples(300, 4242):
+        base, more = model.label([text])[0]
+        for (a, b), label in spans.items():
+            if label and not any(x < b and a < y for x, _, y in base):
+                want += 1
+                right += any(x <= a and b <= y or a <= x and y <= b for x, k, y in more if k == label - 1)
+        got += len(more)
+    assert want > 200 and right / want > 0.85 and right / got > 0.85, (want, right, got)
