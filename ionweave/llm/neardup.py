@@ -340,7 +340,8 @@ def classed(nodes: DataFrame, words_of_rows: DataFrame) -> tuple[DataFrame, Data
     # A text that many others derive from shares more and larger buckets than they do among themselves.
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     members = materialize(met.drop("n").join(weight, "node"), "members")
-    wanted = nodes.select("node", "row", "keys").join(weight.select("node"), "node", "left_semi")
+    discard(met)
+    wanted = nodes.select("node", "row", "keys").join(members.select("node").distinct(), "node", "left_semi")
     texts = materialize(words_of_rows.select("row", "words").join(wanted, "row").select("node", "words", "keys"), "texts")
     # A bucket's hub, and with each other text the hubs that it meets most often.
     best = F.max_by(F.struct("node", "n_words"), F.struct("weight", F.xxhash64("node", "key"), "node"))
@@ -348,12 +349,16 @@ def classed(nodes: DataFrame, words_of_rows: DataFrame) -> tuple[DataFrame, Data
     longer = F.greatest("n_words", "hub_words")
     pairs = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & (longer - F.least("n_words", "hub_words") <= F.floor((1 - SIMILARITY) * longer + 1e-9)))
     ranked = pairs.groupBy("node", "hub").agg(F.count("*").alias("n")).withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub")))
-    chosen = materialize(ranked.where(F.col("nth") <= FIRST_HUBS).select("node", "hub"), "pairs")
+    # Of two hubs that name each other one pair stays.
+    chosen = ranked.where(F.col("nth") <= FIRST_HUBS).groupBy(F.greatest("node", "hub"), F.least("node", "hub")).agg(F.min(F.struct("node", "hub")).alias("p"))
+    chosen = materialize(chosen.select("p.*"), "pairs")
     links = materialize(verified(chosen, texts.select("node", "words")), "verified")
+    discard(chosen)
     found = components(links)
     now = _rooted(members.select("key", "node"), found)
     open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     rest = materialize(bucket_links(now.join(open_keys, "key", "left_semi"), texts), "verified")
+    discard(members, texts)
     every = links.unionByName(rest).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return every, merged(found, rest)
 
@@ -361,11 +366,13 @@ def classed(nodes: DataFrame, words_of_rows: DataFrame) -> tuple[DataFrame, Data
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The written rows of ``docs`` (row, doc_id, text) with their node, and by node: class_id, class_size, n_links and
     ``keep``, the class's one row of the least doc_id."""
-    rows = materialize(sketched(docs), "sketches")
+    sketches = materialize(sketched(docs), "sketches")
+    rows = materialize(sketches.select("row", "doc_id", "node"), "rows")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row"))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), first.alias("first"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    nodes = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), first.alias("first"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     nodes = materialize(nodes.withColumn("row", F.col("first.row")), "nodes")
-    links, found = classed(nodes, rows)
+    links, found = classed(nodes, sketches)
+    discard(sketches)
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     rooted = _rooted(nodes.select("node", "doc_id", "first", "n"), found)
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.min("first").alias("keep"))
