@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ionweave.config import ION_SHIFTS, PROTON, Config
 from ionweave.functions import chemistry as chem
+from ionweave.tables import written
 
 
 def dot_products(pairs: DataFrame, cand_bins: DataFrame, query_bins: DataFrame) -> DataFrame:
@@ -89,7 +90,9 @@ def survival(hist: DataFrame) -> DataFrame:
     return hist.withColumn("cum", F.sum("n").over(w)).withColumn("log_cum", F.round(F.log10("cum"), 6))
 
 
-BINS_OF_HISTOGRAM = 152
+#: Fixed values of the survival fit: bins of a histogram; the first bin that a gap may part off, the highest bin from which
+#: empty ones near the top end the tail, how many under the top are looked at, and bins that a line has at first.
+BINS_OF_HISTOGRAM, LEAST_GAP, HIGH, NEAR_TOP, LINE = 152, 10, 20, 6, 5
 
 
 def tail_end(counts: np.ndarray) -> int:
@@ -99,15 +102,15 @@ def tail_end(counts: np.ndarray) -> int:
     if not len(filled):
         return 0
     top = int(filled[-1])
-    for i in range(max(10, int(filled[0]) + 1), top):
+    for i in range(max(LEAST_GAP, int(filled[0]) + 1), top):
         if counts[i] == 0 and (counts[i + 1] == 0 or i + 1 == top):
             return i - 1
-    if top < 10:
+    if top < LEAST_GAP:
         return top
-    empty = [i for i in range(top, top - 6, -1) if counts[i] == 0]
+    empty = [i for i in range(top, top - NEAR_TOP, -1) if counts[i] == 0]
     if not empty:
         return top - 1
-    return empty[0] if top <= 20 else empty[-1]
+    return empty[0] if top <= HIGH else empty[-1]
 
 
 def fit_survival(counts: np.ndarray) -> tuple[float, float]:
@@ -117,7 +120,7 @@ def fit_survival(counts: np.ndarray) -> tuple[float, float]:
     own = counts[: end + 1].astype(float)
     survivors = np.cumsum(own[::-1])[::-1]
     logs = np.log10(np.maximum(survivors, 1.0))
-    start = max(0, end - 5)
+    start = max(0, end - LINE)
     start = max(0, start - int((logs[start:] == 0).sum()))
     slope = intercept = 0.0
     while start >= 0 and end > start + 2:
@@ -212,17 +215,12 @@ def q_values(psms: DataFrame, by: list, buckets: int | None = None) -> DataFrame
     """Target-decoy q-values over rows in the order ``by`` (a total order): cumulative decoys over targets, then the least from
     the end. ``psms``: is_decoy and what ``by`` names.
 
-    The order is global. Instead of one window over all rows, rows are dealt by range of the order's first column, and each
-    range's sums come before the next: every window stays within a range.
+    The order is global. Instead of one window over all rows, rows are dealt by range of the whole order, written with the
+    number of their range, and each range's sums come before the next: every window stays within a range.
     """
     n = buckets or int(psms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first, descending = by[0]
-    key = F.col(first) * (-1 if descending else 1)
-    cuts = psms.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key)) if cuts else F.lit(0)
-    df = psms.withColumn("_part", part)
     order = [F.desc(c) if d else F.asc(c) for c, d in by]
+    df = written(psms.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = df.groupBy("_part").agg(F.sum(F.col("is_decoy").cast("long")).alias("d"), F.sum((~F.col("is_decoy")).cast("long")).alias("t"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ionweave.config import Config
 from ionweave.operators.scoring import align_history
 from ionweave.plans.search import search_index
+from ionweave.tables import temporary
 
 HISTORY = 250
 
@@ -19,7 +20,8 @@ def search_stream(scans: DataFrame, index: str, cfg: Config, sink: Callable[[Dat
     """Searches each micro-batch of a stream of spectra in a stored index; results don't depend on how it is cut."""
 
     def batch(df: DataFrame, number: int) -> None:
-        sink(search_index(df.sparkSession, df, index, cfg, mode), number)
+        with temporary():  # what a batch's search writes goes with it
+            sink(search_index(df.sparkSession, df, index, cfg, mode), number)
 
     return scans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
@@ -29,8 +31,9 @@ def search_one(spark: SparkSession, index: str, cfg: Config, precursor_mz: float
     from ionweave.config import PROTON
     from ionweave.sources.readers import SPECTRA
 
-    row = ("live", 1, 2, 0.0, None, None, precursor_mz, [(charge, precursor_mz * charge - PROTON * (charge - 1))], [(float(m), float(i)) for m, i in peaks])
-    return search_index(spark, spark.createDataFrame([row], SPECTRA), index, cfg).where(f"num <= {int(top)}").orderBy("num").collect()
+    row = ("live", 1, 2, 0.0, None, None, precursor_mz, None, None, [(charge, precursor_mz * charge - PROTON * (charge - 1))], [(float(m), float(i)) for m, i in peaks])
+    with temporary():
+        return search_index(spark, spark.createDataFrame([row], SPECTRA), index, cfg).where(f"num <= {int(top)}").orderBy("num").collect()
 
 
 def align_stream(matches: DataFrame, history: int = HISTORY) -> DataFrame:

@@ -13,6 +13,7 @@ from ionweave.operators import peptides, scoring
 from ionweave.operators.localisation import binomial_tail, localise
 from ionweave.plans.search import build_index, search, search_index
 from ionweave.sources import readers, writers
+from ionweave.streaming.online import search_one, search_stream
 
 
 def proteins(spark, *seqs):
@@ -95,6 +96,15 @@ def test_search_end_to_end(spark, tmp_path):
     assert key(search_index(spark, scans, str(tmp_path / "idx"), cfg)) == key(found)
     fi = search_index(spark, scans, str(tmp_path / "idx"), cfg, "FI").where("num = 1")
     assert {(r.scan, r.peptide) for r in fi.collect()} == {(k, r.peptide) for k, r in top.items()}
+    _, mz, z, _, peaks = spectrum(want[3], 3)
+    (one,) = search_one(spark, str(tmp_path / "idx"), cfg, mz, z, peaks)
+    assert one.peptide == top[3].peptide and one.xcorr == pytest.approx(top[3].xcorr, abs=0.01)
+    scans.write.parquet(str(tmp_path / "scans"))
+    live, seen = spark.readStream.schema(scans.schema).parquet(str(tmp_path / "scans")), []
+    q = search_stream(live, str(tmp_path / "idx"), cfg, lambda df, _: seen.extend(key(df)), str(tmp_path / "check"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(seen) == key(found)
 
 
 def test_mgf_and_xml(spark, tmp_path):
