@@ -387,9 +387,20 @@ def evalue_projection(spark, sf):
     return T(spark, sf).read("orders").select(F.col("o_orderkey").alias("psm_id"), F.round(scoring.evalue(F.col("o_totalprice") / 100000, slope, F.lit(3.0)), 4).alias("expect"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT qid, hbin, n FROM {_HIST} WHERE hbin < 151), t AS (SELECT qid, max(hbin) AS top, min(hbin) AS low FROM h GROUP BY qid),
+grid AS (SELECT t.qid, top, low, g.i, coalesce(n, 0) AS n FROM t, LATERAL (SELECT unnest(range(0, top + 2)) AS i) g LEFT JOIN h ON h.qid = t.qid AND h.hbin = g.i),
+gap AS (SELECT a.qid, min(a.i) AS i FROM grid a JOIN grid b ON b.qid = a.qid AND b.i = a.i + 1 WHERE a.i >= greatest(10, a.low + 1) AND a.i < a.top AND a.n = 0 AND (b.n = 0 OR b.i = a.top) GROUP BY a.qid),
+near AS (SELECT qid, min(i) AS first, max(i) AS last FROM grid WHERE n = 0 AND i <= top AND i > top - 6 GROUP BY qid),
+tail AS (SELECT t.qid, CASE WHEN gap.i IS NOT NULL THEN gap.i - 1 WHEN top < 10 THEN top WHEN near.first IS NULL THEN top - 1 WHEN top <= 20 THEN near.last ELSE near.first END AS stop FROM t LEFT JOIN gap USING (qid) LEFT JOIN near USING (qid)),
+s AS (SELECT qid, stop, i, sum(n) OVER (PARTITION BY qid ORDER BY i DESC) AS up FROM grid JOIN tail USING (qid) WHERE i <= stop),
+l AS (SELECT qid, stop, i, up, log10(greatest(up, 1)) AS y FROM s),
+b AS (SELECT qid, stop, greatest(0, greatest(0, stop - 5) - count(*) FILTER (WHERE y = 0 AND i >= greatest(0, stop - 5))) AS begin FROM l GROUP BY qid, stop),
+f AS (SELECT qid, k, avg(i) FILTER (WHERE up > 0) AS mx, avg(y) FILTER (WHERE up > 0) AS my FROM (SELECT b.*, unnest(range(0, begin + 1)) AS k FROM b) c JOIN l USING (qid) WHERE l.i >= k AND c.stop > k + 2 GROUP BY qid, k),
+g AS (SELECT f.qid, k, mx, my, coalesce(sum((i - mx) * (y - my)) FILTER (WHERE y > 0) / nullif(sum((i - mx) * (i - mx)) FILTER (WHERE y > 0), 0), 0) AS slope FROM f JOIN l ON l.qid = f.qid AND l.i >= k GROUP BY f.qid, k, mx, my),
+best AS (SELECT qid, arg_max(slope, (slope < 0, CASE WHEN slope < 0 THEN k ELSE -k END)) AS slope, arg_max(my - slope * mx, (slope < 0, CASE WHEN slope < 0 THEN k ELSE -k END)) AS intercept FROM g GROUP BY qid)
+SELECT qid, round(coalesce(slope, 0), 5) AS slope, round(coalesce(intercept, 0), 5) AS intercept FROM t LEFT JOIN best USING (qid)""")
 def evalue_fit(spark, sf):
-    return scoring.fitted(_hist(spark, sf)).select("qid", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    return scoring.fitted(_hist(spark, sf)).select("qid", (F.round("slope", 5) + F.lit(0.0)).alias("slope"), (F.round("intercept", 5) + F.lit(0.0)).alias("intercept"))
 
 
 _Q = f"""(WITH o AS (SELECT *, row_number() OVER (ORDER BY score DESC, psm_id) AS k FROM {PSMS}),
