@@ -198,7 +198,10 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return predict(base, train(base, per_language)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.3, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with at least that score."""
+def accepted(docs: DataFrame, least_score: float = 0.5, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language has at least that score: as much as all others together.
+
+    Rows are judged each, whatever their doc_ids; a null text, or one without letters, goes.
+    """
     rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*quoted(docs.columns)).alias("row"))
     return predict(rows, train(docs, per_language), ("row",), "row").where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")
