@@ -152,7 +152,7 @@ def test_digest_by_every_pair(spark, termini, missed):
     want = []
     for p, s in enumerate(seqs):
         s = s or ""
-        cuts = {0, len(s)} | {i for i in range(1, len(s)) if (s[i - 1] in "KR*" and s[i] != "P") or s[i] == "*"}
+        cuts = {0, len(s)} | {i for i in range(1, len(s)) if (s[i - 1] in "KR" and s[i] != "P") or "*" in s[i - 1 : i + 1]}
         for a in range(len(s)):
             for b in range(a + 2, min(a + 9, len(s)) + 1):
                 n_end, c_end = a in cuts, b in cuts
