@@ -232,7 +232,9 @@ def q_values(psms: DataFrame, by: list, buckets: int | None = None) -> DataFrame
     least = df.groupBy("_part").agg(F.min("fdr").alias("m"))
     after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
     least = least.select("_part", F.min("m").over(after).alias("m_after"))
-    backwards = Window.partitionBy("_part").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # A frame that grows from the end, as one that shrinks towards it would be summed anew for each row.
+    turned = [F.asc(c) if d else F.desc(c) for c, d in by]
+    backwards = Window.partitionBy("_part").orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0)
     df = df.join(F.broadcast(least), "_part")
     q = F.least(F.min("fdr").over(backwards), F.coalesce("m_after", F.lit(float("inf"))))
     return df.withColumn("q", q).drop("_part", "m_after", "fdr")
