@@ -95,7 +95,9 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     part = some.select("row", F.explode(both).alias("p")).select("row", "p.*")
     # Weak parts that overlap a base span, or a weak part before them, are no candidates.
     by_start = Window.partitionBy("row").orderBy("start", F.desc("strong"), "kind", "end")
-    before, after = by_start.rowsBetween(Window.unboundedPreceding, -1), by_start.rowsBetween(1, Window.unboundedFollowing)
+    # Frames that grow: one that shrinks would be gone through anew for each part.
+    by_end = Window.partitionBy("row").orderBy(F.desc("start"), "strong", F.desc("kind"), F.desc("end"))
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (by_start, by_end))
     clear = F.coalesce(F.max("end").over(before) <= F.col("start"), F.lit(True)) & F.coalesce(F.min(F.when(F.col("strong"), F.col("start"))).over(after) >= F.col("end"), F.lit(True))
     part = part.withColumn("ok", F.col("strong") | clear).where("ok").drop("ok")
     near = part.where(_is_identifier(F.col("kind"))).select("row", F.greatest(F.col("start") - reach, F.lit(0)).alias("lo"), (F.col("end") + reach).alias("hi"))
