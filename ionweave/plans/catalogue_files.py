@@ -300,7 +300,7 @@ _LIBRARY = Config(tolerance=1.5, isotope_error=1, num_output=1)
 l AS (SELECT DISTINCT user_id AS lib_id, {_EXP} + 0.25::DOUBLE AS mass FROM events WHERE user_id % 2 = 0),
 pairs AS (SELECT DISTINCT qid, lib_id FROM q, l, (VALUES (0.0::DOUBLE), ({d(1.00335483)})) AS i(s) WHERE floor(exp_mass) BETWEEN floor(mass + s - 1.5) AND floor(mass + s + 1.5)),
 scored AS (SELECT qid, lib_id, round(sum(fx) * 0.005::DOUBLE, 3) AS xcorr FROM pairs JOIN (SELECT user_id AS lib_id, {BIN("(value * 4)")} AS bin FROM events WHERE user_id % 2 = 0) USING (lib_id) JOIN fx USING (qid, bin) GROUP BY qid, lib_id)
-SELECT CAST(qid AS INT) AS scan, 'lib' || lib_id AS name, round(xcorr, 2) AS xcorr FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY xcorr DESC, lib_id) AS k FROM scored WHERE xcorr > 0) WHERE k = 1""")
+SELECT CAST(qid AS INT) AS scan, 'lib' || lib_id AS name, xcorr FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY xcorr DESC, lib_id) AS k FROM scored WHERE xcorr > 0) WHERE k = 1""")
 def search_library_best(spark, sf):
     """Odd users' spectra against a library of even users' ones."""
     from ionweave.plans.library import search_library
@@ -309,7 +309,7 @@ def search_library_best(spark, sf):
     mass = F.get("zstates", F.lit(0))["mh"] + 0.25 - PROTON
     entries = scans.where("scan % 2 = 0").select(F.col("scan").cast("long").alias("lib_id"), F.concat(F.lit("lib"), "scan").alias("name"), mass.alias("neutral_mass"), "peaks")
     found = search_library(scans.where("scan % 2 = 1"), entries, _LIBRARY)
-    return found.select("scan", "name", F.round("xcorr", 2).alias("xcorr"))
+    return found.select("scan", "name", "xcorr")
 
 
 def _cut(marks: str) -> str:
