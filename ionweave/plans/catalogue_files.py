@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.config import PROTON, Config
@@ -17,7 +17,6 @@ from ionweave.sources import readers, writers
 from ionweave.tables import new_folder
 
 __all__ = ["ORACLE_SQL", "QUERIES"]  # with those of ``catalogue``: a registry for both
-_LINES = F.lit("\n")
 
 
 def _text(df: DataFrame, value, name: str) -> str:
@@ -33,7 +32,7 @@ def _spectra(spark, sf) -> DataFrame:
     return peaks.select(F.col("qid").cast("int").alias("scan"), (F.lit(500.0) + F.col("qid") % 200).alias("mz"), (F.col("qid") % 3 + 1).cast("int").alias("z"), "peaks")
 
 
-def _lines(peaks) -> F.Column:
+def _lines(peaks: Column) -> Column:
     return F.array_join(F.transform(peaks, lambda p: F.concat_ws(" ", F.format_string("%.4f", p["mz"]), F.format_string("%.1f", p["inten"]))), "\n")
 
 
@@ -146,7 +145,7 @@ def source_peff_obo(spark, sf):
 def source_msp(spark, sf):
     df = _spectra(spark, sf)
     name = F.concat(F.lit("P"), "scan", F.lit("/"), "z")
-    text = F.concat(F.lit("Name: "), name, F.lit("\nMW: "), F.format_string("%.4f", F.col("scan") + F.lit(1000.0)), F.lit("\nComment: Charge="), "z", F.lit("\nNum peaks: "), F.size("peaks"), _LINES, F.replace(_lines("peaks"), F.lit(" "), F.lit("\t")), _LINES)
+    text = F.concat(F.lit("Name: "), name, F.lit("\nMW: "), F.format_string("%.4f", F.col("scan") + F.lit(1000.0)), F.lit("\nComment: Charge="), "z", F.lit("\nNum peaks: "), F.size("peaks"), F.lit("\n"), F.replace(_lines("peaks"), F.lit(" "), F.lit("\t")), F.lit("\n"))
     found = readers.read_msp(spark, _text(df, text, "msp"))
     return found.select("name", "charge", F.round("neutral_mass", 3).alias("neutral_mass"), F.size("peaks").cast("long").alias("n_peaks"), F.round(F.aggregate("peaks", F.lit(0.0), lambda s, p: s + p["mz"]), 1).alias("sum_mz"))
 
