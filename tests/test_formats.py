@@ -1,6 +1,7 @@
 """Compressed arrays by round trip, XML documents by parsing them again."""
 
 import glob
+import gzip
 import math
 import random
 import struct
@@ -8,7 +9,9 @@ import xml.etree.ElementTree as ET
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from ionweave.plans import catalogue_files as catalogue
 from ionweave.sources import numpress, writers
 
 
@@ -88,3 +91,18 @@ def test_decoys_apart(spark, tmp_path):
     writers.write_split(spark.createDataFrame(PSMS, SCHEMA), str(tmp_path / "t"))
     read = lambda p: sorted((r.plain_peptide, r.num) for r in spark.read.csv(p, sep="\t", header=True).collect())
     assert read(str(tmp_path / "t")) == [("PEPTK", "1"), ("PEPTK", "1")] and read(str(tmp_path / "t.decoy")) == [("AAAAK", "1")]
+
+
+def test_xml_elements_are_lines_in_order(spark, tmp_path):
+    """A reader never needs a part file as one value, whatever a name holds, and parts follow each other as one document."""
+    psms = catalogue._psms(spark, "/root/testdata/sf0.001").withColumn("names", F.array(F.lit("a\n<spectrum_query b\t\"c"), F.lit("d\r&")))
+    for write, name, scan in ((writers.write_pepxml, "spectrum_query", "start_scan"), (writers.write_mzidentml, "SpectrumIdentificationResult", "spectrumID")):
+        path = str(tmp_path / name)
+        write(psms, path, "gzip")
+        parts = sorted((tmp_path / name).glob("part-*.gz"))
+        text = "".join(gzip.decompress(p.read_bytes()).decode() for p in parts)
+        assert len(parts) > 2 and sum(x.startswith(f"<{name} ") for x in text.split("\n")) == psms.count()
+        found = [x for x in ET.fromstring(text.encode()).iter() if x.tag.endswith("}" + name)]
+        scans = [int(x.get(scan).removeprefix("scan=")) for x in found]
+        assert scans == sorted(scans) and len(scans) == psms.count() == catalogue._elements(spark, path, name).count()
+        assert {x.get("protein") or x.get("accession") for x in ET.fromstring(text.encode()).iter() if x.tag.endswith(("search_hit", "DBSequence"))} >= {"a\n<spectrum_query b\t\"c"}
